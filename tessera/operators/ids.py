@@ -47,27 +47,3 @@ def with_row_index(df: DataFrame, order_cols: list[str | Column], col: str = "ro
     out = tagged.withColumn(col, (F.lit(start) + off + local).cast("bigint")).drop(_PID, _MONO)
     return (out, total) if return_count else out
 
-
-def with_prefix_offsets(df: DataFrame, order_cols: list[str | Column], length: Column,
-                        col: str = "offset", num_partitions: int | None = None,
-                        return_total: bool = False):
-    """Exclusive running sum of ``length`` in ``order_cols`` order (global
-    token offsets of rows), computed like ``with_row_index``."""
-    n = _partitions(df, num_partitions)
-    ordered = (df.withColumn("__len", length.cast("bigint"))
-                 .repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols))
-    from pyspark.sql import Window
-    w = Window.partitionBy(_PID).orderBy(_MONO).rowsBetween(Window.unboundedPreceding, -1)
-    tagged = cut_lineage(
-        ordered.withColumn(_PID, F.spark_partition_id())
-               .withColumn(_MONO, F.monotonically_increasing_id()))
-    sums = {r[0]: r[1] or 0 for r in tagged.groupBy(_PID).agg(F.sum("__len")).collect()}
-    offsets, total = [], 0
-    for p in range(max(sums, default=-1) + 1):
-        offsets.append(total)
-        total += sums.get(p, 0)
-    off = (F.element_at(F.array(*[F.lit(o) for o in offsets]), F.col(_PID) + 1)
-           if offsets else F.lit(0))
-    out = (tagged.withColumn(col, off + F.coalesce(F.sum("__len").over(w), F.lit(0)))
-                 .drop(_PID, _MONO, "__len"))
-    return (out, total) if return_total else out

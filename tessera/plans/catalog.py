@@ -1,3 +1,4 @@
 """Imports every query module so the registry is complete."""
 
 from tessera.plans import corpus_queries  # noqa: F401
+from tessera.plans import shape_queries  # noqa: F401

@@ -196,23 +196,35 @@ def ngram_decode(spark, sf):
 def flagship(spark: SparkSession, sf: str) -> DataFrame:
     """Labelled documents -> special-character cleaning -> word vocabulary
     -> fixed-length (128) id arrays with their target."""
-    lab = labelled_docs(spark, sf).withColumn("text", tx.remove_special_characters("text"))
-    v = vc.fit_vocab(lab, "text", ["doc_id"])
-    enc = vc.encode(lab, v, "text", ["doc_id"], max_len=128, carry=["target"])
+    enc = labelled_encoded(spark, sf, 128)
     return enc.select("doc_id", "target", ids_string(F.col("ids")).alias("ids"))
 
 
-@query("labelled_encode", f"""
-WITH lw AS (SELECT doc_id, quality, {q.words(q.special_chars('text'))} AS w
-            FROM documents JOIN labels USING (doc_id)),
+def labelled_encode_ctes(max_len: int = 128) -> str:
+    """CTEs ending in ``enc(doc_id, target, ids)`` = the flagship encode."""
+    return f"""
+  lw AS (SELECT doc_id, quality, {q.words(q.special_chars('text'))} AS w
+         FROM documents JOIN labels USING (doc_id)),
   lt AS (SELECT doc_id AS ord1, generate_subscripts(w, 1) AS ord2, unnest(w) AS token FROM lw),
   v AS ({q.first_occurrence_vocab('lt')}),
   e AS (SELECT doc_id, generate_subscripts(w, 1) AS pos, unnest(w) AS token FROM lw),
   m AS (SELECT e.doc_id, list(coalesce(v.id, 0) ORDER BY e.pos) AS body
-        FROM e LEFT JOIN v USING (token) WHERE pos <= 125 GROUP BY e.doc_id),
+        FROM e LEFT JOIN v USING (token) WHERE pos <= {max_len - 3} GROUP BY e.doc_id),
   b AS (SELECT lw.doc_id, CAST(lw.quality AS DOUBLE) AS target, coalesce(m.body, []) AS body
-        FROM lw LEFT JOIN m USING (doc_id))
-SELECT doc_id, target, {q.ids_str(f"[1] || body || [2] || {q.pad_list('126 - len(body)')}")} AS ids
-FROM b""")
+        FROM lw LEFT JOIN m USING (doc_id)),
+  enc AS (SELECT doc_id, target, [1] || body || [2] || {q.pad_list(f'{max_len - 2} - len(body)')} AS ids
+          FROM b)"""
+
+
+def labelled_encoded(spark: SparkSession, sf: str, max_len: int = 128) -> DataFrame:
+    """(doc_id, target, ids) of the flagship encode."""
+    lab = labelled_docs(spark, sf).withColumn("text", tx.remove_special_characters("text"))
+    v = vc.fit_vocab(lab, "text", ["doc_id"])
+    return vc.encode(lab, v, "text", ["doc_id"], max_len=max_len, carry=["target"])
+
+
+@query("labelled_encode", f"""
+WITH {labelled_encode_ctes(128)}
+SELECT doc_id, target, {q.ids_str('ids')} AS ids FROM enc""")
 def labelled_encode(spark, sf):
     return flagship(spark, sf)
