@@ -3,3 +3,4 @@
 from tessera.plans import corpus_queries  # noqa: F401
 from tessera.plans import shape_queries  # noqa: F401
 from tessera.plans import metric_queries  # noqa: F401
+from tessera.plans import overlap_queries  # noqa: F401
