@@ -5,3 +5,4 @@ from tessera.plans import shape_queries  # noqa: F401
 from tessera.plans import metric_queries  # noqa: F401
 from tessera.plans import overlap_queries  # noqa: F401
 from tessera.plans import bpe_queries  # noqa: F401
+from tessera.plans import augment_queries  # noqa: F401
