@@ -200,3 +200,21 @@ def decode_ngrams(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str]
     return toks.select(*key_cols, rebuild_ngram_words(F.array_join("__t", ""), vocab.n,
                                                      vocab.start_char, vocab.end_char)
                        .alias(out_col))
+
+
+# ------------------------------------------------------------------- K16
+def fit_tokenizer(df: DataFrame, kind: str = "space", text_col: str = "text",
+                  order_cols: list[str] | None = None, cased: bool = True, n: int = NGRAM_N,
+                  vocab_size: int | None = None):
+    """Tokenizer choice — ``space`` (words), ``ngram`` (character
+    n-grams) or ``bpe`` (byte-pair; ``vocab_size`` required)."""
+    if kind == "space":
+        return fit_vocab(df, text_col, order_cols, "word", cased)
+    if kind == "ngram":
+        return fit_vocab(df, text_col, order_cols, "ngram", cased, n)
+    if kind == "bpe":
+        from tessera.operators import bpe
+        if vocab_size is None:
+            raise ValueError("bpe needs vocab_size")
+        return bpe.train(df, text_col, vocab_size=vocab_size)
+    raise ValueError(f"unknown tokenizer {kind!r}")

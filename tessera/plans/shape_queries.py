@@ -186,3 +186,26 @@ FROM documents""")
 def batches_sequential(spark, sf):
     d = table(spark, sf, "documents").select("doc_id")
     return sh.batches(d, "doc_id", 32, shuffle=False).select("doc_id", "position", "batch_id")
+
+
+@query("gold_positions", f"""
+WITH {labelled_encode_ctes(128)},
+  g AS (SELECT doc_id, list_slice(ids, 2, len(ids)) AS gold FROM enc)
+SELECT doc_id, CAST(i - 1 AS BIGINT) AS pos, CAST(gold[i] AS BIGINT) AS gold
+FROM g, range(1, len(gold) + 1) t(i) WHERE gold[i] <> 3""")
+def gold_positions(spark, sf):
+    """C4 + C5 + P10: teacher-forcing gold flattened to one row per
+    position, padding dropped."""
+    enc = labelled_encoded(spark, sf, 128)
+    _, gold = sh.shift("ids")
+    ex = enc.select("doc_id", F.posexplode(gold).alias("pos", "gold"))
+    return ex.filter(F.col("gold") != 3).select("doc_id", F.col("pos").cast("bigint"),
+                                                F.col("gold").cast("bigint"))
+
+
+@query("preview_head", """
+SELECT doc_id, lang FROM documents ORDER BY doc_id LIMIT 10""")
+def preview_head(spark, sf):
+    """The first ten rows in row order (a top-k: the limit is the
+    feature)."""
+    return table(spark, sf, "documents").select("doc_id", "lang").orderBy("doc_id").limit(10)

@@ -28,6 +28,21 @@ def read_labelled_csv(spark: SparkSession, path: str, schema: str | None = None,
                      F.col(f"`{target_col}`").cast("double").alias("target"))
 
 
+def pick_columns(df: DataFrame, text: str | None = None, target: str | None = None,
+                 prefer: str = "text") -> DataFrame:
+    """Choose the sentence and target columns by name, with the
+    ``prefer`` column winning when present (P2), falling back to position
+    (first = sentence, second = target, P3), renamed to the canonical
+    (sentence, target) (P4)."""
+    cols = df.columns
+    t = prefer if prefer in cols else (text or cols[0])
+    y = target or (cols[1] if len(cols) > 1 else None)
+    out = [F.col(f"`{t}`").alias("sentence")]
+    if y is not None:
+        out.append(F.col(f"`{y}`").cast("double").alias("target"))
+    return df.select(*out)
+
+
 def read_named_csv(spark: SparkSession, path: str) -> DataFrame:
     """Forced names (sentence, target); the header line is skipped."""
     return spark.read.options(**CSV_OPTIONS).schema("sentence string, target string").csv(path)
