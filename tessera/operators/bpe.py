@@ -4,7 +4,10 @@ Training is a loop of Spark jobs over the *distinct word* table
 ``(word, cnt, syms ARRAY<INT>)`` — never the corpus, never one task:
 
 1. pair counts: ``explode`` adjacent symbol pairs, ``groupBy(l, r)``
-   ``sum(cnt)`` (partial aggregation before the shuffle);
+   ``sum(cnt)`` (partial aggregation before the shuffle) once; afterwards
+   the pair table is updated incrementally: the words a batch changes
+   (found with ``arrays_overlap``) contribute their new pairs and minus
+   their old ones;
 2. the best pairs by (count desc, left id, right id) via a bounded
    ``orderBy().limit()`` (a top-k, one small collect);
 3. an exact batch of merges: the longest contiguous prefix of that ranking
@@ -40,7 +43,7 @@ from tessera.session import cut_lineage
 
 DEFAULT_VOCAB_SIZE = 500_000
 _PAIR_SHIFT = 1 << 24
-WORDS_PER_TASK = 200_000
+WORDS_PER_TASK = 20_000
 
 
 @dataclass
@@ -88,6 +91,19 @@ def _apply_batch(syms: Column, batch: list[tuple[int, int, int]]) -> Column:
     return F.aggregate(syms, init, step, lambda acc: acc["out"])
 
 
+def _pairs(words: DataFrame, syms: str, sign: int = 1) -> DataFrame:
+    """(l, r, cnt): every adjacent symbol pair of every word, weighted by
+    the word count (negated with ``sign=-1``)."""
+    n = F.size(syms)
+    return words.select((F.col("cnt") * sign).alias("cnt"), F.explode(F.arrays_zip(
+        F.slice(syms, 1, n - 1).alias("l"), F.slice(syms, 2, n - 1).alias("r"))).alias("p")) \
+        .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "cnt")
+
+
+def _pair_counts(pairs: DataFrame) -> DataFrame:
+    return pairs.groupBy("l", "r").agg(F.sum("cnt").alias("c")).filter(F.col("c") > 0)
+
+
 def _choose_batch(top: list, id2tok: list, tok2id: dict, room: int, max_batch: int):
     """Exact batch from the ranked pairs (see module docstring)."""
     first = top[0]
@@ -134,24 +150,19 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
         F.array_sort(F.collect_list(F.struct("pos", "cid"))).alias("s")) \
         .select("word", "cnt", F.transform("s", lambda x: x["cid"]).alias("syms"))
     words = words.filter(F.size("syms") >= 2)
-    # one task per WORDS_PER_TASK distinct words: a small table costs one
-    # task per round, a large one still spreads over the cluster
+    # about WORDS_PER_TASK distinct words per task, at most one task per
+    # core: a small table costs few tasks per round, a large one spreads
+    # over the whole cluster
     n_words = words.count()
-    words = cut_lineage(words.repartition(max(1, -(-n_words // WORDS_PER_TASK))))
+    parts = min(spark.sparkContext.defaultParallelism, max(1, -(-n_words // WORDS_PER_TASK)))
+    words = cut_lineage(words.repartition(parts))
 
     merges: list[tuple[int, int, int]] = []
     rounds = 0
+    pc = cut_lineage(_pair_counts(_pairs(words, "syms")))
     cached: list[DataFrame] = []
     while len(id2tok) < vocab_size:
-        n = F.size("syms")
-        pairs = words.select("cnt", F.explode(F.arrays_zip(
-            F.slice("syms", 1, n - 1).alias("l"), F.slice("syms", 2, n - 1).alias("r"))).alias("p")) \
-            .groupBy(F.col("p.l").alias("l"), F.col("p.r").alias("r")) \
-            .agg(F.sum("cnt").alias("c"))
-        top = pairs.orderBy(F.desc("c"), "l", "r").limit(max_batch + 1).collect()
-        for old in cached[:-1]:      # ``words`` is materialised by now
-            old.unpersist()
-        cached = cached[-1:]
+        top = pc.orderBy(F.desc("c"), "l", "r").limit(max_batch + 1).collect()
         if not top or top[0].c < 1:
             break
         batch = _choose_batch(top, id2tok, tok2id, vocab_size - len(id2tok), max_batch)
@@ -166,13 +177,28 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
             merges.append((p.l, p.r, new_id))
             applied.append((p.l, p.r, new_id))
         rounds += 1
-        words = words.select("word", "cnt", _apply_batch(F.col("syms"), applied).alias("syms")) \
-                     .filter(F.size("syms") >= 2)
-        if rounds % checkpoint_every == 0:
-            words = cut_lineage(words)
+        # only words holding both symbols of some merged pair can change
+        maybe = F.arrays_overlap("syms", F.array(*[F.lit(l) for l, _, _ in applied])) & \
+            F.arrays_overlap("syms", F.array(*[F.lit(r) for _, r, _ in applied]))
+        step = words.select("word", "cnt", F.col("syms").alias("old"),
+                            F.when(maybe, _apply_batch(F.col("syms"), applied))
+                             .otherwise(F.col("syms")).alias("syms"))
+        cut = rounds % checkpoint_every == 0
+        step = cut_lineage(step) if cut else step.persist()
+        changed = step.filter(F.col("old") != F.col("syms"))
+        delta = _pairs(changed, "syms").unionByName(_pairs(changed, "old", -1))
+        pc = _pair_counts(pc.select("l", "r", F.col("c").alias("cnt")).unionByName(delta))
+        pc = cut_lineage(pc) if cut else pc.persist()
+        words = step.select("word", "cnt", "syms").filter(F.size("syms") >= 2)
+        if cut:
+            # nothing cached depends on the older frames any more; dropping
+            # a cache that a live cached plan still uses would force Spark
+            # to rebuild (and recompute) that plan
+            for old in cached:
+                old.unpersist()
+            cached = []
         else:
-            words = words.persist()
-            cached.append(words)
+            cached += [step, pc]
     for old in cached:
         old.unpersist()
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id2tok)], "token string, id int")
