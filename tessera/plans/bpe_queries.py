@@ -7,7 +7,6 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.functions.text import SPLIT_TOKEN_RE  # noqa: F401  (documented spelling)
 from tessera.operators import bpe
 from tessera.plans import sqlparts as q
 from tessera.plans.corpus_queries import ids_string

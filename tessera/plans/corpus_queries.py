@@ -98,7 +98,7 @@ def word_vocab(spark, sf):
     return v.table.select("token", F.col("id").cast("bigint").alias("id"))
 
 
-def _encode_sql(max_len: int | None, gram_expr: str | None = None) -> str:
+def _encode_sql(max_len: int | None) -> str:
     """Vocabulary from labelled documents; encode every document."""
     kept = "" if max_len is None else f"WHERE pos <= {max_len - 3}"
     pad = "" if max_len is None else f" || {q.pad_list(f'{max_len - 2} - len(body)')}"
