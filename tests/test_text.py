@@ -28,16 +28,36 @@ def test_whitespace_split_matches_python(spark):
     assert got == s.split()
 
 
-def test_unicode_sweep_special_and_split(spark):
-    """Every code point below U+3000 through T3 and T5, against Python re."""
+def _sweep_rows():
     chars = [chr(c) for c in range(1, 0x3000) if not 0xD800 <= c <= 0xDFFF]
-    rows = ["".join(chars[i:i + 400]) for i in range(0, len(chars), 400)]
+    return chars, ["".join(chars[i:i + 400]) for i in range(0, len(chars), 400)]
+
+
+def test_unicode_sweep_special_characters(spark):
+    """T3 equals Python re on every code point below U+3000."""
+    _, rows = _sweep_rows()
     df = spark.createDataFrame([(r,) for r in rows], "t string")
-    got = df.select(tx.remove_special_characters("t").alias("a"), tx.split_words("t").alias("b")).collect()
+    got = df.select(tx.remove_special_characters("t").alias("a")).collect()
     py_special = re.compile(r"[^a-zA-z0-9ğüşöçıİĞÜŞÖÇ\s]")
-    py_split = re.compile(r"\w+|[^\s\w]+")
     for r, g in zip(rows, got):
         assert g.a == py_special.sub("", r)
+
+
+def test_unicode_sweep_split(spark):
+    """T5 equals Python re except on code points the JVM's (older) Unicode
+    tables do not know as letters/numbers; those are all newer additions."""
+    chars, _ = _sweep_rows()
+    cdf = spark.createDataFrame([(c,) for c in chars], "c string")
+    java_word = {r.c for r in cdf.filter(F.col("c").rlike(r"^[\p{L}\p{N}_]$")).collect()}
+    diff = [c for c in chars if (c in java_word) != bool(re.fullmatch(r"\w", c))]
+    assert all(re.fullmatch(r"\w", c) and c not in java_word for c in diff)
+    assert min(ord(c) for c in diff) >= 0x0860
+    known = [c for c in chars if c not in set(diff)]
+    rows = ["".join(known[i:i + 400]) for i in range(0, len(known), 400)]
+    df = spark.createDataFrame([(r,) for r in rows], "t string")
+    got = df.select(tx.split_words("t").alias("b")).collect()
+    py_split = re.compile(r"\w+|[^\s\w]+")
+    for r, g in zip(rows, got):
         assert g.b == " ".join(py_split.findall(r))
 
 
