@@ -42,3 +42,29 @@ def test_bpe_matches_library(spark):
         skip_special=True).collect()}
     for r in rows[:20]:
         assert dec[r.doc_id] == tk.decode(tk.encode(r.text).ids, skip_special_tokens=True)
+
+
+def test_bpe_save_load_roundtrip(spark):
+    from tessera.session import scratch_dir
+    from tessera.sources import corpus as src
+    df = spark.createDataFrame([(0, "ab ab cd cd ba! zz"), (1, "abab cdcd zz é")],
+                               "doc_id long, text string")
+    m = bpe.train(df, "text", vocab_size=30)
+    path = scratch_dir(spark, "t-bpe")
+    src.save_bpe(m, path)
+    m2 = src.load_bpe(spark, path)
+    assert m2.size == m.size and m2.merge_list == m.merge_list and m2.alphabet == m.alphabet
+    q = spark.createDataFrame([(0, "abcd ba!! Q [PAD] QQ")], "doc_id long, text string")
+    assert bpe.encode(q, m2, "text", ["doc_id"], max_len=None).first().ids == \
+        [1, 12, 13, 15, 5, 5, 0, 3, 0, 0, 2]
+
+
+def test_fit_tokenizer_dispatch(spark):
+    import pytest
+    from tessera.operators.vocab import fit_tokenizer
+    df = spark.createDataFrame([(0, "ab ab")], "doc_id long, text string")
+    assert fit_tokenizer(df, "space").kind == "word"
+    assert fit_tokenizer(df, "ngram", n=2).n == 2
+    assert fit_tokenizer(df, "bpe", vocab_size=8).size == 8
+    with pytest.raises(ValueError):
+        fit_tokenizer(df, "bogus")
