@@ -12,3 +12,17 @@ Layout:
 """
 
 __version__ = "0.1.0"
+
+
+def _ship_with_closures() -> None:
+    """Pickle this package's functions and classes by value, so Python
+    workers (e.g. for the Arrow-batched UDFs) need no installed copy."""
+    import sys
+    try:
+        from pyspark import cloudpickle
+        cloudpickle.register_pickle_by_value(sys.modules[__name__])
+    except Exception:  # noqa: BLE001 - older cloudpickle: fall back to imports
+        pass
+
+
+_ship_with_closures()
