@@ -79,3 +79,22 @@ def test_streaming_encode(spark):
     q.awaitTermination(120)
     got = spark.read.parquet(out)
     assert got.count() == docs.count()
+
+
+def test_read_corpus_dispatch_and_benchmark_sink(spark):
+    df = spark.createDataFrame([(i, f"t {i}", i % 2) for i in range(20)],
+                               "doc_id long, text string, label int")
+    split = src.keyed_split(df, "doc_id", {"train": 0.5, "test": 0.5})
+    norm = src.normalize_benchmark(split, "ag_news", keep=["split"])
+    out = scratch_dir(spark, "t-bench")
+    src.write_benchmark(norm, "ag_news", out)
+    train = spark.read.options(**src.CSV_OPTIONS).csv(f"{out}/ag_news_train")
+    test = spark.read.options(**src.CSV_OPTIONS).csv(f"{out}/ag_news_test")
+    assert train.columns == ["sentence", "target"] and train.count() + test.count() == 20
+    lines = scratch_dir(spark, "t-lines")
+    src.write_lines(df, "text", lines)
+    got = src.read_corpus(spark, lines)
+    assert set(got.columns) >= {"file", "block", "line_id", "text"} and got.count() == 20
+    pq = scratch_dir(spark, "t-pq") + ".parquet"
+    df.write.parquet(pq)
+    assert src.read_corpus(spark, pq).count() == 20
