@@ -126,14 +126,19 @@ def batch_kl(df: DataFrame, mean: str, logvar: str, batch_col: str) -> DataFrame
 
 def macro_f1(df: DataFrame, pred: str, gold: str, n_classes: int) -> DataFrame:
     """Macro F1 over ``n_classes`` one-hot columns (a class never
-    predicted nor present scores 0) and accuracy. Three partial-aggregated
-    counts per class; no class x row expansion. Accuracy = sum(tp) / rows
-    (one-hot rows are equal exactly when the argmax equals the gold)."""
-    per_pred = df.groupBy(F.col(pred).alias("cls")).agg(F.count(F.lit(1)).alias("n_pred"))
-    per_gold = df.groupBy(F.col(gold).alias("cls")).agg(F.count(F.lit(1)).alias("n_gold"))
-    tp = df.filter(F.col(pred) == F.col(gold)).groupBy(F.col(gold).alias("cls")) \
-           .agg(F.count(F.lit(1)).alias("tp"))
-    per = per_pred.join(per_gold, "cls", "full").join(tp, "cls", "left").na.fill(0)
+    predicted nor present scores 0) and accuracy. Every row contributes a
+    predicted-class and a gold-class count (and a hit when they agree) to
+    one partially aggregated ``groupBy(class)``; no class x row expansion.
+    Accuracy = sum(tp) / rows (one-hot rows are equal exactly when the
+    argmax equals the gold)."""
+    hit = (F.col(pred) == F.col(gold)).cast("long")
+    parts = df.select(F.explode(F.array(
+        F.struct(F.col(pred).alias("cls"), F.lit(1).cast("long").alias("np"),
+                 F.lit(0).cast("long").alias("ng"), F.lit(0).cast("long").alias("tp")),
+        F.struct(F.col(gold).alias("cls"), F.lit(0).cast("long").alias("np"),
+                 F.lit(1).cast("long").alias("ng"), hit.alias("tp")))).alias("v"))
+    per = parts.groupBy(F.col("v.cls").alias("cls")).agg(
+        F.sum("v.np").alias("n_pred"), F.sum("v.ng").alias("n_gold"), F.sum("v.tp").alias("tp"))
     f1 = 2 * F.col("tp") / (F.col("n_pred") + F.col("n_gold"))
     return per.agg((F.sum(f1) / F.lit(n_classes)).alias("f1_macro"),
                    (F.sum("tp") / F.sum("n_gold")).alias("accuracy"))
