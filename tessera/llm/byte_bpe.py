@@ -19,14 +19,18 @@ from __future__ import annotations
 
 import base64
 import struct
-from itertools import accumulate
+from itertools import accumulate, chain
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: pieces whose ids a worker keeps (about 250 bytes each); it starts anew when full
-MEMO_PIECES = 300_000
+from tessera.llm.hashed_words import SLICE, mixed
+
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+#: pieces and stretches whose ids a worker keeps (about 250 bytes each)
+MEMO_PIECES = 400_000
 #: token pairs whose compatibility a worker keeps
 MEMO_PAIRS = 500_000
 
@@ -171,33 +175,221 @@ class PieceTable:
         return out[::-1]
 
 
-class _Memo(dict):
-    """str piece -> its ids as little-endian 32-bit integers."""
+class _Table:
+    """64-bit keys -> ids, looked up for whole arrays (open addressing)."""
+
+    def __init__(self, keys: np.ndarray, ids: np.ndarray):
+        bits = max(4, int(len(keys) * 8).bit_length())
+        self.shift, self.mask = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ids = np.zeros(1 << bits, np.uint64), np.full(1 << bits, -1, np.int32)
+        self.probes, left, step = 0, np.arange(len(keys)), 0
+        home = (mixed(keys) >> self.shift).astype(np.int64)
+        while len(left):
+            slot = (home[left] + step) & self.mask
+            free = np.flatnonzero(self.ids[slot] < 0)
+            _, first = np.unique(slot[free], return_index=True)
+            take = free[first]
+            self.keys[slot[take]], self.ids[slot[take]] = keys[left[take]], ids[left[take]]
+            left, step = np.delete(left, take), step + 1
+        self.probes = step
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        slot = (mixed(keys) >> self.shift).astype(np.int64)
+        out = np.full(len(keys), -1, np.int32)
+        open_ = np.arange(len(keys))
+        for _ in range(self.probes):
+            here, at = self.ids[slot], self.keys[slot] == keys[open_]
+            hit = at & (here >= 0)
+            out[open_[hit]] = here[hit]
+            on = ~at & (here >= 0)  # an empty slot ends the search
+            open_, slot = open_[on], (slot[on] + 1) & self.mask
+            if not len(open_):
+                break
+        return out
+
+
+class PieceBatch:
+    """The same tables for many pieces at once, column by column in numpy:
+    all pieces of one length are extended by one byte together. Substrings
+    are looked up by 64-bit polynomial hashes; the vocabulary is checked for
+    collisions once, and every token that is found is compared with the
+    piece's bytes."""
+
+    #: longer pieces get a table of their own
+    LONGEST = 32
 
     def __init__(self, vocabulary: Vocabulary):
-        super().__init__()
         self.vocabulary = vocabulary
+        self.power = np.cumprod(np.full(self.LONGEST + 1, _BASE))
+        tokens = [(t, i) for t, i in vocabulary.reach.items() if len(t) <= self.LONGEST]
+        keys = np.array([self._hash(t) for t, _ in tokens], np.uint64)
+        if len(np.unique(keys)) < len(keys):
+            raise ValueError("two tokens share a hash")
+        self.tokens = _Table(keys, np.array([i for _, i in tokens], np.int32))
+        made = vocabulary.made
+        self.made = _Table(np.array([a << 32 | b for a, b in made], np.uint64),
+                           np.array(list(made.values()), np.int32))
+        self.left, self.right = np.array(vocabulary.left), np.array(vocabulary.right)
+        self.length = np.array([len(x) for x in vocabulary.bytes_of])
+        self.bytes_of = np.zeros((len(self.length), self.LONGEST), np.uint8)
+        for t, i in tokens:
+            self.bytes_of[i, :len(t)] = np.frombuffer(t, np.uint8)
+
+    @staticmethod
+    def _hash(data: bytes) -> int:
+        h = 0
+        for b in data:
+            h = (h * int(_BASE) + b + 1) & (1 << 64) - 1
+        return h
+
+    def follows(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """``Vocabulary.follows`` for arrays of pairs."""
+        out, at = np.zeros(len(a), bool), np.arange(len(a))
+        a, b, limit = a.astype(np.int64), b.astype(np.int64), np.full(len(a), len(self.left) + 1)
+        while len(at):
+            whole = self.made.find((a << 32 | b).view(np.uint64))
+            on = ~((whole >= 0) & (whole < limit))
+            at, a, b, limit = at[on], a[on], b[on], limit[on]
+            first = a > b
+            # undo the later merge of the two; a single byte has none, then the other's
+            ends = np.zeros(len(at), bool)
+            for turn in (0, 1):
+                left_side = first if turn == 0 else stuck & ~first
+                right_side = ~first if turn == 0 else stuck & first
+                new_a, new_b = self.right[a], self.left[b]
+                stay_a, stay_b = left_side & (new_a == a), right_side & (new_b == b)
+                limit = np.where(left_side, a, np.where(right_side, b + 1, limit))
+                a, b = np.where(left_side, new_a, a), np.where(right_side, new_b, b)
+                stuck = stay_a | stay_b
+                if turn:
+                    ends = stuck
+            out[at[ends]] = True
+            at, a, b, limit = at[~ends], a[~ends], b[~ends], limit[~ends]
+        return out
 
-    def __missing__(self, piece: str) -> bytes:
-        data = piece.encode()
-        whole = self.vocabulary.ranks.get(data)
-        ids = [whole] if whole is not None else PieceTable(self.vocabulary, data).ids()
-        if len(self) >= MEMO_PIECES:
-            self.clear()
-        out = self[piece] = struct.pack(f"<{len(ids)}I", *ids)
+    def encode(self, pieces: list[bytes]) -> list[bytes]:
+        """The ids of each piece as little-endian 32-bit integers."""
+        out: list[bytes] = [b""] * len(pieces)
+        short = sorted((k for k, p in enumerate(pieces) if 0 < len(p) <= self.LONGEST), key=lambda k: -len(pieces[k]))
+        for k, p in enumerate(pieces):
+            if len(p) > self.LONGEST:
+                ids = PieceTable(self.vocabulary, p).ids()
+                out[k] = struct.pack(f"<{len(ids)}I", *ids)
+        if short:
+            length = np.array([len(pieces[k]) for k in short])
+            data = np.zeros((len(short), int(length[0])), np.uint8)
+            data[np.arange(data.shape[1]) < length[:, None]] = np.frombuffer(
+                b"".join([pieces[k] for k in short]), np.uint8)
+            for k, ids in zip(short, self._ids(self._last(data, length), length)):
+                out[k] = ids
         return out
 
+    def _last(self, data: np.ndarray, length: np.ndarray) -> np.ndarray:
+        """(prefix, piece) last tokens; row 0 is not used. Pieces come with
+        the longest first, so those that reach a byte are the first ones."""
+        m, n = data.shape
+        last = np.full((n + 1, m), -1, np.int32)
+        code = np.ascontiguousarray(data.T).astype(np.uint64) + np.uint64(1)
+        ending = np.zeros((n, m), np.uint64)  # hash of bytes start:end, by start
+        for end in range(1, n + 1):
+            here = int(np.searchsorted(-length, -end, "right"))
+            ending[:end, :here] *= _BASE
+            ending[:end, :here] += code[end - 1, :here]
+            open_ = np.arange(here)
+            for start in range(end):
+                token = self.tokens.find(ending[start][open_])
+                have = np.flatnonzero(token >= 0)
+                if not len(have):
+                    continue
+                row, token = open_[have], token[have]
+                good = (self.length[token] == end - start)
+                good &= (self.bytes_of[token, :end - start] == data[row, start:end]).all(axis=1)
+                if start:
+                    good[good] = self.follows(last[start, row[good]], token[good])
+                last[end, row[good]] = token[good]
+                open_ = np.delete(open_, have[good])
+                if not len(open_):
+                    break
+        return last
+
+    def _ids(self, last: np.ndarray, length: np.ndarray) -> list[bytes]:
+        """Reads each piece's table backwards, all pieces a token at a time."""
+        n, m = last.shape[0] - 1, last.shape[1]
+        ids, count = np.zeros((m, n), "<u4"), np.zeros(m, np.int64)
+        row, at, k = np.arange(m), length.copy(), 0
+        while len(row):
+            k += 1
+            token = last[at, row]
+            ids[row, n - k] = token
+            count[row] = k
+            at = at - self.length[token]
+            row, at = row[at > 0], at[at > 0]
+        flat = ids.tobytes()
+        return [flat[4 * ((r + 1) * n - c):4 * (r + 1) * n] for r, c in enumerate(count.tolist())]
+
 
 class Encoder:
-    """Encodes whole texts: each match of the pattern on its own."""
+    """Encodes whole texts: each match of the pattern on its own.
+
+    A single space between two characters that are not white space always
+    begins a match, so a text is cut there first and the ids of each stretch
+    are kept; stretches not known yet are matched, and the pieces not known
+    yet are encoded together."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
+        import re
+
         import regex
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
-        self.memo = _Memo(vocabulary)
+        self.batch = PieceBatch(vocabulary)
+        #: whether the pattern takes letters with the space before them, and marks apart
+        self.plain = [self.split(x) for x in (" ab", " ab,", " \xe9.")] == [[" ab"], [" ab", ","], [" \xe9", "."]]
+        #: white space beside a space: there the text is cut by the slower rule
+        self.wide = re.compile(r"\s | \s|\A | \Z").search
+        self.cut = re.compile(r"(?<=\S) (?=\S)").split
+        self.pieces: dict[str, bytes] = {}
+        self.stretches: dict[str, bytes] = {}
+
+    def _pieces(self, stretch: str) -> list[str]:
+        """The pattern's matches; two common shapes need no matching: a space
+        and letters, and the same with one mark behind it."""
+        word = stretch[1:]
+        if self.plain and stretch[:1] == " ":
+            if word.isalpha():
+                return [stretch]
+            if word[-1:] in ",.;:!?" and word[:-1].isalpha():
+                return [stretch[:-1], word[-1]]
+        return self.split(stretch)
+
+    def _learn(self, stretches) -> list[bytes]:
+        """The ids of unknown stretches, in their order; of a full memo of
+        pieces only those needed now stay."""
+        found = list(map(self._pieces, stretches))
+        needed = set(chain.from_iterable(found))
+        if len(self.pieces) > MEMO_PIECES:
+            self.pieces = {p: self.pieces[p] for p in needed if p in self.pieces}
+        ranks, known = self.vocabulary.ranks, self.pieces
+        new = list(needed.difference(known))
+        data = [p.encode() for p in new]
+        whole = [ranks.get(d) for d in data]
+        made = iter(self.batch.encode([d for d, w in zip(data, whole) if w is None]))
+        known.update((p, struct.pack("<I", w) if w is not None else next(made)) for p, w in zip(new, whole))
+        return [b"".join(map(known.__getitem__, ps)) for ps in found]
+
+    def encode_all(self, texts: list[str]) -> list[bytes]:
+        cut = [(self.cut(t) if self.wide(t) else t.split(" ")) for t in texts]
+        firsts = self._learn([parts.pop(0) for parts in cut])
+        needed = set().union(*cut)
+        if len(self.stretches) > MEMO_PIECES:
+            self.stretches = {x: self.stretches[x] for x in needed if x in self.stretches}
+        known = self.stretches  # each without the space that begins it
+        unknown = list(needed.difference(known))
+        if unknown:
+            known.update(zip(unknown, self._learn([" " + x for x in unknown])))
+        return [first + b"".join(map(known.__getitem__, parts)) for first, parts in zip(firsts, cut)]
 
     def encode(self, text: str | None) -> bytes:
-        return b"".join(map(self.memo.__getitem__, self.split(text))) if text else b""
+        return self.encode_all([text or ""])[0]
 
     def append(self, text: str, ids: bytes, more: str, keep_back: int = 3) -> bytes:
         """The ids of ``text + more`` from those of ``text``. New text can
@@ -205,7 +397,7 @@ class Encoder:
         letters after its mark), so all but the last few are kept."""
         pieces = self.split(text)
         kept = pieces[:-keep_back]
-        n = sum(len(self.memo[p]) for p in kept)
+        n = sum(map(len, self._learn(kept)))
         return ids[:n] + self.encode("".join(pieces[len(kept):]) + more)
 
     def decode(self, ids: bytes | None) -> bytes:
@@ -215,6 +407,19 @@ class Encoder:
                             struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
+def _encode_column(encoder: Encoder, texts) -> list[bytes]:
+    """Texts are taken together, about ``2 * SLICE`` characters at once."""
+    out, part, size = [], [], 0
+    for x in texts:
+        text = x.as_py() or ""
+        part.append(text)
+        size += len(text)
+        if size >= 2 * SLICE:
+            out += encoder.encode_all(part)
+            part, size = [], 0
+    return out + encoder.encode_all(part) if part else out
+
+
 _ENCODERS: dict[tuple[str, str], Encoder] = {}
 
 
@@ -252,7 +457,7 @@ class ByteBpe:
         @F.arrow_udf(T.BinaryType())
         def run(texts):
             e = _encoder(shared, key, pattern)
-            return _blocks([e.encode(x.as_py()) for x in texts])
+            return _blocks(_encode_column(e, texts))
 
         return df.withColumn(ids, run(F.col(f"`{text}`").cast("string")))
 
