@@ -18,14 +18,17 @@ name of an output column is replaced.
 from __future__ import annotations
 
 import base64
+import pickle
 import struct
 from itertools import accumulate, chain
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from tessera.llm.common import worker_cache
 from tessera.llm.hashed_words import SLICE, mixed
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -420,15 +423,13 @@ def _encode_column(encoder: Encoder, texts) -> list[bytes]:
     return out + encoder.encode_all(part) if part else out
 
 
-_ENCODERS: dict[tuple[str, str], Encoder] = {}
-
-
 def _encoder(shared, key: str, pattern: str) -> Encoder:
-    """One encoder a Python worker, so its memo serves every batch."""
-    if (key, pattern) not in _ENCODERS:
-        _ENCODERS.clear()
-        _ENCODERS[key, pattern] = Encoder(shared.value, pattern)
-    return _ENCODERS[key, pattern]
+    """One encoder a Python worker, so its memos serve all its tasks."""
+    cache = worker_cache("byte_bpe")
+    if (key, pattern) not in cache:
+        cache.clear()
+        cache[key, pattern] = Encoder(pickle.loads(shared.value), pattern)
+    return cache[key, pattern]
 
 
 def _blocks(rows: list[bytes]):
@@ -447,7 +448,7 @@ class ByteBpe:
     def __init__(self, spark, path: str, pattern: str):
         from uuid import uuid4
         self.pattern, self.key = pattern, uuid4().hex
-        self.shared = spark.sparkContext.broadcast(Vocabulary(read_ranks(spark, path)))
+        self.shared = spark.sparkContext.broadcast(cloudpickle.dumps(Vocabulary(read_ranks(spark, path))))
 
     def encode(self, df: DataFrame, text: str = "text", ids: str = "ids") -> DataFrame:
         """``df`` with ``ids``: the text's ids as little-endian unsigned

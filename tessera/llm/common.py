@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import hashlib
-import uuid
+import sys
+from types import ModuleType
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -57,9 +57,7 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def sha256_hex(data: bytes) -> str:
-    return hashlib.sha256(data).hexdigest()
-
-
-def unique_name(stem: str) -> str:
-    return f"{stem}_{uuid.uuid4().hex[:12]}"
+def worker_cache(name: str) -> dict:
+    """A dict that lives as long as the Python worker. This package's code is
+    shipped with each task, so its own globals are new in every task."""
+    return vars(sys.modules.setdefault("tessera_worker_cache", ModuleType("tessera_worker_cache"))).setdefault(name, {})

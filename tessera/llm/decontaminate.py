@@ -44,19 +44,14 @@ def word_hashes(text: Column) -> Column:
 
 def seeds(hashes: Column) -> Column:
     """(pos, seed) of every position and mask."""
-    def of(a: Column) -> Column:
-        parts = []
-        for k, mask in enumerate(MASKS):
-            ones = [o for o, m in enumerate(mask) if m == "1"]
-            parts.append(F.when(F.size(a) >= len(mask), F.transform(
-                F.sequence(F.lit(0), F.size(a) - len(mask)),
-                lambda i, k=k, ones=ones: F.struct(
-                    i.alias("pos"),
-                    F.xxhash64(F.lit(k), *[F.get(a, i + o) for o in ones]).alias("seed"))))
-                .otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>")))
-        return F.concat(*parts)
-
-    return bind(hashes, of)
+    def under(a: Column, k: int, mask: str) -> Column:
+        ones = [o for o, m in enumerate(mask) if m == "1"]
+        return F.when(F.size(a) >= len(mask), F.transform(
+            F.sequence(F.lit(0), F.size(a) - len(mask)),
+            lambda i: F.struct(i.alias("pos"), F.xxhash64(F.lit(k), *[F.get(a, i + o) for o in ones]).alias("seed"))
+        )).otherwise(F.array().cast("array<struct<pos:int,seed:bigint>>"))
+
+    return bind(hashes, lambda a: F.concat(*[under(a, k, mask) for k, mask in enumerate(MASKS)]))
 
 
 def _agreement(doc_words: Column, item_words: Column, window: int) -> Column:

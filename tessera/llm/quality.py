@@ -17,47 +17,53 @@ output column is replaced.
 
 from __future__ import annotations
 
+import pickle
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import cloudpickle
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import bind
-from tessera.llm.hashed_words import letter_table, text_slices, words
+from tessera.llm.hashed_words import letter_table, mixed, text_slices, words
 
 MAX_TRAIN = 6000
 WORD_BITS, SHAPES, SHARES = 18, 48 ** 3, 12
+FEATURES = (1 << WORD_BITS) + SHAPES + SHARES
 EPOCHS, SEED = 12, 11
 SYMBOLS = "#$%&*|<>{}[]\\^~=_@!+"
 _CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÑÓÔÖÙÚÛÜ"
 
 
-def _between(x: Column, bad_below: float, good_from: float, good_to: float, bad_above: float) -> Column:
-    """1 inside the good range, 0 outside the bad limits, else no vote (-1)."""
-    return (F.when((x < bad_below) | (x > bad_above), 0).when((x >= good_from) & (x <= good_to), 1).otherwise(-1))
-
-
 def votes(text: Column) -> Column:
-    """Votes of the labellers: 1 good, 0 bad, -1 none."""
+    """Votes of the labellers: 1 good, 0 bad, -1 none. Those that look for a
+    defect say nothing about a text without it; every defect has more than
+    one, so that they overlap."""
     def count(t: Column, characters: str) -> Column:
         return F.length(t) - F.length(F.translate(t, characters, ""))
 
     def of(b: Column) -> Column:
-        t, w, lines = b["t"], b["w"], b["lines"]
-        n, chars = F.size(w), F.greatest(F.length(t), F.lit(1))
-        some = n >= 5
-        ends = F.size(F.filter(w, lambda x: F.substring(x, -1, 1).isin(".", "!", "?")))
+        t, w, lines, at_least = b["t"], b["w"], b["lines"], F.greatest
+        n = F.size(w)
+        some, words_, chars = n >= 5, at_least(n, F.lit(1)), at_least(F.length(t), F.lit(1))
+        share = lambda test: F.size(F.filter(w, test)) / words_
+        capitals, symbols = count(t, _CAPITALS) / chars, count(t, SYMBOLS) / words_
+        distinct = F.size(F.array_distinct(w)) / words_
+        again = F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) / words_
+        small, big = share(lambda x: x == F.lower(x)), share(lambda x: (x == F.upper(x)) & (F.length(x) > 1))
+        ends = share(lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))
+        marks = share(lambda x: F.substring(x, -2, 2).rlike(r"^[^\p{L}\p{N}]{1,2}$"))
+        bad = lambda test: F.when(test, 0)
         judged = [
-            _between(n.cast("double"), 5, 20, 1e12, 1e12),
-            F.when(some, _between(count(t, _CAPITALS) / chars, -1, 0, 0.15, 0.4)),
-            F.when(some, _between(count(t, SYMBOLS) / n, -1, 0, 0.05, 0.15)),
-            F.when(n >= 40, _between(F.size(F.array_distinct(w)) / n, 0.2, 0.35, 1, 1)),
-            F.when(some, _between((chars - n + 1) / n, 2, 3, 9, 14)),
-            F.when(n >= 20, _between(ends / n, 0.005, 0.02, 0.3, 0.5)),
-            F.when(F.size(lines) >= 4, _between(F.size(F.array_distinct(lines)) / F.size(lines), 0.5, 0.8, 1, 1)),
-            F.when(some, _between(count(t, "0123456789") / chars, -1, 0, 0.05, 0.2)),
+            bad(n < 5), bad(some & (F.length(t) < 25)),
+            bad(some & (capitals > 0.4)), bad(some & (big > 0.6)),
+            bad(some & (symbols > 0.15)), bad(some & (marks > 0.2)),
+            bad((n >= 40) & (distinct < 0.2)), bad(some & (again > 0.15)),
+            F.when((F.size(lines) >= 4) & (F.size(F.array_distinct(lines)) < 0.5 * F.size(lines)), 0),
+            F.when((n >= 20) & small.between(0.7, 1) & (symbols < 0.05) & (again < 0.05), 1).when(some & (small < 0.4), 0),
+            F.when((n >= 20) & ends.between(0.01, 0.4) & (distinct > 0.3) & (capitals < 0.15) & (marks < 0.1), 1),
         ]
         return F.array(*[F.coalesce(v, F.lit(-1)).cast("tinyint") for v in judged])
 
@@ -122,8 +128,9 @@ def features(data: np.ndarray, starts: np.ndarray, letters: np.ndarray, shapes:
     byte_text = np.repeat(np.arange(n), size)
     inside = byte_text[:-2] == byte_text[2:] if len(c) > 2 else np.zeros(0, bool)
     three, three_text = three[inside], byte_text[:-2][inside] if len(c) > 2 else np.zeros(0, np.int64)
-    pair = np.unique(np.stack((word_text, hashes.view(np.int64))), axis=1)[0] if len(hashes) else np.zeros(0, np.int64)
-    distinct = np.bincount(pair, minlength=n)
+    # a word once a text: the text's number changes all bits of the hash
+    _, first = np.unique(hashes ^ mixed(word_text.astype(np.uint64) + np.uint64(1)), return_index=True)
+    distinct = np.bincount(word_text[first], minlength=n)
     share = np.minimum((10 * distinct / np.maximum(counts, 1)).astype(np.int64) + (counts > 0), SHARES - 1)
     text = np.concatenate((word_text, three_text, np.arange(n)))
     feature = np.concatenate((code, three + (1 << WORD_BITS), share + (1 << WORD_BITS) + SHAPES))
@@ -145,8 +152,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
     """``rows``: (features, shares, posterior); Adagrad on the cross-entropy
     with the posterior."""
     rng = np.random.default_rng(SEED)
-    w, s, bias, bias_sum = np.zeros((1 << WORD_BITS) + SHAPES + SHARES), None, 0.0, 1e-2
-    s = np.full_like(w, 1e-4)
+    w, s, bias, bias_sum = np.zeros(FEATURES), np.full(FEATURES, 1e-4), 0.0, 1e-2
     for _ in range(EPOCHS):
         for k in rng.permutation(len(rows)):
             f, x, y = rows[k]
@@ -162,7 +168,7 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
 def fit(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN):
     """(scorer, {votes: posterior}, accuracies), None without documents."""
     text = F.col(f"`{text_col}`").cast("string")
-    seen = docs.select(votes(text).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect()  # 3 ** 8 at most
+    seen = docs.select(votes(text).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect()  # 3 ** 11 at most
     if not seen:
         return None
     patterns, counts = np.array([r["v"] for r in seen]), np.array([r["n"] for r in seen], float)
@@ -176,11 +182,12 @@ def fit(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN):
             f_out, x_out = [], []
             for data, starts in text_slices(batch.column("t")):
                 t, f, x = features(data, starts, letters, shapes)
-                for k in range(len(starts) - 1):
-                    here = t == k
-                    u, at = np.unique(f[here], return_inverse=True)
-                    f_out.append(u.astype(np.int32).tobytes())
-                    x_out.append(np.bincount(at, x[here]).astype(np.float32).tobytes())
+                u, at = np.unique(t * FEATURES + f, return_inverse=True)
+                x = np.bincount(at, x).astype(np.float32)
+                cut = np.searchsorted(u, np.arange(len(starts)) * FEATURES)
+                for a, b in zip(cut, cut[1:]):
+                    f_out.append((u[a:b] % FEATURES).astype(np.int32).tobytes())
+                    x_out.append(x[a:b].tobytes())
             yield pa.record_batch([batch.column("v"), pa.array(f_out, pa.binary()), pa.array(x_out, pa.binary())],
                                   names=["v", "f", "x"])
 
@@ -201,17 +208,18 @@ def classify(docs: DataFrame, model, text_col: str = "text", threshold: float =
         return (docs.withColumn("posterior", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))
                 .withColumn("keep", F.lit(None).cast("boolean")))
     scorer, known, _ = model
-    shared = docs.sparkSession.sparkContext.broadcast(scorer)
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorer))
     letters, shapes = letter_table(), _shape_table()
 
     @F.arrow_udf(T.DoubleType())
     def run(texts):
         import pyarrow as pa
-        out = [shared.value.score(*features(data, starts, letters, shapes), len(starts) - 1)
+        net = pickle.loads(shared.value)
+        out = [net.score(*features(data, starts, letters, shapes), len(starts) - 1)
                for data, starts in text_slices(texts)]
         return pa.array(np.concatenate(out).astype(float) if out else np.zeros(0))
 
-    # at most 3 ** 8 patterns: a literal map keyed by the votes as digits
+    # at most 3 ** 11 patterns: a literal map keyed by the votes as digits
     by = F.create_map(*[F.lit(x) for v, p in known.items() for x in ("".join(str(k + 1) for k in v), p)])
     digits = F.array_join(F.transform(votes(text), lambda v: (v + 1).cast("string")), "")
     return (docs.withColumn("posterior", F.element_at(by, digits)).withColumn("score", run(text))

@@ -28,21 +28,21 @@ b AS (SELECT item_id, trim(regexp_replace(lower(coalesce(text, '')), '[^\p{L}\p{
 dw AS (SELECT doc_id, string_split(s, ' ') AS w FROM d WHERE s <> '' AND doc_id IS NOT NULL),
 bw AS (SELECT DISTINCT item_id, string_split(s, ' ') AS w FROM b WHERE s <> '' AND item_id IS NOT NULL),
 masks AS (SELECT * FROM (VALUES (1, 8, [0, 1, 3, 4, 6, 7]), (2, 9, [0, 1, 2, 5, 7, 8])) AS m(mask, span, ones)),
-ds AS (SELECT doc_id, mask, i AS pos, list_transform(ones, o -> w[i + o + 1]) AS seed
+ds AS (SELECT doc_id, mask, i AS pos, list_transform(ones, lambda o: w[i + o + 1]) AS seed
        FROM dw, masks, unnest(range(0, greatest(len(w) - span + 1, 0))) AS r(i)),
-bs AS (SELECT item_id, mask, i AS pos, list_transform(ones, o -> w[i + o + 1]) AS seed
+bs AS (SELECT item_id, mask, i AS pos, list_transform(ones, lambda o: w[i + o + 1]) AS seed
        FROM bw, masks, unnest(range(0, greatest(len(w) - span + 1, 0))) AS r(i)),
 hits AS (SELECT DISTINCT ds.doc_id, bs.item_id, ds.pos - bs.pos AS start
          FROM ds JOIN bs ON ds.mask = bs.mask AND ds.seed = bs.seed),
 aligned AS (
   SELECT h.doc_id, h.item_id, h.start, len(bw.w) AS n_words,
          list_transform(range(greatest(0, -h.start), least(len(bw.w), len(dw.w) - h.start)),
-                        q -> CASE WHEN bw.w[q + 1] = dw.w[q + h.start + 1] THEN 1 ELSE 0 END) AS same
+                        lambda q: CASE WHEN bw.w[q + 1] = dw.w[q + h.start + 1] THEN 1 ELSE 0 END) AS same
   FROM hits h JOIN dw USING (doc_id) JOIN bw USING (item_id)),
 judged AS (
   SELECT doc_id, item_id, start, n_words, list_sum(same) AS n_match,
          list_max(list_transform(range(1, greatest(len(same) - 13 + 1, 1) + 1),
-                                 i -> list_sum(list_slice(same, i, i + 12)))) AS best
+                                 lambda i: list_sum(list_slice(same, i, i + 12)))) AS best
   FROM aligned)
 SELECT doc_id, item_id, CAST(n_match AS BIGINT) AS n_match, n_words, CAST(best AS BIGINT) AS best, start
 FROM judged WHERE best >= ceil(least(13, n_words) * 0.8)
