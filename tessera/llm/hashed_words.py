@@ -45,9 +45,12 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(33))
 
 
-def words(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def words(data: np.ndarray, starts: np.ndarray, table: np.ndarray,
+          prefixes: tuple[int, ...] = ()) -> tuple[np.ndarray, np.ndarray]:
     """(hashes of all words, number of words of each text); ``starts`` are
-    the texts' offsets in ``data``, with the end as one more."""
+    the texts' offsets in ``data``, with the end as one more. With
+    ``prefixes`` (numbers of bytes) the hashes have a column for the word
+    and one for each of its beginnings."""
     code = table[data]
     inside = code != 0
     first = inside.copy()
@@ -56,7 +59,8 @@ def words(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.n
     first[border] |= inside[border]
     begin = np.flatnonzero(first)
     if not len(begin):
-        return np.zeros(0, np.uint64), np.zeros(len(starts) - 1, np.int64)
+        none = np.zeros((0, 1 + len(prefixes)) if prefixes else 0, np.uint64)
+        return none, np.zeros(len(starts) - 1, np.int64)
     last = inside.copy()
     last[:-1] &= ~inside[1:]
     end = starts[1:-1][(starts[1:-1] > 0)] - 1
@@ -66,6 +70,10 @@ def words(data: np.ndarray, starts: np.ndarray, table: np.ndarray) -> tuple[np.n
     power, inverse = _powers(size)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * power[:len(data)])))
     hashes = mixed((total[stop] - total[begin]) * inverse[begin])
+    if prefixes:
+        heads = [mixed((total[np.minimum(stop, begin + k)] - total[begin]) * inverse[begin] + np.uint64(k))
+                 for k in prefixes]
+        hashes = np.stack((hashes, *heads), axis=1)
     return hashes, np.diff(np.searchsorted(begin, starts))
 
 
