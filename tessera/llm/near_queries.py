@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tessera.llm.common import table
 from tessera.llm.cover_tree import near_duplicates
 from tessera.llm.registry import query
+from tessera.llm.repeats import remove_repeats
 from tessera.llm.simhash import document_groups
 
 
@@ -41,3 +42,11 @@ FROM low LEFT JOIN n USING (vec_id)
 def op5_cover_tree(spark, sf_dir):
     found = near_duplicates(table(spark, sf_dir, "embeddings"), min_cosine=0.9)
     return found.select("vec_id", "n_links", "component_id", "kept")
+
+
+@query("op9_repeats")
+def op9_repeats(spark, sf_dir):
+    """Tested against a brute-force version."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = remove_repeats(docs, window=200)
+    return out.select("doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256"))
