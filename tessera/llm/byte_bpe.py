@@ -337,19 +337,15 @@ class Encoder:
     A single space between two characters that are not white space always
     begins a match, so a text is cut there first and the ids of each stretch
     are kept; stretches not known yet are matched, and the pieces not known
-    yet are encoded together."""
+    yet are encoded together. A text with white space beside a space is
+    matched as a whole."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
-        import re
-
         import regex
         self.vocabulary, self.split = vocabulary, regex.compile(pattern).findall
         self.batch = PieceBatch(vocabulary)
         #: whether the pattern takes letters with the space before them, and marks apart
         self.plain = [self.split(x) for x in (" ab", " ab,", " \xe9.")] == [[" ab"], [" ab", ","], [" \xe9", "."]]
-        #: white space beside a space: there the text is cut by the slower rule
-        self.wide = re.compile(r"\s | \s|\A | \Z").search
-        self.cut = re.compile(r"(?<=\S) (?=\S)").split
         self.pieces: dict[str, bytes] = {}
         self.stretches: dict[str, bytes] = {}
 
@@ -380,15 +376,21 @@ class Encoder:
         return [b"".join(map(known.__getitem__, ps)) for ps in found]
 
     def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [(self.cut(t) if self.wide(t) else t.split(" ")) for t in texts]
-        firsts = self._learn([parts.pop(0) for parts in cut])
+        cut = [t.split(" ") for t in texts]
         needed = set().union(*cut)
         if len(self.stretches) > MEMO_PIECES:
             self.stretches = {x: self.stretches[x] for x in needed if x in self.stretches}
         known = self.stretches  # each without the space that begins it
-        unknown = list(needed.difference(known))
-        if unknown:
-            known.update(zip(unknown, self._learn([" " + x for x in unknown])))
+        unknown = needed.difference(known)
+        wide = {x for x in unknown if not x or x[0].isspace() or x[-1].isspace()}
+        whole = [k for k, parts in enumerate(cut) if not wide.isdisjoint(parts)] if wide else []
+        for k in whole:
+            cut[k] = [texts[k]]
+        if wide:
+            unknown = set().union(*cut).difference(known)
+        firsts = self._learn([parts.pop(0) for parts in cut])
+        new = list(unknown.intersection(chain.from_iterable(cut)) if wide else unknown)
+        known.update(zip(new, self._learn([" " + x for x in new])))
         return [first + b"".join(map(known.__getitem__, parts)) for first, parts in zip(firsts, cut)]
 
     def encode(self, text: str | None) -> bytes:

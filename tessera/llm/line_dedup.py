@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import LOWER, SPACES, UPPER, bind, fresh
+from tessera.llm.common import LOWER, SPACES, UPPER, bind, checkpointed, fresh
 
 
 def _line_hashes(text: Column, min_length: int) -> Column:
@@ -50,7 +50,9 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     else:
         shared = (lines.distinct().groupBy("h1", "h2").agg(*keeper, F.count("*").alias("n"))
                   .where(F.col("n") >= min_docs))
-    dropped = (lines.join(shared.select("h1", "h2", "keeper"), ["h1", "h2"])
+    # cut off, so that the join's own exchanges can split a line that very many documents hold
+    shared = checkpointed(shared.select("h1", "h2", "keeper"))
+    dropped = (lines.join(shared, ["h1", "h2"])
                .where(F.col("d") != F.col("keeper"))
                .groupBy("d").agg(F.collect_set(F.struct("h1", "h2")).alias("gone")))
     gone, mark = fresh(docs, "gone"), fresh(docs, "mark")

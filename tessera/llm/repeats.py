@@ -48,6 +48,8 @@ GRAM, CELL = 32, 16
 #: share of documents that is looked at for frequent grams, and the share of
 #: its rows that makes a gram frequent (so there are at most 1000)
 HOT_SAMPLE, HOT_SHARE = 64, 1000
+#: rows of the sample below which no gram is frequent
+HOT_LEAST = 20
 HOT_PARTS = 64
 
 
@@ -281,7 +283,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     # frequent grams, from a sample; exactness does not depend on it
     some = blocks(rows.where(F.pmod("k1", F.lit(HOT_SAMPLE)) == 0), window).groupBy("gram").agg(F.count("*").alias("n"))
     some = checkpointed(some)
-    least = max(20, (some.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
+    least = max(HOT_LEAST, (some.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
     hot = np.array(sorted(r["gram"] for r in some.where(F.col("n") > least).select("gram").collect()), np.int64)
     is_hot = F.col("gram").isin([int(g) for g in hot]) if len(hot) else F.lit(False)
     salt = F.when(is_hot, F.pmod("whole", F.lit(HOT_PARTS))).otherwise(0)
