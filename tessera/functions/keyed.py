@@ -5,8 +5,10 @@ partitioning, repeat across task retries, and can be recomputed in SQL.
     h(salt, row, pos) = md5(concat_ws(':', seed, epoch, salt, row, pos))
     u32               = first 8 hex digits of h as an integer
 
-A sortable per-position key is ``u32 * 2^22 + pos`` (unique per position,
-positions below 4,194,304); "k of n without replacement" = the k smallest keys.
+A sortable per-position key is ``u32 * 2^31 + pos``: 63 bits, so it is unique
+for every position that an array can have; "k of n without replacement" = the
+k smallest keys. Uniform indexes are drawn from 60 bits, so every row of any
+table can be drawn and the modulo's bias is below n / 2^60.
 """
 
 from __future__ import annotations
@@ -14,7 +16,7 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-POS_BITS = 22
+POS_BITS = 31
 POS_SCALE = 1 << POS_BITS
 
 
@@ -34,15 +36,21 @@ def u32(seed, epoch, salt: str, row, pos) -> Column:
     return F.conv(F.substring(h, 1, 8), 16, 10).cast("bigint")
 
 
+def u60(seed, epoch, salt: str, row, pos) -> Column:
+    """Uniform integer in [0, 2^60)."""
+    h = keyed_hash(seed, epoch, salt, row, pos)
+    return F.conv(F.substring(h, 1, 15), 16, 10).cast("bigint")
+
+
 def position_key(seed, epoch, salt: str, row, pos: Column) -> Column:
-    """Unique sortable key of a position: u32 * 2^22 + pos."""
+    """Unique sortable key of a position: u32 * 2^31 + pos."""
     return u32(seed, epoch, salt, row, pos) * F.lit(POS_SCALE) + pos.cast("bigint")
 
 
 def uniform_index(seed, epoch, salt: str, row, n: Column | int, pos=0) -> Column:
     """Uniform index in [0, n)."""
     n = n if isinstance(n, Column) else F.lit(n)
-    return F.pmod(u32(seed, epoch, salt, row, pos), n.cast("bigint"))
+    return F.pmod(u60(seed, epoch, salt, row, pos), n.cast("bigint"))
 
 
 # SQL spellings (DuckDB) of the same contract, used by oracle queries.
@@ -51,5 +59,10 @@ def sql_u32(seed, epoch, salt: str, row_sql: str, pos_sql: str) -> str:
             f"CAST({row_sql} AS VARCHAR), CAST({pos_sql} AS VARCHAR))), 1, 8))::BIGINT")
 
 
+def sql_u60(seed, epoch, salt: str, row_sql: str, pos_sql: str) -> str:
+    return (f"('0x' || substr(md5(concat_ws(':', '{seed}', '{epoch}', '{salt}', "
+            f"CAST({row_sql} AS VARCHAR), CAST({pos_sql} AS VARCHAR))), 1, 15))::BIGINT")
+
+
 def sql_position_key(seed, epoch, salt: str, row_sql: str, pos_sql: str) -> str:
     return f"({sql_u32(seed, epoch, salt, row_sql, pos_sql)} * {POS_SCALE} + ({pos_sql}))"

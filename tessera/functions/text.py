@@ -70,6 +70,9 @@ def split_words(col: Column | str) -> Column:
 # ------------------------------------------------------------------------ T1
 # Elements whose text the HTML text extractor leaves out.
 HTML_SKIP_ELEMENTS = frozenset({"script", "style", "template", "rt", "rp"})
+# Elements without an end tag.
+HTML_VOID_ELEMENTS = frozenset({"area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta",
+                                "param", "source", "track", "wbr"})
 
 
 class _TextCollector(HTMLParser):
@@ -79,25 +82,31 @@ class _TextCollector(HTMLParser):
     def __init__(self) -> None:
         super().__init__(convert_charrefs=True)
         self.parts: list[str] = []
-        self.skip_depth = 0
+        self.open: list[str] = []  # elements that are open, outermost first
+
+    @property
+    def skipping(self) -> bool:
+        return any(tag in HTML_SKIP_ELEMENTS for tag in self.open)
 
     def handle_starttag(self, tag, attrs):
-        if tag in HTML_SKIP_ELEMENTS:
-            self.skip_depth += 1
+        if tag not in HTML_VOID_ELEMENTS:
+            self.open.append(tag)
 
     def handle_startendtag(self, tag, attrs):
         pass
 
     def handle_endtag(self, tag):
-        if tag in HTML_SKIP_ELEMENTS and self.skip_depth:
-            self.skip_depth -= 1
+        # closes what is open inside it too (an omitted </rt> ends with its ruby)
+        if tag in self.open:
+            while self.open.pop() != tag:
+                pass
 
     def handle_data(self, data):
-        if not self.skip_depth:
+        if not self.skipping:
             self.parts.append(data)
 
     def unknown_decl(self, data):
-        if data.startswith("CDATA[") and not self.skip_depth:
+        if data.startswith("CDATA[") and not self.skipping:
             self.parts.append(data[6:])
 
 
@@ -119,9 +128,11 @@ def _strip_html_udf(s: pd.Series) -> pd.Series:
 
 
 def strip_html(col: Column | str) -> Column:
-    """Text content of HTML (Arrow-batched; rows without markup pass
-    through inside the batch without parsing)."""
-    return _strip_html_udf(_c(col))
+    """Text content of HTML. Only rows with markup are sent to the
+    Arrow-batched parser; the others keep their text."""
+    c = _c(col)
+    marked = F.contains(c, F.lit("<")) | F.contains(c, F.lit("&"))
+    return F.coalesce(_strip_html_udf(F.when(marked, c)), c)
 
 
 # Entities decoded by the JVM-side approximation below.

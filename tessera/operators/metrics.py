@@ -8,7 +8,6 @@ partially-aggregated ``groupBy``; lambdas touch only their own variables.
 
 from __future__ import annotations
 
-import math
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -81,14 +80,6 @@ def anneal(step, kind: str = "logistic", k: float = ANNEAL_K, x0: float = ANNEAL
     raise ValueError(f"unknown anneal function {kind!r}")
 
 
-def anneal_value(step: float, kind: str = "logistic", k: float = ANNEAL_K,
-                 x0: float = ANNEAL_X0) -> float:
-    """Driver-side scalar of the same formula (parameter checks, tests)."""
-    if kind == "logistic":
-        return 1 / (1 + math.exp(-k * (step - x0)))
-    return min(1, step / x0)
-
-
 def objective(kl: Column, nll: Column, weight: Column | float = 1.0) -> Column:
     """(w * KL + NLL) / 2."""
     w = weight if isinstance(weight, Column) else F.lit(weight)
@@ -152,6 +143,17 @@ def epoch_totals(hist: DataFrame, epoch: str = "epoch", loss: str = "loss") -> D
                                    F.avg(loss).alias("loss_mean"))
 
 
+def training_totals(hist: DataFrame, epoch: str = "epoch", nll: str = "nll", kl: str = "kl",
+                    words: str = "words", correct: str = "correct") -> DataFrame:
+    """Per epoch the totals of every reported figure and what is
+    derived from them: NLL and KL, words, correct tokens, NLL per word and
+    accuracy (null where an epoch has no words)."""
+    t = hist.groupBy(epoch).agg(F.count(F.lit(1)).alias("n_batches"), *[
+        F.sum(c).alias(f"{name}_sum") for name, c in (("nll", nll), ("kl", kl), ("words", words), ("correct", correct))])
+    some = F.when(F.col("words_sum") > 0, F.col("words_sum"))
+    return t.withColumn("nll_per_word", F.col("nll_sum") / some).withColumn("accuracy", F.col("correct_sum") / some)
+
+
 def every_nth_epoch(epochs: DataFrame, epoch_idx: str, n: int) -> DataFrame:
     """Keep epochs with (epoch + 1) % n == 0."""
     return epochs.filter((F.col(epoch_idx) + 1) % n == 0)

@@ -47,7 +47,7 @@ class Vocab:
 
 def specials_table(spark: SparkSession) -> DataFrame:
     """K1: the five special tokens and their fixed ids."""
-    return spark.createDataFrame(list(SPECIAL_TOKENS.items()), "token string, id int")
+    return spark.createDataFrame(list(SPECIAL_TOKENS.items()), "token string, id bigint")
 
 
 def _case(text: Column, cased: bool) -> Column:
@@ -71,25 +71,27 @@ def word_grams(words: Column, n: int = NGRAM_N, start_char: str = NGRAM_START_CH
     return F.flatten(F.transform(words, lambda w: char_ngrams(w, n, start_char, end_char)))
 
 
-def tokens_of(text: Column, kind: str, cased: bool = True, n: int = NGRAM_N) -> Column:
+def tokens_of(text: Column, kind: str, cased: bool = True, n: int = NGRAM_N,
+              start_char: str = NGRAM_START_CHAR, end_char: str = NGRAM_END_CHAR) -> Column:
     """Token array of a sentence for a vocabulary kind (nulls -> empty)."""
     words = F.coalesce(split_ws(_case(text, cased)), F.array().cast("array<string>"))
     if kind == "word":
         return words
     if kind == "ngram":
-        return word_grams(words, n)
+        return word_grams(words, n, start_char, end_char)
     raise ValueError(f"unknown vocabulary kind {kind!r}")
 
 
 # ------------------------------------------------------------------- K2 / K8
 def fit_vocab(df: DataFrame, text_col: str = "text", order_cols: list[str] | None = None,
-              kind: str = "word", cased: bool = True, n: int = NGRAM_N) -> Vocab:
+              kind: str = "word", cased: bool = True, n: int = NGRAM_N,
+              start_char: str = NGRAM_START_CHAR, end_char: str = NGRAM_END_CHAR) -> Vocab:
     """Ids from 5 in first-occurrence order of the tokens
     under ``order_cols`` (row order) then position; special tokens keep
     their fixed ids."""
     order_cols = order_cols or ["doc_id"]
-    toks = df.select(*order_cols, F.posexplode(tokens_of(F.col(text_col), kind, cased, n))
-                     .alias("__pos", "token"))
+    toks = df.select(*order_cols, F.posexplode(tokens_of(
+        F.col(text_col), kind, cased, n, start_char, end_char)).alias("__pos", "token"))
     toks = toks.filter(~F.col("token").isin(list(SPECIAL_TOKENS)))
     first = (toks.groupBy("token")
                  .agg(F.min(F.struct(*[F.col(c) for c in order_cols], F.col("__pos"))).alias("f"))
@@ -98,9 +100,10 @@ def fit_vocab(df: DataFrame, text_col: str = "text", order_cols: list[str] | Non
     okeys = [f"__o{i}" for i in range(len(order_cols))] + ["__opos"]
     ranked, count = with_row_index(first, okeys, col="id", start=FIRST_FREE_ID,
                                    return_count=True)
-    words = ranked.select("token", F.col("id").cast("int").alias("id"))
+    words = ranked.select("token", F.col("id").cast("bigint").alias("id"))
     table = specials_table(df.sparkSession).unionByName(words)
-    return Vocab(table=table, size=count + len(SPECIAL_TOKENS), kind=kind, cased=cased, n=n)
+    return Vocab(table=table, size=count + len(SPECIAL_TOKENS), kind=kind, cased=cased, n=n,
+                 start_char=start_char, end_char=end_char)
 
 
 # ------------------------------------------------------------------- K5 / K9
@@ -119,12 +122,20 @@ def wrap_ids(ids: Column, max_len: int | None) -> Column:
     return F.concat(out, F.array_repeat(F.lit(PAD), pad))
 
 
+def _placed(rows: DataFrame, vocab: Vocab, key_cols: list[str]) -> DataFrame:
+    """With a broadcast vocabulary, rows are dealt by their key *before* the
+    explode: the tokens then stay where they are, and the regrouping needs no
+    shuffle of exploded rows. A shuffle-joined vocabulary deals by token."""
+    return rows.repartition(*key_cols) if vocab.size <= BROADCAST_MAX_ROWS else rows
+
+
 def lookup_ids(df: DataFrame, tokens: Column, vocab: Vocab, key_cols: list[str],
                out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """Map a token array per row to ids (unknown -> [UNK]), order kept.
     Rows are identified by ``key_cols``; ``carry`` columns ride along."""
     carry = carry or []
-    ex = df.select(*key_cols, *carry, F.posexplode_outer(tokens).alias("__pos", "token"))
+    rows = _placed(df.select(*key_cols, *carry, tokens.alias("__t")), vocab, key_cols)
+    ex = rows.select(*key_cols, *carry, F.posexplode_outer("__t").alias("__pos", "token"))
     j = ex.join(vocab.lookup(), on="token", how="left")
     item = F.when(F.col("__pos").isNotNull(),
                   F.struct(F.col("__pos"), F.coalesce(F.col("id"), F.lit(UNK)).alias("id")))
@@ -140,7 +151,8 @@ def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", key_cols: list[s
     max_len >= 4, then START .. END and PAD up to max_len; None = no cut,
     no pad."""
     key_cols = key_cols or ["doc_id"]
-    toks = tokens_of(F.col(text_col), vocab.kind, vocab.cased, vocab.n)
+    toks = tokens_of(F.col(text_col), vocab.kind, vocab.cased, vocab.n, vocab.start_char,
+                     vocab.end_char)
     kept = F.slice(toks, 1, _kept(F.size(toks), max_len))
     body = lookup_ids(df, kept, vocab, key_cols, "__body", carry)
     return body.select(*key_cols, *(carry or []), wrap_ids(F.col("__body"), max_len).alias(out_col))
@@ -153,7 +165,8 @@ def ids_to_tokens(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str]
     """Id -> token, order kept; an id missing from the vocabulary
     raises, as a dictionary lookup would."""
     carry = carry or []
-    ex = df.select(*key_cols, *carry, F.posexplode_outer(ids_col).alias("__pos", "id"))
+    rows = _placed(df.select(*key_cols, *carry, F.col(ids_col).alias("__t")), vocab, key_cols)
+    ex = rows.select(*key_cols, *carry, F.posexplode_outer("__t").alias("__pos", "id"))
     j = ex.join(vocab.lookup(), on="id", how="left")
     tok = F.when(F.col("id").isNotNull() & F.col("token").isNull(),
                  F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string")))) \

@@ -7,3 +7,4 @@ from tessera.plans import overlap_queries  # noqa: F401
 from tessera.plans import bpe_queries  # noqa: F401
 from tessera.plans import augment_queries  # noqa: F401
 from tessera.plans import source_queries  # noqa: F401
+from tessera.plans import more_queries  # noqa: F401

@@ -1,6 +1,10 @@
 """DuckDB spellings shared by the oracle queries."""
 
-from tessera.functions.text import KEEP_CLASS, WORD, WS
+# The oracle's own spelling of the character classes: a wrong class in the
+# library must not pass both sides.
+WS = r"\t-\r\x{1c}-\x{20}\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}"
+WORD = r"\p{L}\p{N}_"
+KEEP_CLASS = "a-zA-z0-9ğüşöçıİĞÜŞÖÇ"
 
 SPECIALS_SQL = "('[UNK]', '[START]', '[END]', '[PAD]', '[MASK]')"
 SPECIALS_ROWS = ("SELECT * FROM (VALUES ('[UNK]', 0), ('[START]', 1), ('[END]', 2), "
@@ -46,10 +50,10 @@ def first_occurrence_vocab(tokens_cte: str, order: str = "ord1, ord2") -> str:
 def noise_ctes(src: str, row: str, ids: str, pm, pdel, seed=0, epoch=0,
                subset: int | None = None, out: str = "noised") -> str:
     """N5 in DuckDB: CTEs n0..n3, final CTE ``nz`` = src columns + ``out``."""
-    from tessera.functions.keyed import sql_position_key, sql_u32
-    sub = str(subset) if subset is not None else f"({sql_u32(seed, epoch, 'subset', row, '0')} % 8)"
+    from tessera.functions.keyed import sql_position_key, sql_u60
+    sub = str(subset) if subset is not None else f"({sql_u60(seed, epoch, 'subset', row, '0')} % 8)"
     k = lambda salt: sql_position_key(seed, epoch, salt, row, "i")
-    rot = sql_u32(seed, epoch, "rotate", row, "0")
+    rot = sql_u60(seed, epoch, "rotate", row, "0")
     return f"""
   n0 AS (SELECT *, CASE WHEN list_position({ids}, 2) >= 1
                    THEN list_slice({ids}, 2, list_position({ids}, 2) - 1) END AS c0,

@@ -10,16 +10,10 @@ def test_argmax_tie(spark):
     assert df.select(mt.argmax("a").alias("m")).first().m == 1
 
 
-def test_anneal():
-    assert mt.anneal_value(2500, "logistic") == 0.5
-    assert mt.anneal_value(500, "linear") == 0.2
-    assert mt.anneal_value(5000, "linear") == 1
-
-
 def test_anneal_column(spark):
-    df = spark.createDataFrame([(2500,), (500,)], "s int")
+    df = spark.createDataFrame([(2500,), (500,), (5000,)], "s int")
     got = df.select(mt.anneal("s", "logistic").alias("l"), mt.anneal("s", "linear").alias("n")).collect()
-    assert got[0].l == 0.5 and abs(got[1].n - 0.2) < 1e-12
+    assert got[0].l == 0.5 and abs(got[1].n - 0.2) < 1e-12 and got[2].n == 1
 
 
 def test_macro_f1(spark):

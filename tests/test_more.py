@@ -88,8 +88,8 @@ def test_read_corpus_dispatch_and_benchmark_sink(spark):
     norm = src.normalize_benchmark(split, "ag_news", keep=["split"])
     out = scratch_dir(spark, "t-bench")
     src.write_benchmark(norm, "ag_news", out)
-    train = spark.read.options(**src.CSV_OPTIONS).csv(f"{out}/ag_news_train")
-    test = spark.read.options(**src.CSV_OPTIONS).csv(f"{out}/ag_news_test")
+    train = spark.read.options(**src.CSV_OPTIONS).csv(f"{out}/ag_news/split=train")
+    test = spark.read.options(**src.CSV_OPTIONS).csv(f"{out}/ag_news/split=test")
     assert train.columns == ["sentence", "target"] and train.count() + test.count() == 20
     lines = scratch_dir(spark, "t-lines")
     src.write_lines(df, "text", lines)
@@ -98,3 +98,33 @@ def test_read_corpus_dispatch_and_benchmark_sink(spark):
     pq = scratch_dir(spark, "t-pq") + ".parquet"
     df.write.parquet(pq)
     assert src.read_corpus(spark, pq).count() == 20
+
+
+def test_unconditional_generation_length(spark):
+    from tessera.operators import augment as au
+    from tessera.operators import vocab as vc
+    docs = spark.createDataFrame([(k, "a b c a b c a b c a b c a b c") for k in range(4)], "doc_id long, text string")
+    v = vc.fit_vocab(docs)
+    gen = au.generate(au.bigram_model(docs, "text", None), 1, 5, 10, first_words=v.table, first_words_size=v.size)
+    assert {len(r.tokens) for r in gen.collect()} == {10}
+
+
+def test_vocabulary_from_json(spark, tmp_path):
+    from tessera.operators import vocab as vc
+    from tessera.sources.corpus import read_json_vocab, save_vocab
+    docs = spark.createDataFrame([(1, "b a b"), (2, "c a")], "doc_id long, text string")
+    v = vc.fit_vocab(docs)
+    save_vocab(v, str(tmp_path / "v"))
+    want = {(r.token, r.id) for r in v.table.collect()}
+    assert {(r.token, r.id) for r in read_json_vocab(spark, str(tmp_path / "v" / "vocab.json")).table.collect()} == want
+    (tmp_path / "one.json").write_text('{"[UNK]": 0, "b": 5, "token": 6}')
+    got = read_json_vocab(spark, str(tmp_path / "one.json"))
+    assert {(r.token, r.id) for r in got.table.collect()} == {("[UNK]", 0), ("b", 5), ("token", 6)} and got.size == 3
+
+
+def test_encode_needs_no_shuffle_after_the_explode(spark):
+    from tessera.operators import vocab as vc
+    docs = spark.createDataFrame([(k, f"a b c {k}") for k in range(20)], "doc_id long, text string")
+    plan = vc.encode(docs, vc.fit_vocab(docs), max_len=8)._jdf.queryExecution().executedPlan().toString()
+    above = plan[:plan.index("Generate")]
+    assert "Exchange hashpartitioning" not in above

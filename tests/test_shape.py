@@ -35,20 +35,26 @@ def test_segments_literal_too_short(spark):
         _segs(spark, A[:7], 5, "literal")
 
 
-def test_segments_match_python_literal(spark):
-    """Literal mode against a direct transcription-free model of the
-    windowing arithmetic for several lengths."""
-    for L in range(10, 30):
-        ids = list(range(100, 100 + L))
-        M, st = 5, 3
-        core = ids[1:-1]
-        n = len(core)
-        starts = list(range(0, n - M - 2, st))
-        exp = [[1] + core[i:i + M - 1] + [2] for i in starts]
-        last = starts[-1]
-        tail = [1] + core[last + M - 2:-1] + [2]
-        exp.append(tail + [3] * max(0, M - (n - (last + M - 2))))
-        assert _segs(spark, ids, M, "literal") == exp, L
+@pytest.mark.parametrize("length, rows", [
+    # worked by hand for M = 5 over ids 101, 102, ... (the first and last id are trimmed)
+    (10, [[1, 101, 102, 103, 104, 2], [1, 104, 105, 106, 107, 2]]),
+    (12, [[1, 101, 102, 103, 104, 2], [1, 104, 105, 106, 107, 108, 109, 2]]),
+    (13, [[1, 101, 102, 103, 104, 2], [1, 104, 105, 106, 107, 2], [1, 107, 108, 109, 110, 2]]),
+])
+def test_segments_literal_golden(spark, length, rows):
+    assert _segs(spark, list(range(100, 100 + length)), 5, "literal") == rows
+
+
+def test_segments_strict_properties(spark):
+    """Every id is covered in order, neighbours share exactly one id, all
+    rows are as long as M + 1."""
+    for length in (5, 8, 13, 21):
+        ids = list(range(100, 100 + length))
+        got = _segs(spark, ids, 5, "strict")
+        bodies = [[x for x in row if x > 3] for row in got]
+        assert all(len(row) == 6 and row[0] == 1 and 2 in row for row in got)
+        assert all(a[-1] == b[0] for a, b in zip(bodies, bodies[1:]))
+        assert bodies[0] + [x for b in bodies[1:] for x in b[1:]] == ids
 
 
 def test_shift(spark):

@@ -81,3 +81,9 @@ def test_denoise_unknown_kind_raises():
     import pytest
     with pytest.raises(ValueError):
         tx.denoise("t", "bogus")
+
+
+def test_html_omitted_end_tags():
+    from tessera.functions.text import html_to_text
+    assert html_to_text("<p><ruby>K<rt>kan</ruby> rest</p><p>more") == "K restmore"
+    assert html_to_text("a<br>b<script>x</script>c</i>d<template><b>t</b></template>") == "abcd"
