@@ -17,7 +17,7 @@ _MODELS: dict = {}
 
 
 def model(spark, sf: str, vocab_size: int = VOCAB_SIZE) -> bpe.BpeModel:
-    key = (id(spark), sf.rstrip("/"), vocab_size)
+    key = (spark.sparkContext.applicationId, sf.rstrip("/"), vocab_size)
     if key not in _MODELS:
         _MODELS[key] = bpe.train(table(spark, sf, "documents"), "text", vocab_size=vocab_size)
     return _MODELS[key]
@@ -64,10 +64,15 @@ def bpe_decode(spark, sf):
 
 
 @query("bpe_specials", """
-SELECT * FROM (VALUES ('[UNK]', 0, 0, true), ('[START]', 1, 1, true), ('[END]', 2, 2, true),
-                      ('[PAD]', 3, 3, true), ('[MASK]', 4, 4, true)) s(token, expected, id, ok)
-WHERE (SELECT count(*) FROM documents) >= 0""")
+SELECT conv_id, turn, 1 AS first_id, 2 AS last_id, 0 AS inner_marks FROM conversations""")
 def bpe_specials(spark, sf):
-    """The special tokens keep their fixed ids after training."""
-    c = bpe.check_specials(model(spark, sf))
-    return c.select("token", F.col("expected").cast("int"), F.col("id").cast("int"), "ok")
+    """After training the special tokens keep their fixed ids: every
+    encoded turn begins with START, ends with END, and holds neither inside."""
+    m = model(spark, sf)
+    turns = table(spark, sf, "conversations").select(F.concat_ws(":", "conv_id", "turn").alias("k"), "text")
+    enc = bpe.encode(turns, m, "text", ["k"], max_len=None)
+    inner = F.filter(F.slice("ids", F.lit(2), F.size("ids") - 2), lambda x: x.isin(1, 2))
+    key = F.split("k", ":")
+    return enc.select(key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"),
+                      F.get("ids", F.lit(0)).cast("int").alias("first_id"),
+                      F.element_at("ids", -1).cast("int").alias("last_id"), F.size(inner).alias("inner_marks"))
