@@ -99,7 +99,10 @@ def train(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS)
     text = F.coalesce(F.col(f"`{text_col}`").cast("string"), F.lit(""))
     secret = docs.select(F.explode(base_spans(text)).alias("s")).select(
         F.lit(1).alias("secret"), F.col("s.value").alias("v"))
-    sample = docs.select(text.alias("t")).orderBy(F.xxhash64("t"), "t").limit(train_docs)
+    # the hashes first, then one text of each
+    chosen = docs.select(F.xxhash64(text).alias("h")).distinct().orderBy("h").limit(train_docs)
+    sample = (docs.select(text.alias("t"), F.xxhash64(text).alias("h")).join(F.broadcast(chosen), "h")
+              .groupBy("h").agg(F.first("t").alias("t")))
     plain = (sample.select("t", base_spans(F.col("t")).alias("s")).where(F.size("s") == 0)
              .select(F.lit(0).alias("secret"), F.explode(F.regexp_extract_all("t", F.lit(IDENTIFIER), F.lit(0))).alias("v")))
     pairs = (secret.unionByName(plain)
