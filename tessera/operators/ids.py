@@ -9,7 +9,7 @@ counts (one small number per partition) then give each partition its offset.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.session import cut_lineage
@@ -47,3 +47,22 @@ def with_row_index(df: DataFrame, order_cols: list[str | Column], col: str = "ro
     out = tagged.withColumn(col, (F.lit(start) + off + local).cast("bigint")).drop(_PID, _MONO)
     return (out, total) if return_count else out
 
+
+def with_running_total(df: DataFrame, order_cols: list[str], value: str, col: str = "start",
+                       num_partitions: int | None = None) -> tuple[DataFrame, int]:
+    """Add ``col`` = the sum of ``value`` over all earlier rows under
+    ``order_cols``; also returns the whole sum. Rows are summed inside their
+    sorted partition; one number per partition comes to the driver."""
+    n = _partitions(df, num_partitions)
+    tagged = cut_lineage(
+        df.repartitionByRange(n, *order_cols).sortWithinPartitions(*order_cols)
+          .withColumn(_PID, F.spark_partition_id()).withColumn(_MONO, F.monotonically_increasing_id()))
+    sums = {r[0]: r[1] or 0 for r in tagged.groupBy(_PID).agg(F.sum(value)).collect()}
+    offsets, total = [], 0
+    for p in range(max(sums, default=-1) + 1):
+        offsets.append(total)
+        total += sums.get(p, 0)
+    off = F.element_at(F.array(*[F.lit(int(o)) for o in offsets]), F.col(_PID) + 1) if offsets else F.lit(0)
+    before = Window.partitionBy(_PID).orderBy(_MONO).rowsBetween(Window.unboundedPreceding, -1)
+    out = tagged.withColumn(col, (off + F.coalesce(F.sum(value).over(before), F.lit(0))).cast("bigint"))
+    return out.drop(_PID, _MONO), int(total)

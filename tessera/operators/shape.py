@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from tessera.constants import END, PAD, START
 from tessera.functions.keyed import u32
 from tessera.functions.noise import add_noise
-from tessera.operators.ids import with_row_index
+from tessera.operators.ids import with_row_index, with_running_total
 
 
 # ------------------------------------------------------------------ C3-C7
@@ -52,53 +52,48 @@ def segments(df: DataFrame, body_col: str, order_cols: list[str], max_len: int,
     tail row keeps the original arithmetic (it can be longer than the
     others); a corpus of ``L <= max_len + 2`` ids is an error.
 
-    Global token positions come from a range sort of the exploded ids with
-    partition offsets (no single-partition window); each token is sent to at most two segments
-    and each segment is re-assembled by a bounded (``max_len - 1``) group.
+    Only one (row key, length) record a row is sorted; its running total
+    places the row in the stream, the row's array is cut into one slice per
+    segment it touches, and each segment is put together from its slices (at
+    most ``max_len - 1`` ids; the literal tail at most that and ``max_len``).
     """
     if max_len < 3:
         raise ValueError("max_len must be at least 3")
+    if mode not in ("strict", "literal"):
+        raise ValueError(f"unknown mode {mode!r}")
     stride = max_len - 2
-    ex = df.select(*order_cols, F.posexplode(body_col).alias("__p", "id"))
-    toks, total = with_row_index(ex, [*order_cols, "__p"], col="g", return_count=True)
-    toks = toks.select("g", "id")
+    sizes = df.select(*order_cols, F.size(body_col).alias("__n")).where("__n > 0")
+    placed, total = with_running_total(sizes, order_cols, "__n", "__start")
     if mode == "strict":
-        n_seg = max(1, -(-(total - 1) // stride))
-        g = F.col("g")
-        a = F.floor(g / stride).cast("bigint")
-        last = n_seg - 1
-        cands = F.array(F.when((g % stride == 0) & (a >= 1), a - 1), a)
-        segs = F.filter(cands, lambda s: s.isNotNull() & (s <= F.lit(last)))
-        tagged = toks.select(F.explode(segs).alias("segment_id"), "g", "id")
-        grouped = tagged.groupBy("segment_id").agg(
-            F.array_sort(F.collect_list(F.struct("g", "id"))).alias("__s"))
-        body = F.transform("__s", lambda x: x["id"])
-        row = F.concat(F.array(F.lit(START)), body, F.array(F.lit(END)))
-        padded = F.concat(row, F.array_repeat(F.lit(PAD), F.lit(max_len + 1) - F.size(row)))
-        return grouped.select("segment_id", padded.alias("segment"))
-    if mode != "literal":
-        raise ValueError(f"unknown mode {mode!r}")
-    L = total - 2
-    if L <= max_len + 2:
-        raise ValueError(f"corpus of {L} ids is too short for max_len={max_len}")
-    K = -(-(L - max_len - 2) // stride)
-    gp = F.col("g") - 1
-    a = F.floor(gp / stride).cast("bigint")
-    reg = F.array(F.when((gp % stride == 0) & (a >= 1), a - 1), a)
-    reg = F.filter(reg, lambda s: s.isNotNull() & (s <= F.lit(K - 1)))
-    tail = F.when((gp >= K * stride) & (gp <= L - 2), F.array(F.lit(K).cast("bigint"))) \
-            .otherwise(F.array().cast("array<bigint>"))
-    inside = (F.col("g") >= 1) & (F.col("g") <= total - 2)
-    tagged = toks.filter(inside).select(F.explode(F.concat(reg, tail)).alias("segment_id"),
-                                        gp.alias("g"), "id")
-    grouped = tagged.groupBy("segment_id").agg(
-        F.array_sort(F.collect_list(F.struct("g", "id"))).alias("__s"))
-    body = F.transform("__s", lambda x: x["id"])
-    row = F.concat(F.array(F.lit(START)), body, F.array(F.lit(END)))
-    R = L - K * stride
-    pad_n = F.when(F.col("segment_id") == K, F.lit(max(0, max_len - R))).otherwise(F.lit(0))
-    return grouped.select("segment_id",
-                          F.concat(row, F.array_repeat(F.lit(PAD), pad_n)).alias("segment"))
+        length, first = total, 0
+        last = max(1, -(-(total - 1) // stride)) - 1
+        last_stop = last * stride + stride
+    else:  # the first and last id are left out
+        length, first = total - 2, 1
+        if length <= max_len + 2:
+            raise ValueError(f"corpus of {length} ids is too short for max_len={max_len}")
+        last = -(-(length - max_len - 2) // stride)
+        last_stop = length - 2
+    start = F.col("__start") - first
+    end = F.least(start + F.col("__n"), F.lit(length)) - 1
+    low = F.least(F.greatest(F.ceil((start - stride) / stride), F.lit(0)), F.lit(last)).cast("bigint")
+    high = F.least(F.floor(end / stride), F.lit(last)).cast("bigint")
+    rows = df.select(*order_cols, F.col(body_col).alias("__body")).join(placed, order_cols) \
+        .select("__body", start.alias("__s"), end.alias("__e"), low.alias("__low"), high.alias("__high")) \
+        .where("__low <= __high")
+    cut = rows.select("__body", "__s", "__e", F.explode(F.sequence("__low", "__high")).alias("segment_id"))
+    at = F.greatest(F.col("__s"), F.col("segment_id") * stride, F.lit(0))
+    stop = F.least(F.col("__e"), F.when(F.col("segment_id") == last, F.lit(last_stop))
+                   .otherwise(F.col("segment_id") * stride + stride))
+    slices = cut.where(at <= stop).select("segment_id", F.struct(at.alias("at"), F.slice(
+        "__body", (at - F.col("__s") + 1).cast("int"), (stop - at + 1).cast("int")).alias("ids")).alias("part"))
+    grouped = slices.groupBy("segment_id").agg(F.array_sort(F.collect_list("part")).alias("__p"))
+    row = F.concat(F.array(F.lit(START)), F.flatten(F.transform("__p", lambda x: x["ids"])), F.array(F.lit(END)))
+    if mode == "strict":
+        pad_n = F.lit(max_len + 1) - F.size(row)
+    else:
+        pad_n = F.when(F.col("segment_id") == last, F.lit(max(0, max_len - (length - last * stride)))).otherwise(F.lit(0))
+    return grouped.select("segment_id", F.concat(row, F.array_repeat(F.lit(PAD), pad_n)).alias("segment"))
 
 
 def denoising_pairs(segs: DataFrame, prob_mask: float = 10, prob_delete: float = 7,
