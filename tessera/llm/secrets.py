@@ -41,8 +41,9 @@ TOKEN = r"(?<![A-Za-z0-9+/_=-])([A-Za-z0-9+/_=-]{20,})"
 IDENTIFIER = r"[A-Za-z0-9_-]{5,}"
 #: documents that lend ordinary identifiers to the training
 TRAIN_DOCS = 2000
-#: added to each transition's count
-SMOOTHING = 0.5
+#: transitions that each character is given in advance, dealt by the single
+#: characters' shares (to which half an occurrence of each is added)
+SMOOTHING = 20.0
 #: log-likelihood ratio a token needs, in all and for each transition
 MIN_RATIO, MIN_MEAN = 12.0, 0.4
 
@@ -118,11 +119,12 @@ def train(docs: DataFrame, text_col: str = "text", train_docs: int = TRAIN_DOCS)
         return None
 
     def logs(c: list[float]) -> list[float]:
-        out = []
+        single = [0.5 + sum(c[b::size]) for b in range(size)]
+        share, out = [x / sum(single) for x in single], []
         for k in range(size):
             row = c[k * size:(k + 1) * size]
-            total = sum(row) + SMOOTHING * size
-            out += [math.log((x + SMOOTHING) / total) for x in row]
+            total = sum(row) + SMOOTHING
+            out += [math.log((x + SMOOTHING * share[b]) / total) for b, x in enumerate(row)]
         return out
 
     return Markov([a - b for a, b in zip(logs(counts[1]), logs(counts[0]))])
