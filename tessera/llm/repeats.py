@@ -21,10 +21,11 @@ row for about 65 windows ("block").
 3. Each document's repeated windows are united and cut out.
 
 Names are 64-bit hashes (128-bit for cells and documents). Rows of one gram
-stream through a task in sorted order; grams with over a thousandth of the
-rows are found on a sample of documents, dealt out by the text of their
-blocks, and their windows are counted by partial aggregation instead. That
-changes where the work is done, not its result.
+stream through a task in sorted order. Grams with over a thousandth of the
+rows are found on a sample of documents and dealt out by the text of their
+blocks; the windows of a cell that more than ``RUN_ROWS`` texts share are
+passed on and counted by partial aggregation. Both change where the work is
+done, not its result.
 
 Cases: null or empty text has no bytes; a text shorter than the window
 loses nothing; equal rows repeat each other; rows without an id take part
@@ -51,6 +52,8 @@ HOT_SAMPLE, HOT_SHARE = 64, 1000
 #: rows of the sample below which no gram is frequent
 HOT_LEAST = 20
 HOT_PARTS = 64
+#: texts of one cell that a task compares itself (some 20 MB); more are passed on
+RUN_ROWS = 100_000
 
 
 def _segments(texts: list[bytes], window: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
@@ -183,10 +186,9 @@ def _packed(text: Column) -> Column:
 _CELL = "h1 long, h2 long, before binary, after binary, kind int, k1 long, k2 long, at int"
 
 
-def _cells(joined: DataFrame, window: int, single: bool) -> DataFrame:
+def _cells(joined: DataFrame, window: int) -> DataFrame:
     """The cells of each judged block: (name of the shared part, the bytes
-    before and after it, its place). ``single``: a row for each window, named
-    by all of it, with nothing before or after."""
+    before and after it, its place)."""
     def run(batches):
         import pyarrow as pa
         import zstandard
@@ -201,11 +203,6 @@ def _cells(joined: DataFrame, window: int, single: bool) -> DataFrame:
                     gram, off, n, kind = b["gram"], b["off"], b["n"], b["kind"]
                     place, head = b["start"] + off, gram.to_bytes(8, "little", signed=True)
                     low = off - n + 1
-                    if single:
-                        for o in range(low, off + 1):
-                            name = xxh3_128_digest(head + bytes([o]) + text[place - o:place - o + window])
-                            rows.append((name, b"", b"", kind, k1, k2, place - o))
-                        continue
                     for cell in range(low // CELL, off // CELL + 1):
                         at = place - CELL * cell
                         stop = at + window - CELL + 1
@@ -229,45 +226,79 @@ def _cells(joined: DataFrame, window: int, single: bool) -> DataFrame:
     return joined.select("z", "k1", "k2", "c").mapInArrow(run, _CELL)
 
 
+_FOUND = "k1 long, k2 long, start int, n int, w1 long, w2 long, weight int"
+
+
 def _compare(batches: Iterator) -> Iterator:
-    """Cells sorted by name -> repeated windows as (k1, k2, start, n)."""
+    """Cells sorted by name -> repeated windows (k1, k2, start, n). The
+    windows of a long run are passed on with their names (w1, w2) instead;
+    ``weight`` is then 1 for those of an OPEN block, 2 for a PARTNER's."""
     import pyarrow as pa
+    from xxhash import xxh3_128_digest
+
+    def windows(before, after):
+        for r in range(CELL - 1 - len(after), len(before) + 1):
+            yield r, before[len(before) - r:], after[:CELL - 1 - r]
 
     def found(run: list[tuple]):
         seen: dict[tuple, int] = {}
         for before, after, kind, _, _, _ in run:
-            weight = 2 if kind == PARTNER else 1
-            for r in range(CELL - 1 - len(after), len(before) + 1):
-                key = (r, before[len(before) - r:], after[:CELL - 1 - r])
-                seen[key] = seen.get(key, 0) + weight
+            for key in windows(before, after):
+                seen[key] = seen.get(key, 0) + (2 if kind == PARTNER else 1)
+        for before, after, kind, k1, k2, at in run:
+            if kind != OPEN:
+                continue
+            from_ = None
+            for r, b, a in windows(before, after):
+                hit = seen[r, b, a] > 1
+                if hit and from_ is None:
+                    from_ = r
+                elif not hit and from_ is not None:
+                    yield k1, k2, at - r + 1, r - from_, None, None, None
+                    from_ = None
+            if from_ is not None:
+                yield k1, k2, at - len(before), len(before) + 1 - from_, None, None, None
+
+    def passed_on(run: list[tuple], name: tuple[int, int]):
+        head = b"".join(x.to_bytes(8, "little", signed=True) for x in name)
         for before, after, kind, k1, k2, at in run:
-            if kind == OPEN:
-                from_ = None
-                for r in range(CELL - 1 - len(after), len(before) + 2):
-                    hit = r <= len(before) and seen[r, before[len(before) - r:], after[:CELL - 1 - r]] > 1
-                    if hit and from_ is None:
-                        from_ = r
-                    elif not hit and from_ is not None:
-                        yield k1, k2, at - r + 1, r - from_
-                        from_ = None
+            for r, b, a in windows(before, after):
+                w = xxh3_128_digest(head + bytes([r]) + b + a)
+                yield (k1, k2, at - r, 1, int.from_bytes(w[:8], "little", signed=True),
+                       int.from_bytes(w[8:], "little", signed=True), 2 if kind == PARTNER else 1)
+
+    kinds = (pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.int32())
+    names = ["k1", "k2", "start", "n", "w1", "w2", "weight"]
 
     def record(rows):
-        k1, k2, start, n = zip(*rows) if rows else ((),) * 4
-        return pa.record_batch([pa.array(k1, pa.int64()), pa.array(k2, pa.int64()), pa.array(start, pa.int32()),
-                                pa.array(n, pa.int32())], names=["k1", "k2", "start", "n"])
+        columns = zip(*rows) if rows else ((),) * 7
+        return pa.record_batch([pa.array(c, t) for c, t in zip(columns, kinds)], names=names)
+
+    run, name, long_run, out = [], None, False, []
+
+    def close():
+        if long_run:
+            out.extend(passed_on(run, name))
+        elif len(run) > 1:
+            out.extend(found(run))
 
-    run, name, out = [], None, []
     for batch in batches:
         c = [batch.column(k).to_pylist() for k in range(8)]
         for h1, h2, *row in zip(*c):
             if (h1, h2) != name:
-                if len(run) > 1:
-                    out += found(run)
-                run, name = [], (h1, h2)
+                close()
+                run, name, long_run = [], (h1, h2), False
             run.append(row)
+            if len(run) > RUN_ROWS or long_run and len(run) >= 1000:
+                out.extend(passed_on(run, name))
+                run, long_run = [], True
+                if len(out) > 50_000:
+                    yield record(out)
+                    out.clear()
         yield record(out)
-        out = []
-    yield record([*found(run)] if len(run) > 1 else [])
+        out.clear()
+    close()
+    yield record(out)
 
 
 def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
@@ -301,18 +332,13 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         return texts.join(per_doc, ["k1", "k2"])
 
     reps = judged.where(F.col("kind") != REPEATED)
-    parts = [judged.where(F.col("kind") == REPEATED).select("k1", "k2", "start", "n"),
-             _cells(with_text(reps.where(~is_hot)), window, False).repartition("h1", "h2")
-             .sortWithinPartitions("h1", "h2").mapInArrow(_compare, "k1 long, k2 long, start int, n int")]
-    if len(hot):
-        single = _cells(with_text(reps.where(is_hot)), window, True)
-        weight = F.when(F.col("kind") == PARTNER, 2).otherwise(1)
-        twice = single.groupBy("h1", "h2").agg(F.sum(weight).alias("w")).where("w > 1").select("h1", "h2")
-        parts.append(single.where(F.col("kind") == OPEN).join(twice, ["h1", "h2"], "left_semi")
-                     .select("k1", "k2", F.col("at").alias("start"), F.lit(1).alias("n")))
-    spans = parts[0]
-    for p in parts[1:]:
-        spans = spans.unionByName(p)
+    merged = checkpointed(_cells(with_text(reps), window).repartition("h1", "h2").sortWithinPartitions("h1", "h2")
+                          .mapInArrow(_compare, _FOUND))
+    named = merged.where("w1 is not null")
+    twice = named.groupBy("w1", "w2").agg(F.sum("weight").alias("w")).where("w > 1").select("w1", "w2")
+    spans = judged.where(F.col("kind") == REPEATED).select("k1", "k2", "start", "n")
+    for more in (merged.where("w1 is null"), named.where("weight = 1").join(twice, ["w1", "w2"], "left_semi")):
+        spans = spans.unionByName(more.select("k1", "k2", "start", "n"))
     per_doc = spans.groupBy(F.col("k1").alias("_k1"), F.col("k2").alias("_k2")).agg(
         F.collect_list(F.struct("start", "n")).alias("_c"))
     joined = carried.join(per_doc, (F.col(ka) == F.col("_k1")) & (F.col(kb) == F.col("_k2")), "left")

@@ -148,10 +148,11 @@ def test_repeats(spark, monkeypatch):
     look = ["doc_id", "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256)]
     got = repeats.remove_repeats(frame(spark, rows)).select(*look).collect()
     assert sorted(map(repr, map(tuple, got))) == want
-    # the same with every gram taken for a frequent one, and with texts cut into short parts
+    # the same with every gram taken for a frequent one, texts cut into short parts and runs passed on
     monkeypatch.setattr(repeats, "HOT_SAMPLE", 1)
     monkeypatch.setattr(repeats, "HOT_SHARE", 10 ** 9)
     monkeypatch.setattr(repeats, "SLICE", 700)
+    monkeypatch.setattr(repeats, "RUN_ROWS", 3)
     monkeypatch.setattr(repeats, "HOT_LEAST", 0)
     got = repeats.remove_repeats(frame(spark, rows)).select(*look).collect()
     assert sorted(map(repr, map(tuple, got))) == want
