@@ -4,7 +4,7 @@ Licence templates are indexed as postings word -> (template, position). Of
 each file the licence words with the highest IDF are looked up; postings
 that agree on the template's place in the file (file position minus template
 position) are intersected, and a template is reported where at least
-``MIN_VOTES`` of its rare words agree, its mandatory key phrase stands there
+``MIN_VOTES`` of these words agree, its mandatory key phrase stands there
 word by word, and enough of all its words do. Plain phrase counts stand
 beside it.
 
@@ -58,8 +58,6 @@ TEMPLATES = {
 }
 #: licence words that are looked up in a file, those with the highest IDF
 LOOKED_UP = 24
-#: a licence word in more than this share of the documents is not rare
-RARE_SHARE = 0.1
 MIN_VOTES = 2
 MIN_SHARE = 0.6
 
@@ -98,7 +96,8 @@ def _base(line: Column) -> Column:
 
 
 def word_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """IDF of the templates' rare words over all documents."""
+    """IDF of the templates' words over all documents. It only orders the
+    look-up: a word that most documents hold keeps its postings."""
     vocabulary = sorted({w for t, _ in TEMPLATES.values() for w in t.split()})
     known = F.array(*[F.lit(w) for w in vocabulary])
     found = docs.select(F.array_intersect(_words(_line(F.col(f"`{text_col}`"))), known).alias("w"))
@@ -106,8 +105,7 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     counts = {r["w"]: r["n"] for r in found.select(F.explode(F.concat(F.array(F.lit("")), "w")).alias("w"))
               .groupBy("w").agg(F.count("*").alias("n")).collect()}
     n = counts.pop("", 0)
-    return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in vocabulary
-            if counts.get(w, 0) <= max(1, RARE_SHARE * n)}
+    return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
 def _templates_found(words: Column, idf: dict[str, float]) -> Column:

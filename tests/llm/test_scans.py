@@ -123,6 +123,22 @@ def test_licences(spark):
     assert licenses.scan(frame(spark, [])).count() == 0
 
 
+def test_licences_of_a_hot_notice(spark):
+    """Labels don't depend on how many other documents hold the notice."""
+    from tessera.llm import licenses
+    labels = list(licenses.TEMPLATES)
+    for hot in ("bsd-terms", "gpl-notice"):
+        rows = [(k, f"Copyright {k}. {licenses.TEMPLATES[hot if k % 3 == 0 else labels[k % 11]][0]}, and so on." if k % 3 < 2 else "ordinary words")
+                for k in range(90)]
+        got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+        for k, _ in rows:
+            want = {hot} if k % 3 == 0 else {labels[k % 11]} if k % 3 == 1 else set()
+            assert want <= set(got[k]["labels"].split(",")) and got[k]["score"] == bool(want), (k, got[k])
+    # two rows only
+    got = licenses.scan(frame(spark, [(k, licenses.TEMPLATES["mit-grant"][0]) for k in range(2)])).collect()
+    assert [(r["labels"], r["score"]) for r in got] == [("mit-grant", 1.0)] * 2
+
+
 # trained classifiers
 
 def test_toxicity_held_out(spark):
