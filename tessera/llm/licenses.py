@@ -1,12 +1,14 @@
 """License scans by a positional rare-token index (DataFrame functions only).
 
 Licence templates are indexed as postings word -> (template, position). Of
-each file the licence words with the highest IDF are looked up; postings
-that agree on the template's place in the file (file position minus template
-position) are intersected, and a template is reported where at least
-``MIN_VOTES`` of these words agree, its mandatory key phrase stands there
-word by word, and enough of all its words do. Plain phrase counts stand
-beside it.
+each template the places whose words have the highest IDF are looked up in
+every file, as many of them that wherever enough of all its words agree, at
+least ``MIN_VOTES`` of those do; postings that agree on the template's place
+in the file (file position minus template position) are intersected, and a
+template is reported where its mandatory key phrase stands there word by
+word, and enough of all its words do. Nothing depends on the file's length
+or on its other notices, and the IDF decides only which places are looked
+up, not what is found. Plain phrase counts stand beside it.
 
 Document frequencies of the templates' words, a vocabulary of fixed size,
 are counted over all documents.
@@ -56,8 +58,6 @@ TEMPLATES = {
     "mpl-notice": ("this source code form is subject to the terms of the mozilla public license v 2 0",
                    "mozilla public license"),
 }
-#: licence words that are looked up in a file, those with the highest IDF
-LOOKED_UP = 24
 MIN_VOTES = 2
 MIN_SHARE = 0.6
 
@@ -96,8 +96,7 @@ def _base(line: Column) -> Column:
 
 
 def word_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
-    """IDF of the templates' words over all documents. It only orders the
-    look-up: a word that most documents hold keeps its postings."""
+    """IDF of the templates' words over all documents."""
     vocabulary = sorted({w for t, _ in TEMPLATES.values() for w in t.split()})
     known = F.array(*[F.lit(w) for w in vocabulary])
     found = docs.select(F.array_intersect(_words(_line(F.col(f"`{text_col}`"))), known).alias("w"))
@@ -108,19 +107,23 @@ def word_idf(docs: DataFrame, text_col: str = "text") -> dict[str, float]:
     return {w: math.log((n + 1) / (counts.get(w, 0) + 1)) for w in vocabulary}
 
 
+def _looked_up(body: list[str], idf: dict[str, float]) -> list[int]:
+    """The places of a template that are looked up, those with the highest
+    IDF: one more than may disagree for each vote, so that none is missed."""
+    need = next(n for n in range(len(body) + 1) if n / len(body) >= MIN_SHARE)
+    order = sorted(range(len(body)), key=lambda p: (-idf.get(body[p], 0.0), body[p], p))
+    return order[:len(body) - need + MIN_VOTES]
+
+
 def _templates_found(words: Column, idf: dict[str, float]) -> Column:
     """(label, share of the template's words that agree) of each template."""
     none = F.array().cast("array<struct<label:string,share:double>>")
-    if not idf:
-        return none
-    order = sorted(idf, key=lambda w: (-idf[w], w))
-    rank = F.create_map(*[F.lit(x) for k, w in enumerate(order) for x in (w, k)])
     posting: dict[str, list[tuple[int, int]]] = {}
-    labels = list(TEMPLATES)
-    for t, label in enumerate(labels):
-        for pos, w in enumerate(TEMPLATES[label][0].split()):
-            if w in idf:
-                posting.setdefault(w, []).append((t, pos))
+    for t, (body, _) in enumerate(TEMPLATES.values()):
+        for pos in _looked_up(body.split(), idf):
+            posting.setdefault(body.split()[pos], []).append((t, pos))
+    order = sorted(posting)
+    rank = F.create_map(*[F.lit(x) for k, w in enumerate(order) for x in (w, k)])
     postings = F.array(*[F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("p"))
                                    for t, p in posting[w]]) for w in order])
     table = F.array(*[F.struct(
@@ -128,17 +131,15 @@ def _templates_found(words: Column, idf: dict[str, float]) -> Column:
         F.lit(" " + key + " ").alias("key")) for label, (body, key) in TEMPLATES.items()])
 
     def of(ws: Column) -> Column:
-        # (rank, place) of the file's licence words, then only those of the highest IDF
+        # (rank, place) of the file's licence words
         ranked = F.filter(F.transform(ws, lambda w, i: F.struct(
             F.when(w.isin(order), rank[w]).alias("r"), i.alias("at"))), lambda h: h["r"].isNotNull())
         return bind(ranked, lambda hits: F.when(F.size(hits) < MIN_VOTES, none).otherwise(looked_up(ws, hits)))
 
     def looked_up(ws: Column, hits: Column) -> Column:
-        top = F.slice(F.array_sort(F.array_distinct(F.transform(hits, lambda h: h["r"]))), 1, LOOKED_UP)
-        votes = bind(F.array_max(top), lambda limit: F.array_sort(F.array_distinct(F.flatten(F.transform(
-            F.filter(hits, lambda h: h["r"] <= limit),
-            lambda h: F.transform(F.get(postings, h["r"]), lambda p: F.struct(
-                p["t"].alias("t"), (h["at"] - p["p"]).alias("off"), p["p"].alias("p"))))))))
+        votes = F.array_sort(F.flatten(F.transform(
+            hits, lambda h: F.transform(F.get(postings, h["r"]), lambda p: F.struct(
+                p["t"].alias("t"), (h["at"] - p["p"]).alias("off"), p["p"].alias("p"))))))
         return bind(votes, lambda v: verified(ws, v))
 
     def verified(ws: Column, v: Column) -> Column:

@@ -139,6 +139,47 @@ def test_licences_of_a_hot_notice(spark):
     assert [(r["labels"], r["score"]) for r in got] == [("mit-grant", 1.0)] * 2
 
 
+def plain_templates(text):
+    """(label, best share) of the templates, tried at every place."""
+    from tessera.llm.licenses import MIN_SHARE, TEMPLATES
+    w = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", "".join(c.lower() if "A" <= c <= "Z" else c for c in text or ""))
+    best = {}
+    for label, (body, key) in TEMPLATES.items():
+        b = body.split()
+        for off in range(1 - len(b), len(w)):
+            here = [w[off + k] if 0 <= off + k < len(w) else "\0" for k in range(len(b))]
+            share = sum(x == y for x, y in zip(here, b)) / len(b)
+            if share >= MIN_SHARE and f" {key} " in f" {' '.join(here)} ":
+                best[label] = max(share, best.get(label, 0))
+    return best
+
+
+def test_licences_of_every_notice(spark):
+    """No notice is lost to others of the file, to its length or to changed words."""
+    from tessera.llm import licenses
+    rng = random.Random(7)
+    notices = [body for body, _ in licenses.TEMPLATES.values()]
+    prose = sorted({w for body in notices for w in body.split()}) + ["ordinary"] * 60
+
+    def changed(body):
+        w = body.split()
+        for _ in range(rng.randrange(len(w) // 2)):
+            w[rng.randrange(len(w))] = rng.choice(prose)
+        return " ".join(w)
+
+    words = lambda n: " ".join(rng.choice(prose) for _ in range(n))
+    rows = [(0, "\n--\n".join(notices)), (1, " x ".join(reversed(notices))),
+            (2, words(3000) + " " + " | ".join(notices) + " " + words(3000)), (3, words(6000))]
+    rows += [(4 + k, f"{words(20)} {' and '.join(map(changed, rng.sample(notices, 4)))} {words(20)}") for k in range(150)]
+    rows += [(500 + k, " ".join(rng.choice(notices).split()[rng.randrange(4):])) for k in range(30)]
+    got = {r["doc_id"]: r for r in licenses.scan(frame(spark, rows)).collect()}
+    assert got[0]["labels"] == ",".join(sorted({*licenses.TEMPLATES, "apache", "cc-by", "gpl", "mit"}))
+    for k, text in rows:
+        want = plain_templates(text)
+        assert set(licenses.TEMPLATES) & set(got[k]["labels"].split(",")) == set(want), (k, text)
+        assert got[k]["score"] == max(want.values(), default=0.0), (k, text)
+
+
 # trained classifiers
 
 def test_toxicity_held_out(spark):
