@@ -1,5 +1,6 @@
 """SimHash and embedding near-duplicates, decontamination: against plain versions."""
 
+import math
 import random
 import re
 
@@ -163,3 +164,46 @@ def test_decontamination(spark):
     assert sorted(r["doc_id"] or -1 for r in kept.collect()) == [-1, 3, 4, 6, 7, 8]
     assert contaminated(frame(spark, []), bench).count() == 0
     assert contaminated(frame(spark, rows), bench.limit(0)).count() == 0
+
+
+def test_covering_masks_leave_a_seed():
+    from itertools import combinations
+    from tessera.llm.decontaminate import covering
+    for share, sizes in ((0.8, range(1, 14)), (0.7, (13, 20)), (1.0, (13,))):
+        for n in sizes:
+            laid = [{i + o for o, m in enumerate(mask) if m == "1"}
+                    for mask in covering(n, share) for i in range(n - len(mask) + 1)]
+            for wrong in combinations(range(n), n - math.ceil(n * share)):
+                assert any(not ones & set(wrong) for ones in laid), (share, n, wrong)
+
+
+def test_decontamination_complete(spark, tmp_path):
+    """Every accepted place is found: short items, and each pattern of changed words."""
+    from itertools import combinations
+
+    import corpus_pipeline
+    from tessera.llm.decontaminate import contaminated
+    lengths = (1, 2, 3, 4, 5, 6, 7, 8, 9, 10, 11, 12, 13, 16)
+    items = {n: [f"i{n}w{k}" for k in range(n)] for n in lengths}
+    rows, want, key = [], set(), 0
+    for n, words in items.items():
+        size = min(n, 13)
+        allowed = size - math.ceil(size * 0.8)
+        for count in range(allowed + 2):
+            for wrong in combinations(range(size), count):
+                if count > allowed and key % 3:  # some of the patterns that are not accepted
+                    key += 1
+                    continue
+                # of a longer item only a window is there
+                text = ["changed" if k in wrong else words[k + (n - size) // 2] for k in range(size)]
+                rows.append((key, " ".join(["before"] * (key % 4) + text + ["after"] * (key % 3))))
+                want |= {(key, n)} if count <= allowed else set()
+                key += 1
+    bench = spark.createDataFrame([(n, " ".join(w), 1) for n, w in items.items()] + [(99, None, 1), (98, "", 1)],
+                                  "item_id long, text string, doc_id int")
+    docs = frame(spark, rows)
+    assert {(r["doc_id"], r["item_id"]) for r in contaminated(docs, bench, complete=True).collect()} == want
+    bench.write.parquet(f"{tmp_path}/benchmark.parquet")
+    kept = corpus_pipeline.drop_benchmark(spark, docs, str(tmp_path))
+    assert {r["doc_id"] for r in kept.collect()} == {k for k, _ in rows} - {k for k, _ in want}
+    assert contaminated(docs, bench.limit(0), complete=True).count() == 0
