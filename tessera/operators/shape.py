@@ -52,17 +52,18 @@ def segments(df: DataFrame, body_col: str, order_cols: list[str], max_len: int,
     tail row keeps the original arithmetic (it can be longer than the
     others); a corpus of ``L <= max_len + 2`` ids is an error.
 
-    Only one (row key, length) record a row is sorted; its running total
-    places the row in the stream, the row's array is cut into one slice per
-    segment it touches, and each segment is put together from its slices (at
-    most ``max_len - 1`` ids; the literal tail at most that and ``max_len``).
+    The rows are sorted with their arrays, one record a row; the running total
+    of the lengths places the row in the stream, the row's array is cut into
+    one slice per segment it touches, and each segment is put together from its
+    slices (at most ``max_len - 1`` ids; the literal tail at most that and
+    ``max_len``). Rows without an order come first, tied ones in any order.
     """
     if max_len < 3:
         raise ValueError("max_len must be at least 3")
     if mode not in ("strict", "literal"):
         raise ValueError(f"unknown mode {mode!r}")
     stride = max_len - 2
-    sizes = df.select(*order_cols, F.size(body_col).alias("__n")).where("__n > 0")
+    sizes = df.select(*order_cols, F.col(body_col).alias("__body"), F.size(body_col).alias("__n")).where("__n > 0")
     placed, total = with_running_total(sizes, order_cols, "__n", "__start")
     if mode == "strict":
         length, first = total, 0
@@ -78,8 +79,7 @@ def segments(df: DataFrame, body_col: str, order_cols: list[str], max_len: int,
     end = F.least(start + F.col("__n"), F.lit(length)) - 1
     low = F.least(F.greatest(F.ceil((start - stride) / stride), F.lit(0)), F.lit(last)).cast("bigint")
     high = F.least(F.floor(end / stride), F.lit(last)).cast("bigint")
-    rows = df.select(*order_cols, F.col(body_col).alias("__body")).join(placed, order_cols) \
-        .select("__body", start.alias("__s"), end.alias("__e"), low.alias("__low"), high.alias("__high")) \
+    rows = placed.select("__body", start.alias("__s"), end.alias("__e"), low.alias("__low"), high.alias("__high")) \
         .where("__low <= __high")
     cut = rows.select("__body", "__s", "__e", F.explode(F.sequence("__low", "__high")).alias("segment_id"))
     at = F.greatest(F.col("__s"), F.col("segment_id") * stride, F.lit(0))

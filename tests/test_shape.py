@@ -57,6 +57,18 @@ def test_segments_strict_properties(spark):
         assert bodies[0] + [x for b in bodies[1:] for x in b[1:]] == ids
 
 
+def test_segments_null_and_tied_order(spark):
+    """Rows whose order is null or tied are laid in the stream once, too."""
+    parts = {None: [[10, 11, 12]], 1: [[13, 14], [15, 16, 17]], 2: [[18], [19, 20]]}
+    rows = [(r, body) for r, bodies in parts.items() for body in bodies]
+    corpus = spark.createDataFrame(rows, "r long, body array<int>")
+    streams = [[10, 11, 12] + a + b for a in ([13, 14, 15, 16, 17], [15, 16, 17, 13, 14])
+               for b in ([18, 19, 20], [19, 20, 18])]
+    for mode in ("strict", "literal"):
+        out = sorted(sh.segments(corpus, "body", ["r"], 5, mode).collect(), key=lambda r: r.segment_id)
+        assert [r.segment for r in out] in [_segs(spark, s, 5, mode) for s in streams]
+
+
 def test_shift(spark):
     df = spark.createDataFrame([([1, 5, 6, 2, 3],)], "a array<int>")
     i, g = sh.shift("a")
