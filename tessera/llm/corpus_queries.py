@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import fill_middle
-from tessera.llm.common import table
+from tessera.llm import fill_middle, perplexity
+from tessera.llm.common import stored, table
 from tessera.llm.registry import query
 
 
@@ -42,3 +42,14 @@ def op11_fill_middle(spark, sf_dir):
     back = fill_middle.restored(F.col("output"), F.col("form"))
     return out.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
                       F.sha2("output", 256).alias("output_sha256"), F.sha2(back, 256).alias("restored_sha256"))
+
+
+@query("op12_quality_rules")
+def op12_quality_rules(spark, sf_dir):
+    """Tested against plain rules and a plain Kneser-Ney model: SQL could
+    give the rules but not the verdict."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    model = perplexity.probabilities(perplexity.counts(docs))
+    scored = stored(perplexity.score(docs, model).drop("text"), "perplexity")
+    out = perplexity.judge(scored, perplexity.bands(scored))
+    return out.select("doc_id", *perplexity.MEASURES, "base_failed", "kept", "log_perplexity")

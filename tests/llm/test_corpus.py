@@ -72,3 +72,121 @@ def test_wavelet_matrix():
         k = np.arange(total[-1] + 1)
         assert np.array_equal(m.reaches((1, 4), np.zeros(len(k), np.int64), np.full(len(k), n), k),
                               [int(np.flatnonzero(total >= x)[0]) for x in k])
+
+
+# quality rules
+
+def plain_measures(text):
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = [tuple(words[k:k + 3]) for k in range(len(words) - 2)]
+    again = {j for k, w in enumerate(windows) if windows.count(w) > 1 for j in range(k, k + 3)} if len(windows) < 3000 else None
+    seen, dup = set(), 0
+    for line in text.split("\n"):
+        if re.search(WORD, line):
+            dup += line in seen
+            seen.add(line)
+    return len(words), sum(map(len, words)), sum(c in "#*$%&|<>" for c in text), dup, None if again is None else len(again)
+
+
+def plain_model(rows, order):
+    """{(lang, n-gram): probability}: modified Kneser-Ney, read from its definition."""
+    from collections import Counter
+    def codes(text):
+        return [ord(" ") if chr(b) in " \t\n\x0b\x0c\r" else ord("0") if 48 <= b <= 57 else b + 32 if 65 <= b <= 90 else max(1, b)
+                for b in (text or "").encode()]
+    def of(text):
+        c = [0] * (order - 1) + codes(text)
+        return [tuple(c[k:k + order]) for k in range(len(c) - order + 1)]
+    models = {}
+    for lang in {l for _, _, l in rows}:
+        top = Counter(g for _, t, l in rows if l == lang for g in of(t))
+        levels = {order: top}
+        for k in range(order - 1, 0, -1):
+            levels[k] = Counter(g[1:] for g in levels[k + 1])
+        prob = {(): 1 / 256}
+        for k in range(1, order + 1):
+            t = [sum(n == r for n in levels[k].values()) for r in range(5)]
+            y = t[1] / (t[1] + 2 * t[2]) if t[1] else 0
+            d = [0] + [max(0.01, r - (r + 1) * y * t[r + 1] / t[r]) if t[r] and t[r + 1] and t[1] else r / 2 for r in (1, 2, 3)]
+            sums, kinds = Counter(), {}
+            for g, n in levels[k].items():
+                sums[g[:-1]] += n
+                kinds.setdefault(g[:-1], [0] * 4)[min(n, 3)] += 1
+            new = {}
+            for g, n in levels[k].items():
+                gamma = sum(d[r] * kinds[g[:-1]][r] for r in (1, 2, 3)) / sums[g[:-1]]
+                new[g] = max(0, n - d[min(n, 3)]) / sums[g[:-1]] + gamma * prob[g[1:]]
+            prob = new
+        models[lang] = prob
+    return models, of
+
+
+def test_measures(spark):
+    import numpy as np
+    from tessera.llm.perplexity import measures
+    rng = random.Random(5)
+    texts = [(t or "") for t in sample_texts(2)] + [" ".join(rng.choice("abc") for _ in range(rng.randint(1, 60))) for _ in range(80)]
+    texts += ["x y\n x y\nx y\n\n  \n  \nx y", "a b c a b c", "a b c d a b", "same same same same"]
+    raw = [t.encode() for t in texts]
+    starts = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    got = list(zip(*[m.tolist() for m in measures(np.frombuffer(b"".join(raw), np.uint8), starts)]))
+    for t, g in zip(texts, got):
+        want = plain_measures(t)
+        assert g[:4] == want[:4] and (want[4] is None or g[4] == want[4]), t
+    alone = [measures(np.frombuffer(r, np.uint8), np.array([0, len(r)])) for r in raw[:100]]
+    assert [tuple(int(m[0]) for m in a) for a in alone] == [tuple(g) for g in got[:100]]
+
+
+def lm_rows():
+    rng = random.Random(8)
+    syllables = {"en": ["the", "an", "ti", "on", "re"], None: ["qu\u00e9", "la", "do", "es"]}
+    make = lambda l, n: " ".join("".join(rng.choice(syllables[l]) for _ in range(rng.randint(1, 3))) for _ in range(n))
+    rows = [(k, make("en" if k % 3 else None, rng.randint(50, 90)), "en" if k % 3 else None) for k in range(90)]
+    rows += [(100, "zx9 #@!\u6f22 Wq" * 60 + " x" * 60, "en"), (101, "a b c " * 40, "en"), (102, None, "en"), (103, "", None),
+             (104, "lone words of a language", "xx"), (None, rows[1][1], "en"), (105, rows[1][1], "en"), (105, rows[1][1], "en")]
+    return rows
+
+
+def test_quality_rules(spark):
+    import math
+    from tessera.llm import perplexity as p
+    rows = lm_rows()
+    docs = spark.createDataFrame([(i, t, l, "mine", 7) for i, t, l in rows],
+                                 "doc_id long, text string, lang string, l string, N_Words int").repartition(5)
+    plain, of = plain_model(rows, 3)
+    scored = p.score(docs, p.probabilities(p.counts(docs, order=3), order=3), order=3)
+    assert len({c.lower() for c in scored.columns}) == len(scored.columns)
+    got = {(r["doc_id"], r["text"], r["lang"]): r for r in p.judge(scored, p.bands(scored)).collect()}
+    assert len(got) == len(rows) - 1  # one row is there twice
+    ppl = {}
+    for i, t, l in rows:
+        r = got[i, t, l]
+        assert tuple(r[c] for c in p.MEASURES) == plain_measures(t) and r["l"] == "mine"
+        logs = [math.log(plain[l][g]) for g in of(t)] if t else []
+        ppl[i, t, l] = -sum(logs) / len(logs) if logs else None
+        assert (r["log_perplexity"] is None) == (not logs) and (not logs or abs(r["log_perplexity"] - ppl[i, t, l]) < 1e-5)
+        n, rep = r["n_words"], r["n_repeat_words"]
+        assert r["base_failed"] == (n < 50 or 100 * rep > 50 * n) and not (r["kept"] and (r["base_failed"] or not r["in_band"]))
+    # the bands, from the sorted values
+    for lang in ("en", None):
+        own = sorted(round(got[k]["log_perplexity"] // p.STEP) for k in got for _ in range(1 + (k[0] == 105)) if k[2] == lang and not got[k]["base_failed"])
+        q1, q2, q3 = ((own[math.ceil(q * len(own)) - 1] + 0.5) * p.STEP for q in (0.25, 0.5, 0.75))
+        low, high = q2 - p.REACH * max(q2 - q1, p.LEAST), q2 + p.REACH * max(q3 - q2, p.LEAST)
+        for k, r in got.items():
+            if k[2] == lang and r["log_perplexity"] is not None:
+                assert r["in_band"] == (low <= r["log_perplexity"] <= high)
+    assert got[100, rows[90][1], "en"]["kept"] is False and got[1, rows[1][1], "en"]["kept"]
+    # a model beyond the broadcast bound gives the same by a join
+    joined = p.score(docs, p.probabilities(p.counts(docs, order=3), order=3), order=3, max_model=0)
+    assert set(joined.columns) == set(scored.columns)
+    for r in joined.collect():
+        want = got[r["doc_id"], r["text"], r["lang"]]["log_perplexity"]
+        assert (r["log_perplexity"] is None) == (want is None) and (want is None or abs(r["log_perplexity"] - want) < 1e-9)
+
+
+def test_quality_rules_empty(spark):
+    from tessera.llm import perplexity as p
+    docs = spark.createDataFrame([], "doc_id long, text string, lang string")
+    scored = p.score(docs, p.probabilities(p.counts(docs)))
+    assert p.judge(scored, p.bands(scored)).count() == 0
