@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from tessera.llm import fill_middle, perplexity
+from tessera.llm import cross_tokens, fill_middle, perplexity
 from tessera.llm.common import stored, table
 from tessera.llm.registry import query
 
@@ -53,3 +53,16 @@ def op12_quality_rules(spark, sf_dir):
     scored = stored(perplexity.score(docs, model).drop("text"), "perplexity")
     out = perplexity.judge(scored, perplexity.bands(scored))
     return out.select("doc_id", *perplexity.MEASURES, "base_failed", "kept", "log_perplexity")
+
+
+def tokenizer_pair(spark):
+    import public_tokenizers as p
+    return cross_tokens.CrossTokens(spark, p.path("byte_bpe_50k.json"), p.path("piece_bpe_32k.model"), p.PATTERN)
+
+
+@query("op13_cross_tokens")
+def op13_cross_tokens(spark, sf_dir):
+    """Tested against the tokenizers' libraries and plain loops."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    out = tokenizer_pair(spark).align(docs, groups="sha256")
+    return out.select("doc_id", *cross_tokens.MEASURES, F.col("groups").alias("groups_sha256"))

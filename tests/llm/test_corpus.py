@@ -190,3 +190,105 @@ def test_quality_rules_empty(spark):
     docs = spark.createDataFrame([], "doc_id long, text string, lang string")
     scored = p.score(docs, p.probabilities(p.counts(docs)))
     assert p.judge(scored, p.bands(scored)).count() == 0
+
+
+# tokenizer alignment
+
+public_tokenizers = pytest.importorskip("public_tokenizers")
+
+
+def plain_alignment(texts):
+    """Rows of op13 from the two libraries and byte sets, without stretches or blocks."""
+    import os
+    from collections import Counter
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
+    import sentencepiece
+    from tokenizers import Tokenizer
+    a_lib = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    a_lib.encode_special_tokens = True
+    b_lib = sentencepiece.SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    letters = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    byte_of = {chr(b): b for b in letters}
+    for b in range(256):
+        if b not in letters:
+            byte_of[chr(256 + len(byte_of) - len(letters))] = b
+    links, out, total = [], [], Counter()
+    for t in texts:
+        a = [(i, bytes(byte_of[c] for c in a_lib.id_to_token(i))) for i in a_lib.encode(" " + t, add_special_tokens=False).ids] if t else []
+        b = [(i, bytes([int(b_lib.id_to_piece(i)[3:5], 16)]) if b_lib.is_byte(i) else b_lib.id_to_piece(i).replace("\u2581", " ").encode())
+             for i in b_lib.encode(t)] if t else []
+        if not t or b"".join(x for _, x in a) != (" " + t).encode() or b"".join(x for _, x in b) != (" " + t).encode():
+            links.append([])
+            out.append((0, 0, 0, 0, ""))
+            continue
+        spans = []
+        for side in (a, b):
+            at, own = 0, []
+            for i, x in side:
+                own.append((i, at, at + len(x)))
+                at += len(x)
+            spans.append(own)
+        own = []
+        j = 0
+        for i, s, e in spans[0]:
+            while spans[1][j][2] <= s:
+                j += 1
+            k = j
+            while k < len(spans[1]) and spans[1][k][1] < e:
+                own.append((i, spans[1][k][0]))
+                k += 1
+        ends = sorted({e for _, _, e in spans[0]} & {e for _, _, e in spans[1]})
+        parts, p, q = [], 0, 0
+        for end in ends:
+            x, y = [], []
+            while p < len(a) and spans[0][p][2] <= end:
+                x.append(str(spans[0][p][0]))
+                p += 1
+            while q < len(b) and spans[1][q][2] <= end:
+                y.append(str(spans[1][q][0]))
+                q += 1
+            parts.append(",".join(x) + "|" + ",".join(y))
+        links.append(own)
+        total.update(own)
+        out.append((len(a), len(b), len(ends), len(own), ";".join(parts)))
+    most = Counter()
+    for (_, b), n in total.items():
+        most[b] = max(most[b], n)
+    return [(na, nb, ng, nl, sum(total[x] == most[x[1]] for x in own), sum(total[x] for x in own), g)
+            for (na, nb, ng, nl, g), own in zip(out, links)]
+
+
+def alignment_texts():
+    rng = random.Random(11)
+    part = ["the", "Water", "tion", "Stra\u00dfe", "\u65e5\u672c\u8a9e", "x1", "3.14", "it's", "\U0001f388", "\u00a0", "  ", "\n", "\t", "\r\n", " \n", "\u3000",
+            "<s>", "</s>", "<unk>", "<0x41>", "<|endoftext|>", "'re", "\x00", "\x1c", "e\u0301", "\u0e01\u0e33", "aaaa", "''", "--", "#", "\u2028"]
+    out = ["".join(rng.choice(part) + rng.choice(["", " ", " "]) for _ in range(rng.randint(1, 25))) for _ in range(300)]
+    return out + [None, "", " ", "  ", "\n", "a", "has \u2581 inside", "\u2581", "z" * 3000, "word " * 5000, "double  spaces  all  over " * 300] + out[:20]
+
+
+def test_cross_tokens(spark, monkeypatch):
+    from tessera.llm import cross_tokens
+    from tessera.llm.corpus_queries import tokenizer_pair
+    monkeypatch.setattr(cross_tokens, "BLOCK", 2000)
+    monkeypatch.setattr(cross_tokens, "KEPT", 50)
+    texts = alignment_texts()
+    want = plain_alignment(texts)
+    pair = tokenizer_pair(spark)
+    rows = [(k if k % 7 else None, t) for k, t in enumerate(texts)]
+    docs = frame(spark, rows).withColumn("n_best", pytest.importorskip("pyspark.sql.functions").lit("old")).repartition(3)
+    out = pair.align(docs)
+    assert len({c.lower() for c in out.columns}) == len(out.columns)
+    got = {r["_parts"]: r for r in out.collect()}
+    assert len(got) == len(rows)
+    for k, w in enumerate(want):
+        r = got[k]
+        assert (r["n_a"], r["n_b"], r["n_groups"], r["n_links"], r["n_best"], r["count_sum"], r["groups"]) == w, (k, texts[k])
+        assert r["doc_id"] == rows[k][0] and r["lang"] == "en"
+    digests = {r["_parts"]: r["groups"] for r in pair.align(docs, groups="sha256").collect()}
+    assert all(digests[k] == (hashlib.sha256(w[6].encode()).hexdigest() if w[6] else "") for k, w in enumerate(want))
+    assert sum(w[0] == 0 for w in want) == 4 and pair.align(frame(spark, [])).count() == 0
+
+
+def test_identity_map():
+    from tessera.llm.cross_tokens import identity_map
+    assert identity_map([b"a", b"b", b"", b"c"], [b"x", b"a", b"a", b"c"], later=[1]).tolist() == [2, -1, -1, 3]
