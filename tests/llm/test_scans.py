@@ -211,6 +211,52 @@ def test_toxicity_cases(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def plain_net(model, text):
+    """The net word by word, read from its definition."""
+    import math
+    import numpy as np
+    from tessera.llm import toxicity as t
+    table, raw = t.letter_table(), (text or "").encode()
+    ids, _ = t.buckets_of(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), table)
+    x = [[sum(float(model.embedding[b][d]) for b in word) for d in range(t.DIM)] for word in ids.tolist()]
+    x += [[0.0] * t.DIM] * t.PAD
+    value, at = float(model.shift), 0
+    for w, weight, bias in zip(t.WIDTHS, model.filters, model.bias):
+        for f in range(t.FILTERS):
+            best = max(sum(x[k + o][d] * float(weight[o][d][f]) for o in range(w) for d in range(t.DIM))
+                       for k in range(len(x) - w + 1))
+            value += max(0.0, best + float(bias[f])) * float(model.out[at])
+            at += 1
+    a, b = model.scale
+    return 1 / (1 + math.exp(-max(-30, min(30, a * value + b))))
+
+
+def test_toxicity_net(spark):
+    """Equal to the plain net, and to the last bit whatever stands beside a text."""
+    import numpy as np
+    from tessera.llm import toxicity
+    rng = random.Random(12)
+    pool = ["plain", "words", "stand", "here", "vile", "Étrange", "today", "vilest"]
+    docs = [(k, " ".join(rng.choice(pool[:4] + pool[4 + (k % 4 == 0):]) for _ in range(rng.randint(0, 40)))) for k in range(200)]
+    labels = spark.createDataFrame([(k, int("vile" in t)) for k, t in docs], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, docs), labels)
+    texts = [t for _, t in docs] + [None, ""]
+    got = {r["text"]: r["score"] for r in toxicity.score(frame(spark, docs + [(500, None), (501, "")]), model).collect()}
+    for t in texts:
+        assert abs(got[t] - plain_net(model, t)) < 1e-12
+    net, table = toxicity.Model.unpacked(model.packed()), toxicity.letter_table()
+
+    def scores(some):
+        raw = [(t or "").encode() for t in some]
+        starts = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+        return net.score(*toxicity.buckets_of(np.frombuffer(b"".join(raw), np.uint8), starts, table)).tolist()
+
+    together = dict(zip(texts, scores(texts)))
+    order = rng.sample(texts, len(texts))
+    assert dict(zip(order, scores(order))) == together == got
+    assert all(scores([t]) == [together[t]] for t in texts)
+
+
 def test_quality_labels(spark):
     from tessera.llm.catalog import QUERIES
     labels = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
@@ -260,3 +306,32 @@ def test_pipeline_runs(spark):
     empty = table(spark, SF, "documents").limit(0)
     for _, stage in corpus_pipeline.STAGES:
         assert stage(spark, empty, SF).count() == 0
+
+
+def test_pipeline_cases(spark):
+    """Null, empty, long, tied and repeated rows; given columns with the operators' names stay as they are."""
+    import corpus_pipeline
+    rng = random.Random(6)
+    words = lambda n: " ".join("".join(rng.choice("abcdefgh") for _ in range(6)) for _ in range(n))
+    same, long_ = words(60), words(30_000)
+    texts = [(900_001, None), (900_002, ""), (900_003, long_), (900_004, same), (900_004, same), (900_005, same), (None, words(50)),
+             (900_006, "a shared line here\n" + words(40)), (900_007, "A shared line here \n" + words(40)), (900_008, words(5))]
+    names = ["score", "predicted", "flagged", "n_lines", "n_dropped", "kept", "fp", "component_id", "ids", "_gone", "_key", "cell"]
+    docs = spark.createDataFrame([(i, t, "en", len(t or ""), k, *range(k, k + len(names))) for k, (i, t) in enumerate(texts)],
+                                 "doc_id long, text string, lang string, n_chars long, tag int, " + ", ".join(f"{n} int" for n in names))
+    given, sizes = docs.columns, []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.stored(stage(spark, docs, SF), name)
+        assert docs.columns == given
+        rows = docs.collect()
+        sizes.append(len(rows))
+        for r in rows:
+            assert [r[n] for n in names] == list(range(r["tag"], r["tag"] + len(names)))
+            assert r["doc_id"] == texts[r["tag"]][0] and r["n_chars"] == len((texts[r["tag"]][1] if name == "toxicity" else r["text"]) or "")
+    assert sizes[:2] == [10, 10]
+    left = {r["tag"]: r["text"] for r in docs.collect()}
+    # 5 lost its only line to 4; null, empty and emptied texts are copies of each other, and so are the repeated rows
+    assert len({0, 1, 5} & set(left)) == 1 and len({3, 4} & set(left)) == 1 and {2, 6, 7, 8, 9} <= set(left)
+    assert left[7].startswith("a shared line") and "shared" not in left[8] and left[2] == long_
+    out = corpus_pipeline.STAGES[-1][1](spark, docs, SF).collect()
+    assert len(out) == len(left)
