@@ -1,49 +1,55 @@
 """Byte-pair vocabulary: word counts, training, encode, decode.
 
-Training is a loop of Spark jobs over the *distinct word* table
-``(word, cnt, syms ARRAY<INT>)`` — never the corpus, never one task:
-
-1. pair counts: ``explode`` adjacent symbol pairs, ``groupBy(l, r)``
-   ``sum(cnt)`` (partial aggregation before the shuffle) once; afterwards
-   the pair table is updated incrementally: the words a batch changes
-   (found with ``arrays_overlap``) contribute their new pairs and minus
-   their old ones;
-2. the best pairs by (count desc, left id, right id) via a bounded
-   ``orderBy().limit()`` (a top-k, one small collect);
-3. an exact batch of merges: the longest contiguous prefix of that ranking
-   whose pairs share no symbol, cut so that every accepted pair after the
-   first is strictly more frequent than the first pair left out (a pair a
-   merge creates can never be more frequent than a pair it consumed, so
-   none can overtake or tie an accepted pair); a merge that spells an
-   existing token is applied alone;
-4. the batch is applied left to right, non-overlapping, to every word.
-
-The word table is persisted between rounds and written to the shared
-checkpoint folder every few rounds, so lineage stays short. Ids: the five
-specials, then the alphabet in code-point order, then merges in order.
-
-Encoding splits special-token strings out first, pre-tokenises the rest
-(``\\w+|[^\\w\\s]+``), segments each *distinct* piece once with the merge
-table (an Arrow-batched helper; the table is broadcast, bounded by
-``vocab_size``), and re-assembles rows by position.
+Training works on the *distinct word* table ``(cnt, syms ARRAY<INT>)`` —
+never the corpus, never one task — in few rounds that accept many merges each:
+
+1. pair counts: each task adds up the adjacent symbol pairs of its words,
+   ``groupBy`` sums them, and the ``K + 1`` best by (count desc, left id,
+   right id) come to the driver. ``S`` is the first ``K`` of them, ``p`` the
+   one left out;
+2. every word is cut into runs of symbols whose adjacent pairs are all in
+   ``S``; equal runs are added up. ``K`` is halved until at most ``MAX_RUNS``
+   different runs remain;
+3. the driver merges within these runs, best pair first, as long as the best
+   pair comes before ``p``. That is exact: a pair that merging creates stands
+   where an adjacent pair of the round's start stood, so it is at most as
+   frequent as that one. If that one is not in ``S`` the new pair is not more
+   frequent than ``p``, and with an equal count its ids come after those of
+   ``p`` (new ids are the largest), so it can't be next before ``p`` is. All
+   pairs before ``p`` therefore lie inside runs with their full counts;
+4. the accepted merges are applied to all words, which are written to the
+   shared checkpoint folder.
+
+A merge that spells an existing token makes old pairs more frequent; it ends
+a round and is then applied alone. Ids: the five specials, then the alphabet
+in code-point order, then merges in order.
+
+Encoding cuts special-token strings out first, pre-tokenises the rest
+(``\\w+|[^\\w\\s]+``) and segments the pieces where the row is, with the
+merge table broadcast (bounded by ``vocab_size``) and a bounded memo of
+pieces; rows are neither exploded nor shuffled.
 """
 
 from __future__ import annotations
 
+import heapq
 from dataclasses import dataclass
 
-import pandas as pd
+import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.constants import END, PAD, SPECIAL_TOKENS, START, UNK
-from tessera.functions.text import SPLIT_TOKEN_RE, drop_tokens, split_tokens
+from tessera.functions.text import SPLIT_TOKEN_RE, split_tokens
 from tessera.session import cut_lineage
 
 DEFAULT_VOCAB_SIZE = 500_000
-_PAIR_SHIFT = 1 << 24
 WORDS_PER_TASK = 20_000
+#: different runs of a round, and pairs of a round, that come to the driver
+MAX_RUNS, MAX_PAIRS = 60_000, 1 << 16
+#: pieces whose ids an encoding task keeps, and the longest of them
+MEMO_PIECES, MEMO_CHARS = 50_000, 40
 
 
 @dataclass
@@ -73,134 +79,208 @@ def word_counts(df: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 # ------------------------------------------------------------------ K12
-def _apply_batch(syms: Column, batch: list[tuple[int, int, int]]) -> Column:
-    """Apply symbol-disjoint merges left to right, non-overlapping."""
-    keys = F.array(*[F.lit(l * _PAIR_SHIFT + r) for l, r, _ in batch])
-    vals = F.array(*[F.lit(m) for _, _, m in batch])
-    init = F.struct(F.array().cast("array<int>").alias("out"), F.lit(-1).alias("prev"))
-
-    def step(acc, x):
-        key = acc["prev"].cast("bigint") * _PAIR_SHIFT + x
-        hit = (acc["prev"] >= 0) & (F.array_position(keys, key) > 0)
-        out = acc["out"]
-        merged = F.concat(F.slice(out, 1, F.size(out) - 1),
-                          F.array(F.element_at(vals, F.array_position(keys, key).cast("int"))))
-        return F.when(hit, F.struct(merged.alias("out"), F.lit(-1).alias("prev"))) \
-                .otherwise(F.struct(F.concat(out, F.array(x)).alias("out"), x.alias("prev")))
-
-    return F.aggregate(syms, init, step, lambda acc: acc["out"])
-
-
-def _pairs(words: DataFrame, syms: str, sign: int = 1) -> DataFrame:
-    """(l, r, cnt): every adjacent symbol pair of every word, weighted by
-    the word count (negated with ``sign=-1``)."""
-    n = F.size(syms)
-    return words.select((F.col("cnt") * sign).alias("cnt"), F.explode(F.arrays_zip(
-        F.slice(syms, 1, n - 1).alias("l"), F.slice(syms, 2, n - 1).alias("r"))).alias("p")) \
-        .select(F.col("p.l").alias("l"), F.col("p.r").alias("r"), "cnt")
-
-
-def _pair_counts(pairs: DataFrame) -> DataFrame:
-    return pairs.groupBy("l", "r").agg(F.sum("cnt").alias("c")).filter(F.col("c") > 0)
-
-
-def _choose_batch(top: list, id2tok: list, tok2id: dict, room: int, max_batch: int):
-    """Exact batch from the ranked pairs (see module docstring)."""
-    first = top[0]
-    chosen = [first]
-    if id2tok[first.l] + id2tok[first.r] in tok2id:
-        return chosen
-    used = {first.l, first.r}
-    limit = min(room, max_batch)
-    stop = None
-    for p in top[1:]:
-        if len(chosen) >= limit or p.l in used or p.r in used \
-                or id2tok[p.l] + id2tok[p.r] in tok2id:
-            stop = p
+def _flat(batch) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbols end to end, starts with the end, count) of a batch of words."""
+    syms = batch.column("syms")
+    starts = syms.offsets.to_numpy()
+    return syms.values.to_numpy()[starts[0]:starts[-1]], starts - starts[0], batch.column("cnt").to_numpy()
+
+
+def _codes(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(pair that begins at each symbol as one number, whether it is one)."""
+    inside = np.ones(len(flat), bool)
+    inside[starts[1:][starts[1:] > starts[:-1]] - 1] = False
+    after = np.append(flat[1:], 0).astype(np.int64)
+    return flat.astype(np.int64) << 32 | after, inside
+
+
+def _pair_counts(words: DataFrame) -> DataFrame:
+    """(l, r, c): adjacent symbol pairs of all words, weighted by the words'
+    counts; each batch of words is added up before it leaves its task."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            flat, starts, cnt = _flat(batch)
+            code, inside = _codes(flat, starts)
+            weight = np.repeat(cnt, np.diff(starts))[inside]
+            pairs, at = np.unique(code[inside], return_inverse=True)
+            total = np.zeros(len(pairs), np.int64)
+            np.add.at(total, at, weight)
+            yield pa.record_batch([pa.array(pairs >> 32), pa.array(pairs & 0xFFFFFFFF), pa.array(total)], names=["l", "r", "c"])
+
+    return words.mapInArrow(run, "l long, r long, c long").groupBy("l", "r").agg(F.sum("c").alias("c"))
+
+
+def _runs(words: DataFrame, pairs: np.ndarray) -> DataFrame:
+    """(run, cnt): maximal runs of symbols whose adjacent pairs are all in
+    ``pairs`` (sorted numbers), as 32-bit integers, equal ones added up."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            flat, starts, cnt = _flat(batch)
+            code, inside = _codes(flat, starts)
+            place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
+            linked = inside & (pairs[place] == code)
+            before = np.append(False, linked[:-1])
+            first = np.flatnonzero(linked & ~before)
+            last = np.flatnonzero(before & ~linked)
+            raw = flat.astype("<i4").tobytes()
+            held: dict[bytes, int] = {}
+            for a, b, n in zip((4 * first).tolist(), (4 * last + 4).tolist(), np.repeat(cnt, np.diff(starts))[first].tolist()):
+                key = raw[a:b]
+                held[key] = held.get(key, 0) + n
+            yield pa.record_batch([pa.array(list(held), pa.binary()), pa.array(list(held.values()), pa.int64())], names=["run", "cnt"])
+
+    return words.mapInArrow(run, "run binary, cnt long").groupBy("run").agg(F.sum("cnt").alias("cnt"))
+
+
+def _replaced(syms: list[int], left: int, right: int, new: int) -> list[int]:
+    """All occurrences from the left, not overlapping."""
+    out, i, n = [], 0, len(syms)
+    while i < n:
+        if i + 1 < n and syms[i] == left and syms[i + 1] == right:
+            out.append(new)
+            i += 2
+        else:
+            out.append(syms[i])
+            i += 1
+    return out
+
+
+def _merge_runs(runs: list[tuple[list[int], int]], stop: tuple | None, id2tok: list, tok2id: dict,
+                room: int) -> list[tuple[int, int, int]]:
+    """The merges that come before ``stop`` (-count, left, right) in the
+    ranking, in their order; at most ``room`` new tokens, which are added to
+    ``id2tok`` and ``tok2id``."""
+    counts: dict[tuple[int, int], int] = {}
+    where: dict[tuple[int, int], set[int]] = {}
+    for k, (syms, n) in enumerate(runs):
+        for p in zip(syms, syms[1:]):
+            counts[p] = counts.get(p, 0) + n
+            where.setdefault(p, set()).add(k)
+    heap = [(-n, *p) for p, n in counts.items()]
+    heapq.heapify(heap)
+    merges: list[tuple[int, int, int]] = []
+    while heap and len(merges) < room:
+        top = heapq.heappop(heap)
+        pair, n = top[1:], counts.get(top[1:], 0)
+        if n != -top[0]:
+            if n > 0:
+                heapq.heappush(heap, (-n, *pair))
+            continue
+        if stop is not None and top >= stop:
             break
-        chosen.append(p)
-        used.update((p.l, p.r))
-    # no stop: the ranking was complete and every pair was independent, so
-    # no merge can form a new pair. Otherwise keep only pairs strictly more
-    # frequent than the first one left out.
-    if stop is not None:
-        while len(chosen) > 1 and chosen[-1].c <= stop.c:
-            chosen.pop()
-    return chosen
+        token = id2tok[pair[0]] + id2tok[pair[1]]
+        if token in tok2id:
+            if not merges:
+                return [(*pair, tok2id[token])]
+            break
+        new = len(id2tok)
+        id2tok.append(token)
+        tok2id[token] = new
+        merges.append((*pair, new))
+        grown = set()
+        for k in where.pop(pair):
+            syms, times = runs[k]
+            if len(syms) == 2:  # the most common case
+                counts[pair] -= times
+                runs[k] = ([new], times)
+                continue
+            for p in zip(syms, syms[1:]):
+                counts[p] -= times
+            syms = _replaced(syms, *pair, new)
+            runs[k] = (syms, times)
+            for p in zip(syms, syms[1:]):
+                counts[p] = counts.get(p, 0) + times
+                if new in p:
+                    where.setdefault(p, set()).add(k)
+                    grown.add(p)
+        for p in grown:
+            heapq.heappush(heap, (-counts[p], *p))
+    return merges
+
+
+def _applied(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
+    """The words after the merges; words of one symbol are done and go."""
+    table = words.sparkSession.sparkContext.broadcast({(l, r): (k, m) for k, (l, r, m) in enumerate(merges)})
+    wanted = np.sort(np.array([l << 32 | r for l, r, _ in merges], np.int64))
+
+    def run(batches):
+        import pyarrow as pa
+        ranks = table.value
+        for batch in batches:
+            flat, starts, cnt = _flat(batch)
+            code, inside = _codes(flat, starts)
+            hit = inside & (wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
+            # only words that hold a pair of the round's old symbols can change
+            touched = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(hit)))[starts]))
+            rows, keep = batch.column("syms"), np.diff(starts) >= 2
+            new = {}
+            for k in touched.tolist():
+                syms = merge_symbols(flat[starts[k]:starts[k + 1]].tolist(), ranks)
+                new[k], keep[k] = syms, len(syms) >= 2
+            same = keep.copy()
+            same[touched] = False
+            yield batch.filter(pa.array(same))
+            own = [k for k in new if keep[k]]
+            yield pa.record_batch([pa.array(cnt[own], pa.int64()), pa.array([new[k] for k in own], rows.type)], names=["cnt", "syms"])
+
+    return words.mapInArrow(run, "cnt long, syms array<int>")
 
 
 def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB_SIZE,
-          max_batch: int = 64, checkpoint_every: int = 8) -> BpeModel:
+          max_runs: int = MAX_RUNS) -> BpeModel:
     """Train a byte-pair vocabulary of at most ``vocab_size`` tokens
     (specials included), merging the most frequent adjacent pair, ties to
-    the smallest (left id, right id)."""
+    the smallest (left id, right id). ``max_runs`` bounds what a round brings
+    to the driver, not what is learned."""
     spark = df.sparkSession
-    wc = word_counts(df, text_col)
-    chars = wc.select(F.explode(F.regexp_extract_all("word", F.lit("(?s)."), 0)).alias("c")) \
-              .distinct().collect()
+    wc = cut_lineage(word_counts(df, text_col))
+    letters = F.regexp_extract_all("word", F.lit("(?s)."), 0)
+    chars = wc.select(F.explode(letters).alias("c")).distinct().collect()
     alphabet_chars = sorted((r.c for r in chars), key=ord)
     id2tok = list(SPECIAL_TOKENS) + alphabet_chars
     tok2id = {t: i for i, t in enumerate(id2tok)}
     alphabet = {c: tok2id[c] for c in alphabet_chars}
-    alpha_df = spark.createDataFrame(list(alphabet.items()) or [("", -1)], "c string, cid int")
-
-    ex = wc.select("word", "cnt", F.posexplode(F.regexp_extract_all("word", F.lit("(?s)."), 0))
-                   .alias("pos", "c"))
-    words = ex.join(F.broadcast(alpha_df), "c").groupBy("word", "cnt").agg(
-        F.array_sort(F.collect_list(F.struct("pos", "cid"))).alias("s")) \
-        .select("word", "cnt", F.transform("s", lambda x: x["cid"]).alias("syms"))
-    words = words.filter(F.size("syms") >= 2)
+    shared = spark.sparkContext.broadcast({ord(c): i for c, i in alphabet.items()})
+
+    def symbols(batches):
+        import pyarrow as pa
+        for batch in batches:
+            ids = shared.value
+            rows = [[ids[ord(c)] for c in w] for w in batch.column("word").to_pylist()]
+            yield pa.record_batch([batch.column("cnt"), pa.array(rows, pa.list_(pa.int32()))], names=["cnt", "syms"])
+
     # about WORDS_PER_TASK distinct words per task, at most one task per
     # core: a small table costs few tasks per round, a large one spreads
     # over the whole cluster
-    n_words = words.count()
-    parts = min(spark.sparkContext.defaultParallelism, max(1, -(-n_words // WORDS_PER_TASK)))
-    words = cut_lineage(words.repartition(parts))
+    parts = min(spark.sparkContext.defaultParallelism, max(1, -(-wc.count() // WORDS_PER_TASK)))
+    words = cut_lineage(wc.where(F.length("word") >= 2).repartition(parts)
+                        .mapInArrow(symbols, "cnt long, syms array<int>"))
 
     merges: list[tuple[int, int, int]] = []
-    rounds = 0
-    pc = cut_lineage(_pair_counts(_pairs(words, "syms")))
-    cached: list[DataFrame] = []
+    n_pairs = 512
     while len(id2tok) < vocab_size:
-        top = pc.orderBy(F.desc("c"), "l", "r").limit(max_batch + 1).collect()
-        if not top or top[0].c < 1:
+        top = _pair_counts(words).where("c > 0").orderBy(F.desc("c"), "l", "r").limit(MAX_PAIRS + 1).collect()
+        if not top:
             break
-        batch = _choose_batch(top, id2tok, tok2id, vocab_size - len(id2tok), max_batch)
-        applied = []
-        for p in batch:
-            tok = id2tok[p.l] + id2tok[p.r]
-            new_id = tok2id.get(tok)
-            if new_id is None:
-                new_id = len(id2tok)
-                id2tok.append(tok)
-                tok2id[tok] = new_id
-            merges.append((p.l, p.r, new_id))
-            applied.append((p.l, p.r, new_id))
-        rounds += 1
-        # only words holding both symbols of some merged pair can change
-        maybe = F.arrays_overlap("syms", F.array(*[F.lit(l) for l, _, _ in applied])) & \
-            F.arrays_overlap("syms", F.array(*[F.lit(r) for _, r, _ in applied]))
-        step = words.select("word", "cnt", F.col("syms").alias("old"),
-                            F.when(maybe, _apply_batch(F.col("syms"), applied))
-                             .otherwise(F.col("syms")).alias("syms"))
-        cut = rounds % checkpoint_every == 0
-        step = cut_lineage(step) if cut else step.persist()
-        changed = step.filter(F.col("old") != F.col("syms"))
-        delta = _pairs(changed, "syms").unionByName(_pairs(changed, "old", -1))
-        pc = _pair_counts(pc.select("l", "r", F.col("c").alias("cnt")).unionByName(delta))
-        pc = cut_lineage(pc) if cut else pc.persist()
-        words = step.select("word", "cnt", "syms").filter(F.size("syms") >= 2)
-        if cut:
-            # nothing cached depends on the older frames any more; dropping
-            # a cache that a live cached plan still uses would force Spark
-            # to rebuild (and recompute) that plan
-            for old in cached:
-                old.unpersist()
-            cached = []
-        else:
-            cached += [step, pc]
-    for old in cached:
-        old.unpersist()
+        while True:
+            n_pairs = max(1, min(n_pairs, MAX_PAIRS, len(top)))
+            chosen = np.sort(np.array([r.l << 32 | r.r for r in top[:n_pairs]], np.int64))
+            rows = _runs(words, chosen).limit(max_runs + 1).toArrow()
+            if len(rows) <= max_runs or n_pairs == 1:
+                break
+            n_pairs //= 2
+        if len(rows) > max_runs:  # one pair, in very many runs of its own symbol
+            rows = _runs(words, chosen).toArrow()
+        runs = [(np.frombuffer(b, "<i4").tolist(), n) for b, n in zip(rows["run"].to_pylist(), rows["cnt"].to_pylist())]
+        stop = (-top[n_pairs].c, top[n_pairs].l, top[n_pairs].r) if n_pairs < len(top) else None
+        found = _merge_runs(runs, stop, id2tok, tok2id, vocab_size - len(id2tok))
+        merges += found
+        if len(id2tok) < vocab_size:
+            words = cut_lineage(_applied(words, found))
+        if len(runs) < max_runs // 3:
+            n_pairs *= 2
     vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id2tok)], "token string, id int")
     mdf = spark.createDataFrame(
         [(k, l, r, m, id2tok[m]) for k, (l, r, m) in enumerate(merges)] or [],
@@ -210,42 +290,65 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
 
 
 # ------------------------------------------------------------------ K13
+def merge_symbols(syms: list[int], ranks: dict[tuple[int, int], tuple[int, int]]) -> list[int]:
+    """The lowest-ranked applicable merge, all its occurrences left to
+    right, until none applies. Short words are scanned; long ones keep their
+    pairs in a heap over a linked list."""
+    if len(syms) < 24:
+        while len(syms) > 1:
+            best = min((ranks[p] + p for p in zip(syms, syms[1:]) if p in ranks), default=None)
+            if best is None:
+                break
+            syms = _replaced(syms, best[2], best[3], best[1])
+        return syms
+    n = len(syms)
+    after, before = list(range(1, n + 1)), list(range(-1, n - 1))
+    syms, alive = list(syms), [True] * n
+    heap = [(ranks[p][0], i) for i, p in enumerate(zip(syms, syms[1:])) if p in ranks]
+    heapq.heapify(heap)
+    while heap:
+        rank, i = heapq.heappop(heap)
+        j = after[i] if alive[i] else n
+        if j >= n or ranks.get((syms[i], syms[j]), (-1, 0))[0] != rank:
+            continue
+        syms[i], alive[j], after[i] = ranks[syms[i], syms[j]][1], False, after[j]
+        if after[i] < n:
+            before[after[i]] = i
+        for a, b in ((before[i], i), (i, after[i])):
+            if a >= 0 and b < n and (p := (syms[a], syms[b])) in ranks:
+                heapq.heappush(heap, (ranks[p][0], a))
+    return [s for s, here in zip(syms, alive) if here]
+
+
 def segment_word(word: str, alphabet: dict, ranks: dict) -> list[int]:
-    """Per-piece helper: characters to ids (unknown -> [UNK], one each),
-    then the lowest-ranked applicable merge, all its occurrences left to
-    right, until none applies."""
-    syms = [alphabet.get(c, UNK) for c in word]
-    while len(syms) > 1:
-        best = None
-        for a, b in zip(syms, syms[1:]):
-            m = ranks.get((a, b))
-            if m is not None and (best is None or m[0] < best[0]):
-                best = (m[0], a, b, m[1])
-        if best is None:
-            break
-        _, a, b, new = best
-        out, i = [], 0
-        while i < len(syms):
-            if i + 1 < len(syms) and syms[i] == a and syms[i + 1] == b:
-                out.append(new)
-                i += 2
-            else:
-                out.append(syms[i])
-                i += 1
-        syms = out
-    return syms
+    """Characters to ids (unknown -> [UNK], one each), then merges."""
+    return merge_symbols([alphabet.get(c, UNK) for c in word], ranks)
 
 
 def _segmenter(model: BpeModel, spark):
-    bc = spark.sparkContext.broadcast((model.alphabet, {(l, r): (k, m) for k, (l, r, m)
-                                                        in enumerate(model.merge_list)}))
+    shared = spark.sparkContext.broadcast((model.alphabet, {(l, r): (k, m) for k, (l, r, m)
+                                                            in enumerate(model.merge_list)}))
     specials = dict(SPECIAL_TOKENS)
-
-    @F.pandas_udf(T.ArrayType(T.IntegerType()))
-    def seg(pieces: pd.Series) -> pd.Series:
-        alphabet, ranks = bc.value
-        return pieces.map(lambda w: [specials[w]] if w in specials
-                          else segment_word(w, alphabet, ranks))
+    memo: dict[str, list[int]] = {}  # of one task
+
+    @F.arrow_udf(T.ArrayType(T.IntegerType()))
+    def seg(rows):
+        import pyarrow as pa
+        alphabet, ranks = shared.value
+        out = []
+        for pieces in rows:
+            ids: list[int] = []
+            for w in pieces.as_py() or ():
+                got = memo.get(w)
+                if got is None:
+                    got = [specials[w]] if w in specials else segment_word(w, alphabet, ranks)
+                    if len(w) <= MEMO_CHARS:
+                        if len(memo) >= MEMO_PIECES:
+                            memo.clear()
+                        memo[w] = got
+                ids += got
+            out.append(ids)
+        return pa.array(out, pa.list_(pa.int32()))
     return seg
 
 
@@ -253,40 +356,44 @@ def encode(df: DataFrame, model: BpeModel, text_col: str = "text",
            key_cols: list[str] | None = None, max_len: int | None = 512,
            out_col: str = "ids") -> DataFrame:
     """START + ids + END; longer than ``max_len`` -> first max_len-1
-    ids then END (no pad); otherwise padded to ``max_len``; None = neither."""
+    ids then END (no pad); otherwise padded to ``max_len``; None = neither.
+    Rows stay rows, also with equal keys; a null text has no pieces."""
     key_cols = key_cols or ["doc_id"]
-    spark = df.sparkSession
-    ex = df.select(*key_cols, F.posexplode_outer(pre_tokens(F.col(text_col))).alias("pos", "piece"))
-    distinct = ex.select("piece").filter(F.col("piece").isNotNull()).distinct()
-    seg = distinct.select("piece", _segmenter(model, spark)(F.col("piece")).alias("pids"))
-    j = ex.join(seg, "piece", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "pids"))
-    g = j.groupBy(*key_cols).agg(F.array_sort(F.collect_list(item)).alias("s"))
-    body = F.flatten(F.transform("s", lambda x: x["pids"]))
-    full = F.concat(F.array(F.lit(START)), body, F.array(F.lit(END)))
-    if max_len is not None:
-        full = F.when(F.size(full) > max_len,
-                      F.concat(F.slice(full, 1, max_len - 1), F.array(F.lit(END)))) \
-                .otherwise(F.concat(full, F.array_repeat(F.lit(PAD),
-                                                         F.greatest(F.lit(max_len) - F.size(full),
-                                                                    F.lit(0)))))
-    return g.select(*key_cols, full.alias(out_col))
+    pieces = pre_tokens(F.col(text_col))
+    if max_len is not None:  # every piece gives an id at least
+        pieces = F.slice(pieces, 1, max(max_len, 1))
+    body = _segmenter(model, df.sparkSession)(F.coalesce(pieces, F.array().cast("array<string>")))
+
+    def wrapped(b: Column) -> Column:
+        full = F.concat(F.array(F.lit(START)), b, F.array(F.lit(END)))
+        if max_len is None:
+            return full
+        return F.when(F.size(full) > max_len, F.concat(F.slice(full, 1, max_len - 1), F.array(F.lit(END)))) \
+            .otherwise(F.concat(full, F.array_repeat(F.lit(PAD), F.greatest(F.lit(max_len) - F.size(full), F.lit(0)))))
+
+    return df.select(*key_cols, body.alias("__body")).select(*key_cols, wrapped(F.col("__body")).alias(out_col))
 
 
 # ------------------------------------------------------------------ K14, K15
 def decode(df: DataFrame, model: BpeModel, ids_col: str = "ids",
            key_cols: list[str] | None = None, skip_special: bool = False,
            out_col: str = "text") -> DataFrame:
-    """Ids -> tokens joined by one space (specials optionally dropped)."""
+    """Ids -> tokens joined by one space (specials optionally dropped);
+    an id that is not in the vocabulary has no token. Rows stay rows; the
+    tokens are broadcast (at most ``vocab_size``)."""
     key_cols = key_cols or ["doc_id"]
-    ex = df.select(*key_cols, F.posexplode_outer(ids_col).alias("pos", "id"))
-    j = ex.join(F.broadcast(model.vocab), "id", "left")
-    item = F.when(F.col("pos").isNotNull(), F.struct("pos", "token"))
-    g = j.groupBy(*key_cols).agg(F.array_sort(F.collect_list(item)).alias("s"))
-    toks = F.transform("s", lambda x: x["token"])
+    tokens = {r.id: r.token for r in model.vocab.collect()}
     if skip_special:
-        toks = drop_tokens(toks)
-    return g.select(*key_cols, F.array_join(toks, " ").alias(out_col))
+        tokens = {i: t for i, t in tokens.items() if t not in SPECIAL_TOKENS}
+    shared = df.sparkSession.sparkContext.broadcast(tokens)
+
+    @F.arrow_udf(T.StringType())
+    def join(rows):
+        import pyarrow as pa
+        token = shared.value.get
+        return pa.array([" ".join([t for t in map(token, ids.as_py() or ()) if t is not None]) for ids in rows], pa.string())
+
+    return df.select(*key_cols, join(F.col(ids_col).cast("array<int>")).alias(out_col))
 
 
 def check_specials(model: BpeModel) -> DataFrame:

@@ -1,7 +1,9 @@
 """Byte-pair queries (K11-K15) over ``documents``.
 
-Training is iterative (one Spark job per exact batch of merges), so the
-queries of one session share a model trained once per (input, size)."""
+They learn up to the operator's default number of tokens (500,000: at small
+sizes every word becomes one token before that). The queries of one session
+share a model trained once per state of the input files (names, sizes and
+times of change), so files that change are learned anew."""
 
 from __future__ import annotations
 
@@ -12,14 +14,25 @@ from tessera.plans import sqlparts as q
 from tessera.plans.corpus_queries import ids_string
 from tessera.plans.registry import query, table
 
-VOCAB_SIZE = 300
 _MODELS: dict = {}
 
 
-def model(spark, sf: str, vocab_size: int = VOCAB_SIZE) -> bpe.BpeModel:
-    key = (spark.sparkContext.applicationId, sf.rstrip("/"), vocab_size)
+def _state(spark, df) -> tuple:
+    """(name, size, time of change) of the files that ``df`` reads."""
+    out, conf = [], spark.sparkContext._jsc.hadoopConfiguration()
+    for name in sorted(df.inputFiles()):
+        path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
+        status = path.getFileSystem(conf).getFileStatus(path)
+        out.append((name, status.getLen(), status.getModificationTime()))
+    return tuple(out)
+
+
+def model(spark, sf: str, vocab_size: int = bpe.DEFAULT_VOCAB_SIZE) -> bpe.BpeModel:
+    docs = table(spark, sf, "documents")
+    key = (spark.sparkContext.applicationId, _state(spark, docs), vocab_size)
     if key not in _MODELS:
-        _MODELS[key] = bpe.train(table(spark, sf, "documents"), "text", vocab_size=vocab_size)
+        _MODELS.clear()
+        _MODELS[key] = bpe.train(docs, "text", vocab_size=vocab_size)
     return _MODELS[key]
 
 

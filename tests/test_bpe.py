@@ -1,3 +1,6 @@
+import random
+
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 from tokenizers.models import BPE
 from tokenizers.pre_tokenizers import Whitespace
@@ -68,3 +71,70 @@ def test_fit_tokenizer_dispatch(spark):
     assert fit_tokenizer(df, "bpe", vocab_size=8).size == 8
     with pytest.raises(ValueError):
         fit_tokenizer(df, "bogus")
+
+
+def library(rows, size):
+    tk = Tokenizer(BPE(unk_token="[UNK]"))
+    tk.pre_tokenizer = Whitespace()
+    tk.train_from_iterator(rows, BpeTrainer(special_tokens=SPECIALS, vocab_size=size, show_progress=False))
+    return tk
+
+
+def test_bpe_8000_matches_library(spark):
+    """A useful size, and merging to the end, in few rounds."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    rows = [r.text for r in docs.orderBy("doc_id").collect()]
+    m = bpe.train(docs, "text", vocab_size=8000)
+    tk = library(rows, 8000)
+    assert {r.token: r.id for r in m.vocab.collect()} == tk.get_vocab() and m.size == 8000
+    some = docs.limit(300)
+    for r in bpe.encode(some.select("doc_id", "text").withColumn("t", F.col("text")), m, "t", ["doc_id", "text"], max_len=None).collect():
+        assert r.ids == [1] + tk.encode(r.text).ids + [2]
+
+
+def test_bpe_small_rounds_match_library(spark):
+    """Ties, repeats of one letter, spelled-again tokens, and any bound on a round's runs."""
+    rng = random.Random(5)
+    for alphabet, longest in (("ab", 12), ("abc", 5), ("aaab", 30), ("abcdefgh", 6)):
+        rows = [" ".join("".join(rng.choice(alphabet) for _ in range(rng.randint(1, longest))) for _ in range(40)) for _ in range(12)]
+        tk = library(rows, 400)
+        df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+        for max_runs in (3, 100_000):
+            m = bpe.train(df, "text", vocab_size=400 if max_runs > 3 else 24, max_runs=max_runs)
+            want = tk.get_vocab() if max_runs > 3 else library(rows, 24).get_vocab()
+            assert {r.token: r.id for r in m.vocab.collect()} == want, (alphabet, max_runs)
+
+
+def test_bpe_rows_stay_rows(spark):
+    """Equal and null keys, null and empty texts; neither a shuffle nor an explode."""
+    m = bpe.train(spark.createDataFrame([(0, "ab ab cd cd ba! zz " + "ab" * 40)], "doc_id long, text string"), "text", vocab_size=40)
+    df = spark.createDataFrame([(1, "ab cd"), (1, "zz"), (1, "zz"), (None, "ba"), (2, None), (3, ""), (4, "abcd" * 30)], "doc_id long, text string")
+    enc = bpe.encode(df, m, "text", ["doc_id"], max_len=None)
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "Generate" not in plan and "Join" not in plan
+    got = bpe.decode(enc, m, "ids", ["doc_id"], skip_special=True)
+    assert sorted(((r.doc_id or 0), r.text.replace(" ", "")) for r in got.collect()) == sorted(
+        [(1, "abcd"), (1, "zz"), (1, "zz"), (0, "ba"), (2, ""), (3, ""), (4, "abcd" * 30)])
+    assert {len(r.ids) for r in bpe.encode(df, m, "text", ["doc_id"], max_len=5).collect()} == {5}
+
+
+def test_merge_symbols_long_words():
+    """The heap over a linked list gives what the plain scan gives."""
+    rng = random.Random(9)
+
+    def plain(syms, ranks):
+        while True:
+            best = min((ranks[p] + p for p in zip(syms, syms[1:]) if p in ranks), default=None)
+            if best is None:
+                return syms
+            syms = bpe._replaced(syms, best[2], best[3], best[1])
+
+    for _ in range(300):
+        ranks, symbols = {}, [0, 1, 2]
+        for k in range(12):
+            p = (rng.choice(symbols), rng.choice(symbols))
+            if p not in ranks:
+                ranks[p] = (len(ranks), 3 + k)
+                symbols.append(3 + k)
+        word = [rng.choice((0, 0, 1, 2)) for _ in range(rng.randint(20, 90))]
+        assert bpe.merge_symbols(word, ranks) == plain(word, ranks)
