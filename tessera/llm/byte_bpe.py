@@ -29,13 +29,16 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tessera.llm.common import worker_cache
-from tessera.llm.hashed_words import SLICE, mixed
+from tessera.llm.hashed_words import _powers, mixed, text_slices
 
 _BASE = np.uint64(0x9E3779B97F4A7C15)
-#: pieces and stretches whose ids a worker keeps (about 250 bytes each)
-MEMO_PIECES = 400_000
+#: stretches whose ids a worker keeps (some 50 bytes each, 25 MB in all), the
+#: ids it holds for them, and the longest stretch (in bytes) that it keeps
+MEMO_STRETCHES, MEMO_IDS, MEMO_BYTES = 500_000, 2_000_000, 48
+#: bytes of texts whose unknown stretches are learnt together
+GROUP = 1 << 22
 #: token pairs whose compatibility a worker keeps
-MEMO_PAIRS = 500_000
+MEMO_PAIRS = 100_000
 
 
 def read_ranks(spark, path: str) -> dict[bytes, int]:
@@ -273,14 +276,14 @@ class PieceBatch:
     def encode(self, pieces: list[bytes]) -> list[bytes]:
         """The ids of each piece as little-endian 32-bit integers."""
         out: list[bytes] = [b""] * len(pieces)
-        short = sorted((k for k, p in enumerate(pieces) if 0 < len(p) <= self.LONGEST), key=lambda k: -len(pieces[k]))
+        short = sorted((k for k, p in enumerate(pieces) if 0 < len(p) <= self.LONGEST), key=pieces.__getitem__)
         for k, p in enumerate(pieces):
             if len(p) > self.LONGEST:
                 ids = PieceTable(self.vocabulary, p).ids()
                 out[k] = struct.pack(f"<{len(ids)}I", *ids)
         if short:
             length = np.array([len(pieces[k]) for k in short])
-            data = np.zeros((len(short), int(length[0])), np.uint8)
+            data = np.zeros((len(short), int(length.max())), np.uint8)
             data[np.arange(data.shape[1]) < length[:, None]] = np.frombuffer(
                 b"".join([pieces[k] for k in short]), np.uint8)
             for k, ids in zip(short, self._ids(self._last(data, length), length)):
@@ -288,19 +291,29 @@ class PieceBatch:
         return out
 
     def _last(self, data: np.ndarray, length: np.ndarray) -> np.ndarray:
-        """(prefix, piece) last tokens; row 0 is not used. Pieces come with
-        the longest first, so those that reach a byte are the first ones."""
+        """(prefix, piece) last tokens; row 0 is not used. Pieces come in the
+        order of their bytes, so pieces with a common prefix stand together,
+        and the last token of a prefix is found once for all of them."""
         m, n = data.shape
         last = np.full((n + 1, m), -1, np.int32)
-        code = np.ascontiguousarray(data.T).astype(np.uint64) + np.uint64(1)
+        differ = np.concatenate((data[1:] != data[:-1], np.ones((m - 1, 1), bool)), axis=1)
+        shared = np.concatenate(([0], np.minimum(differ.argmax(axis=1), np.minimum(length[1:], length[:-1]))))
+        order = np.arange(m)
         ending = np.zeros((n, m), np.uint64)  # hash of bytes start:end, by start
+        column = np.ascontiguousarray(data.T).astype(np.uint64) + np.uint64(1)
         for end in range(1, n + 1):
-            here = int(np.searchsorted(-length, -end, "right"))
-            ending[:end, :here] *= _BASE
-            ending[:end, :here] += code[end - 1, :here]
-            open_ = np.arange(here)
-            for start in range(end):
-                token = self.tokens.find(ending[start][open_])
+            first = np.maximum.accumulate(np.where(shared < end, order, 0))  # of the pieces with this prefix
+            rows = np.flatnonzero((shared < end) & (length >= end))
+            # hashes are needed where a later prefix is still looked up
+            live = np.flatnonzero(length >= end)
+            if len(live) < m:
+                ending[:end, live] = ending[:end, live] * _BASE + column[end - 1, live]
+            else:
+                ending[:end] *= _BASE
+                ending[:end] += column[end - 1]
+            open_ = rows
+            for start in range(max(0, end - self.vocabulary.longest), end):
+                token = self.tokens.find(ending[start, open_])
                 have = np.flatnonzero(token >= 0)
                 if not len(have):
                     continue
@@ -313,6 +326,7 @@ class PieceBatch:
                 open_ = np.delete(open_, have[good])
                 if not len(open_):
                     break
+            last[end] = np.where(length >= end, last[end, first], -1)
         return last
 
     def _ids(self, last: np.ndarray, length: np.ndarray) -> list[bytes]:
@@ -331,14 +345,128 @@ class PieceBatch:
         return [flat[4 * ((r + 1) * n - c):4 * (r + 1) * n] for r, c in enumerate(count.tolist())]
 
 
+class _Memo:
+    """Ids of stretches under two 64-bit hashes, in flat arrays: an open
+    table of the first hash, the second one, and the ids in one pool. When it
+    is full, the half that was met most often stays, with its counts halved."""
+
+    def __init__(self):
+        self.n, self.slots = 0, np.zeros(1 << 16, np.int32)  # entry + 1
+        self.first, self.second = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        self.start, self.size = np.zeros(0, np.int64), np.zeros(0, np.int32)
+        self.met, self.listed = np.zeros(0, np.int32), np.zeros(0, bool)
+        self.pool, self.used = np.zeros(1 << 16, "<u4"), 0
+
+    def _home(self, first: np.ndarray) -> np.ndarray:
+        return (first >> np.uint64(65 - len(self.slots).bit_length())).astype(np.int64)
+
+    def _insert(self, entries: np.ndarray) -> None:
+        mask, left, step = len(self.slots) - 1, entries, 0
+        home = self._home(self.first[left])
+        while len(left):
+            slot = (home + step) & mask
+            free = np.flatnonzero(self.slots[slot] == 0)
+            _, one = np.unique(slot[free], return_index=True)
+            take = free[one]
+            self.slots[slot[take]] = left[take] + 1
+            left, home, step = np.delete(left, take), np.delete(home, take), step + 1
+
+    def find(self, first: np.ndarray, second: np.ndarray) -> np.ndarray:
+        """The entry of each pair of hashes, -1 if it is not known."""
+        out, open_ = np.full(len(first), -1, np.int64), np.arange(len(first))
+        slot, mask = self._home(first), len(self.slots) - 1
+        while len(open_):
+            entry = self.slots[slot].astype(np.int64) - 1
+            some = entry >= 0
+            open_, slot, entry = open_[some], slot[some], entry[some]
+            hit = (self.first[entry] == first[open_]) & (self.second[entry] == second[open_])
+            out[open_[hit]] = entry[hit]
+            open_, slot = open_[~hit], (slot[~hit] + 1) & mask
+        return out
+
+    def add(self, first: np.ndarray, second: np.ndarray, rows: list[bytes], listed: np.ndarray) -> np.ndarray:
+        """New entries; those not ``listed`` can't be found later."""
+        size = np.array([len(r) // 4 for r in rows], np.int32)
+        total, own = int(size.sum()), np.arange(self.n, self.n + len(rows))
+        if self.used + total > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool) // 2, self.used + total - len(self.pool)), "<u4")))
+        self.pool[self.used:self.used + total] = np.frombuffer(b"".join(rows), "<u4")
+        at = self.used + np.cumsum(size) - size
+        for name, more in (("first", first), ("second", second), ("start", at), ("size", size),
+                           ("met", np.ones(len(rows), np.int32)), ("listed", listed)):
+            setattr(self, name, np.concatenate((getattr(self, name), more.astype(getattr(self, name).dtype))))
+        self.n, self.used = self.n + len(rows), self.used + total
+        if 2 * self.n > len(self.slots):
+            self.slots = np.zeros(1 << (4 * self.n).bit_length(), np.int32)
+            self._insert(np.flatnonzero(self.listed))
+        else:
+            self._insert(own[listed])
+        return own
+
+    def gather(self, entries: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of the entries one after the other, how many each has)."""
+        size = self.size[entries].astype(np.int64)
+        upto = np.cumsum(size)
+        return self.pool[np.repeat(self.start[entries] - upto + size, size) + np.arange(upto[-1] if len(upto) else 0)], size
+
+    def shrink(self) -> None:
+        if self.n <= MEMO_STRETCHES and self.used <= MEMO_IDS:
+            return
+        order = np.flatnonzero(self.listed & (self.met > 1))
+        order = order[np.argsort(-self.met[order], kind="stable")][:MEMO_STRETCHES // 2]
+        keep = order[np.cumsum(self.size[order]) <= MEMO_IDS // 2]
+        old, (ids, _) = self, self.gather(keep)
+        first, second, size, met = old.first[keep], old.second[keep], old.size[keep], old.met[keep] // 2
+        self.__init__()
+        raw, stop = ids.tobytes(), (4 * np.cumsum(size)).tolist()
+        rows = [raw[a:b] for a, b in zip([0, *stop], stop)]
+        self.add(first, second, rows, np.ones(len(rows), bool))
+        self.met = met
+
+
+def _white() -> tuple[np.ndarray, dict[bytes, list[tuple[int, int]]]]:
+    """ASCII bytes that are white space to some engine, and for the first
+    bytes of longer white space the ranges of their last byte."""
+    ascii_ = np.zeros(256, bool)
+    ascii_[[*range(9, 14), *range(28, 33)]] = True
+    wide = {b"\xc2": [(0x85, 0x85), (0xA0, 0xA0)], b"\xe1\x9a": [(0x80, 0x80)], b"\xe1\xa0": [(0x8E, 0x8E)],
+            b"\xe2\x80": [(0x80, 0x8F), (0xA8, 0xAF)], b"\xe2\x81": [(0x9F, 0x9F)], b"\xe3\x80": [(0x80, 0x80)]}
+    return ascii_, wide
+
+
+_ASCII_WHITE, _WIDE_WHITE = _white()
+_CODES = np.random.default_rng(5).integers(1, 1 << 63, (2, 256)).astype(np.uint64)
+
+
+def _stretches(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """Where stretches begin: at each text's start, and at each single space
+    between two characters of a text that are not white space."""
+    white = _ASCII_WHITE[data]
+    for head, ranges in _WIDE_WHITE.items():
+        at = np.flatnonzero(data[:len(data) - len(head)] == head[0]) if len(data) > len(head) else np.zeros(0, np.int64)
+        if len(head) > 1:
+            at = at[data[at + 1] == head[1]]
+        tail = data[at + len(head)]
+        for low, high in ranges:
+            some = at[(tail >= low) & (tail <= high)]
+            for k in range(len(head) + 1):
+                white[some + k] = True
+    edge = np.zeros(len(data) + 1, bool)
+    edge[starts] = True
+    space = np.flatnonzero(data[1:-1] == 32) + 1
+    space = space[~(white[space - 1] | white[space + 1] | edge[space] | edge[space + 1])]
+    edge[space] = True
+    return np.flatnonzero(edge[:-1])
+
+
 class Encoder:
     """Encodes whole texts: each match of the pattern on its own.
 
     A single space between two characters that are not white space always
     begins a match, so a text is cut there first and the ids of each stretch
-    are kept; stretches not known yet are matched, and the pieces not known
-    yet are encoded together. A text with white space beside a space is
-    matched as a whole."""
+    are kept under two hashes of its bytes; unknown stretches are matched,
+    and their pieces are encoded together. Stretches are found, looked up
+    and put together for many texts at once, in numpy."""
 
     def __init__(self, vocabulary: Vocabulary, pattern: str):
         import regex
@@ -346,8 +474,7 @@ class Encoder:
         self.batch = PieceBatch(vocabulary)
         #: whether the pattern takes letters with the space before them, and marks apart
         self.plain = [self.split(x) for x in (" ab", " ab,", " \xe9.")] == [[" ab"], [" ab", ","], [" \xe9", "."]]
-        self.pieces: dict[str, bytes] = {}
-        self.stretches: dict[str, bytes] = {}
+        self.memo = _Memo()
 
     def _pieces(self, stretch: str) -> list[str]:
         """The pattern's matches; two common shapes need no matching: a space
@@ -360,41 +487,78 @@ class Encoder:
                 return [stretch[:-1], word[-1]]
         return self.split(stretch)
 
-    def _learn(self, stretches) -> list[bytes]:
-        """The ids of unknown stretches, in their order; of a full memo of
-        pieces only those needed now stay."""
+    def _learn(self, stretches: list[str]) -> list[bytes]:
+        """The ids of stretches, in their order."""
         found = list(map(self._pieces, stretches))
-        needed = set(chain.from_iterable(found))
-        if len(self.pieces) > MEMO_PIECES:
-            self.pieces = {p: self.pieces[p] for p in needed if p in self.pieces}
-        ranks, known = self.vocabulary.ranks, self.pieces
-        new = list(needed.difference(known))
+        new = list(set(chain.from_iterable(found)))
+        ranks = self.vocabulary.ranks
         data = [p.encode() for p in new]
         whole = [ranks.get(d) for d in data]
         made = iter(self.batch.encode([d for d, w in zip(data, whole) if w is None]))
-        known.update((p, struct.pack("<I", w) if w is not None else next(made)) for p, w in zip(new, whole))
-        return [b"".join(map(known.__getitem__, ps)) for ps in found]
-
-    def encode_all(self, texts: list[str]) -> list[bytes]:
-        cut = [t.split(" ") for t in texts]
-        needed = set().union(*cut)
-        if len(self.stretches) > MEMO_PIECES:
-            self.stretches = {x: self.stretches[x] for x in needed if x in self.stretches}
-        known = self.stretches  # each without the space that begins it
-        unknown = needed.difference(known)
-        wide = {x for x in unknown if not x or x[0].isspace() or x[-1].isspace()}
-        whole = [k for k, parts in enumerate(cut) if not wide.isdisjoint(parts)] if wide else []
-        for k in whole:
-            cut[k] = [texts[k]]
-        if wide:
-            unknown = set().union(*cut).difference(known)
-        firsts = self._learn([parts.pop(0) for parts in cut])
-        new = list(unknown.intersection(chain.from_iterable(cut)) if wide else unknown)
-        known.update(zip(new, self._learn([" " + x for x in new])))
-        return [first + b"".join(map(known.__getitem__, parts)) for first, parts in zip(firsts, cut)]
+        known = {p: struct.pack("<I", w) if w is not None else next(made) for p, w in zip(new, whole)}
+        return [known[ps[0]] if len(ps) == 1 else b"".join(map(known.__getitem__, ps)) for ps in found]
+
+    def _hashed(self, data: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, ...]:
+        """(begin, end, two hashes) of the stretches of one slice."""
+        begin = _stretches(data, starts)
+        end = np.append(begin[1:], len(data))
+        power, inverse = _powers(len(data))
+        out = [begin, end]
+        for codes in _CODES:
+            total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(codes[data] * power[:len(data)])))
+            out.append(mixed((total[end] - total[begin]) * inverse[begin]))
+        return tuple(out)
+
+    def encode_slices(self, slices: list[tuple[np.ndarray, np.ndarray]]) -> list[bytes]:
+        """The ids of each text of the slices as little-endian integers."""
+        memo = self.memo
+        memo.shrink()
+        parts = [self._hashed(data, starts) for data, starts in slices]
+        base = np.cumsum([0] + [len(p[0]) for p in parts])
+        first, second = (np.concatenate([p[k] for p in parts]) if parts else np.zeros(0, np.uint64) for k in (2, 3))
+        size = np.concatenate([p[1] - p[0] for p in parts]) if parts else np.zeros(0, np.int64)
+        entry = memo.find(first, second)
+        entry[size > MEMO_BYTES] = -1
+        unknown = np.flatnonzero(entry < 0)
+        if len(unknown):
+            # one of each: equal in both hashes, and never a long one for another
+            pair = first[unknown] ^ mixed(second[unknown])
+            pair[size[unknown] > MEMO_BYTES] = np.flatnonzero(size[unknown] > MEMO_BYTES)
+            _, one, same = np.unique(pair, return_index=True, return_inverse=True)
+            chosen = unknown[one]
+            texts, of = [], np.searchsorted(base, chosen, "right") - 1
+            order = np.argsort(of, kind="stable")  # slice by slice
+            for s, ((data, _), (begin, end, *_)) in enumerate(zip(slices, parts)):
+                own = chosen[order[np.searchsorted(of[order], s):np.searchsorted(of[order], s, "right")]] - base[s]
+                raw = data.tobytes()
+                texts += [raw[a:b].decode("utf-8", "replace") for a, b in zip(begin[own].tolist(), end[own].tolist())]
+            chosen = chosen[order]
+            rank = np.empty(len(order), np.int64)
+            rank[order] = np.arange(len(order))
+            same = rank[same]
+            entry[unknown] = memo.add(first[chosen], second[chosen], self._learn(texts), size[chosen] <= MEMO_BYTES)[same]
+        memo.met += np.bincount(entry, minlength=memo.n).astype(np.int32)
+        ids, count = memo.gather(entry)
+        raw, upto, out = ids.tobytes(), np.concatenate(([0], np.cumsum(count))), []
+        for (data, starts), (begin, *_), at in zip(slices, parts, base.tolist()):
+            border = (4 * upto[at + np.searchsorted(begin, starts)]).tolist()
+            out += [raw[a:b] for a, b in zip(border, border[1:])]
+        return out
+
+    def encode_texts(self, texts) -> list[bytes]:
+        """The ids of an Arrow string array, some ``GROUP`` bytes at a time."""
+        out, part, size = [], [], 0
+        for data, starts in text_slices(texts):
+            part.append((data, starts))
+            size += len(data)
+            if size >= GROUP:
+                out += self.encode_slices(part)
+                part, size = [], 0
+        return out + self.encode_slices(part) if part else out
 
     def encode(self, text: str | None) -> bytes:
-        return self.encode_all([text or ""])[0]
+        data = np.frombuffer((text or "").encode(), np.uint8)
+        return self.encode_slices([(data, np.array([0, len(data)]))])[0]
 
     def append(self, text: str, ids: bytes, more: str, keep_back: int = 3) -> bytes:
         """The ids of ``text + more`` from those of ``text``. New text can
@@ -402,7 +566,7 @@ class Encoder:
         letters after its mark), so all but the last few are kept."""
         pieces = self.split(text)
         kept = pieces[:-keep_back]
-        n = sum(map(len, self._learn(kept)))
+        n = sum(map(len, self._learn(kept))) if kept else 0
         return ids[:n] + self.encode("".join(pieces[len(kept):]) + more)
 
     def decode(self, ids: bytes | None) -> bytes:
@@ -412,19 +576,6 @@ class Encoder:
                             struct.unpack(f"<{len(ids) // 4}I", ids)))
 
 
-def _encode_column(encoder: Encoder, texts) -> list[bytes]:
-    """Texts are taken together, about ``2 * SLICE`` characters at once."""
-    out, part, size = [], [], 0
-    for x in texts:
-        text = x.as_py() or ""
-        part.append(text)
-        size += len(text)
-        if size >= 2 * SLICE:
-            out += encoder.encode_all(part)
-            part, size = [], 0
-    return out + encoder.encode_all(part) if part else out
-
-
 def _encoder(shared, key: str, pattern: str) -> Encoder:
     """One encoder a Python worker, so its memos serve all its tasks."""
     cache = worker_cache("byte_bpe")
@@ -460,7 +611,7 @@ class ByteBpe:
         @F.arrow_udf(T.BinaryType())
         def run(texts):
             e = _encoder(shared, key, pattern)
-            return _blocks(_encode_column(e, texts))
+            return _blocks(e.encode_texts(texts))
 
         return df.withColumn(ids, run(F.col(f"`{text}`").cast("string")))
 

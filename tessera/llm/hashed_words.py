@@ -14,7 +14,7 @@ import numpy as np
 
 _BASE = np.uint64(0x9E3779B97F4A7C15 | 1)
 #: bytes of text that are hashed at once; one longer text is taken alone
-SLICE = 1 << 20
+SLICE = 1 << 18
 
 
 def letter_table(keep: str = "") -> np.ndarray:
@@ -30,8 +30,14 @@ def letter_table(keep: str = "") -> np.ndarray:
     return out
 
 
-@lru_cache(maxsize=1)
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """At least ``n`` powers of the base and of its inverse: one array for
+    all slices, a larger one for a longer text."""
+    return _powers_of(max(SLICE, 1 << max(0, n - 1).bit_length()))
+
+
+@lru_cache(maxsize=1)
+def _powers_of(n: int) -> tuple[np.ndarray, np.ndarray]:
     inverse = np.uint64(pow(int(_BASE), -1, 1 << 64))
     one = np.ones(1, np.uint64)
     return (np.concatenate((one, np.cumprod(np.full(n, _BASE)))),
@@ -66,8 +72,7 @@ def words(data: np.ndarray, starts: np.ndarray, table: np.ndarray,
     end = starts[1:-1][(starts[1:-1] > 0)] - 1
     last[end] |= inside[end]
     stop = np.flatnonzero(last) + 1
-    size = 1 << max(16, int(len(data)).bit_length())
-    power, inverse = _powers(size)
+    power, inverse = _powers(len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum(code * power[:len(data)])))
     hashes = mixed((total[stop] - total[begin]) * inverse[begin])
     if prefixes:
@@ -77,7 +82,7 @@ def words(data: np.ndarray, starts: np.ndarray, table: np.ndarray,
     return hashes, np.diff(np.searchsorted(begin, starts))
 
 
-def text_slices(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+def text_slices(texts, size: int = SLICE) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     """(bytes, offsets) of an Arrow string array, some texts at a time; null
     is the empty text."""
     import pyarrow as pa
@@ -92,6 +97,6 @@ def text_slices(texts) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     data = np.frombuffer(raw, np.uint8) if raw is not None and raw.size else np.zeros(0, np.uint8)
     at = 0
     while at < n:
-        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + SLICE, "right")) - 1)
+        to = max(at + 1, int(np.searchsorted(offsets, offsets[at] + size, "right")) - 1)
         yield data[offsets[at]:offsets[to]], offsets[at:to + 1] - offsets[at]
         at = to

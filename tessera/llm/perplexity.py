@@ -83,7 +83,7 @@ def measures(data: np.ndarray, starts: np.ndarray) -> list[np.ndarray]:
     space, symbol, newline, more = (t[data] for t in table)
     upto = lambda mark: np.concatenate(([0], np.cumsum(mark)))
     per_text = lambda mark: np.diff(upto(mark)[starts])
-    power, inverse = _powers(1 << max(16, int(len(data)).bit_length()))
+    power, inverse = _powers(len(data))
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)])))
     hash_of = lambda a, b: mixed((total[b] - total[a]) * inverse[a])
 
