@@ -22,54 +22,105 @@ from dataclasses import dataclass
 
 import numpy as np
 from pyspark import cloudpickle
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from tessera.llm.common import bind
-from tessera.llm.hashed_words import letter_table, mixed, text_slices, words
+from tessera.llm.common import fresh
+from tessera.llm.hashed_words import _powers, letter_table, mixed, text_slices, words
+from tessera.llm.perplexity import _runs, _seen_before
 
 MAX_TRAIN = 6000
 WORD_BITS, SHAPES, SHARES = 18, 48 ** 3, 12
 FEATURES = (1 << WORD_BITS) + SHAPES + SHARES
 EPOCHS, SEED = 12, 11
 SYMBOLS = "#$%&*|<>{}[]\\^~=_@!+"
-_CAPITALS = "ABCDEFGHIJKLMNOPQRSTUVWXYZÀÁÂÄÇÈÉÊËÍÎÑÓÔÖÙÚÛÜ"
 
 
-def votes(text: Column) -> Column:
-    """Votes of the labellers: 1 good, 0 bad, -1 none. Those that look for a
+LABELLERS = 11
+_POWERS = 3 ** np.arange(LABELLERS)
+
+
+def _byte_table() -> np.ndarray:
+    """Rows of flags by byte: white space, continues a code point, ASCII
+    capital, ASCII small letter, symbol, end of a sentence, ASCII mark."""
+    out = np.zeros((7, 256), bool)
+    out[0, [32, *range(9, 14)]] = True
+    out[1, 128:192] = True
+    out[2, 65:91] = out[3, 97:123] = True
+    out[4, list(SYMBOLS.encode())] = True
+    out[5, list(b".!?")] = True
+    out[6, [b for b in range(33, 127) if not chr(b).isalnum()]] = True
+    return out
+
+
+_BYTES = _byte_table()
+
+
+def votes(data: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """(text, labeller) votes: 1 good, 0 bad, -1 none. Those that look for a
     defect say nothing about a text without it; every defect has more than
-    one, so that they overlap."""
-    def count(t: Column, characters: str) -> Column:
-        return F.length(t) - F.length(F.translate(t, characters, ""))
-
-    def of(b: Column) -> Column:
-        t, w, lines, at_least = b["t"], b["w"], b["lines"], F.greatest
-        n = F.size(w)
-        some, words_, chars = n >= 5, at_least(n, F.lit(1)), at_least(F.length(t), F.lit(1))
-        share = lambda test: F.size(F.filter(w, test)) / words_
-        capitals, symbols = count(t, _CAPITALS) / chars, count(t, SYMBOLS) / words_
-        distinct = F.size(F.array_distinct(w)) / words_
-        again = F.size(F.filter(w, lambda x, i: x == F.get(w, i - 1))) / words_
-        small, big = share(lambda x: x == F.lower(x)), share(lambda x: (x == F.upper(x)) & (F.length(x) > 1))
-        ends = share(lambda x: F.substring(x, -1, 1).isin(".", "!", "?"))
-        marks = share(lambda x: F.substring(x, -2, 2).rlike(r"^[^\p{L}\p{N}]{1,2}$"))
-        bad = lambda test: F.when(test, 0)
-        judged = [
-            bad(n < 5), bad(some & (F.length(t) < 25)),
-            bad(some & (capitals > 0.4)), bad(some & (big > 0.6)),
-            bad(some & (symbols > 0.15)), bad(some & (marks > 0.2)),
-            bad((n >= 40) & (distinct < 0.2)), bad(some & (again > 0.15)),
-            F.when((F.size(lines) >= 4) & (F.size(F.array_distinct(lines)) < 0.5 * F.size(lines)), 0),
-            F.when((n >= 20) & small.between(0.7, 1) & (symbols < 0.05) & (again < 0.05), 1).when(some & (small < 0.4), 0),
-            F.when((n >= 20) & ends.between(0.01, 0.4) & (distinct > 0.3) & (capitals < 0.15) & (marks < 0.1), 1),
-        ]
-        return F.array(*[F.coalesce(v, F.lit(-1)).cast("tinyint") for v in judged])
-
-    t = F.coalesce(text.cast("string"), F.lit(""))
-    w = F.filter(F.split(t, r"[\x20\x09-\x0D]+", -1), lambda x: x != "")
-    return bind(F.struct(t.alias("t"), w.alias("w"), F.split(t, "\n", -1).alias("lines")), of)
+    one, so that they overlap. Capitals and small letters are those of ASCII
+    and of the two-byte block of accented Latin letters."""
+    starts = starts.astype(np.int64)
+    n_texts = len(starts) - 1
+    space, more, capital, small, symbol, end, mark = (t[data] for t in _BYTES)
+    accented = np.flatnonzero(data[:-1] == 0xC3) + 1 if len(data) else np.zeros(0, np.int64)
+    tail = data[accented]
+    capital[accented[(tail <= 0x9E) & (tail != 0x97)]] = True
+    small[accented[(tail >= 0x9F) & (tail != 0xB7)]] = True
+    upto = lambda flag: np.concatenate(([0], np.cumsum(flag)))
+    of_text = lambda flag: np.diff(upto(flag)[starts])
+    length = of_text(~more)
+    chars = np.maximum(length, 1)
+
+    begin, stop, text = _runs(~space, starts)
+    n = np.bincount(text, minlength=n_texts)
+    words_ = np.maximum(n, 1)
+    share = lambda flag: np.bincount(text[flag], minlength=n_texts) / words_
+    power, inverse = _powers(len(data))
+    total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:len(data)])))
+    hash_of = lambda a, b: mixed((total[b] - total[a]) * inverse[a])
+    word = hash_of(begin, stop)
+    earlier, _ = _seen_before(text, word)
+    distinct = share(~earlier)
+    same = np.zeros(len(word), bool)
+    same[1:] = (word[1:] == word[:-1]) & (text[1:] == text[:-1])
+    again = share(same)
+    inside = lambda flag: upto(flag)[stop] - upto(flag)[begin]
+    lower, big = share(inside(capital) == 0), share((inside(small) == 0) & (inside(~more) > 1))
+    last = stop - 1
+    ends = share(end[last]) if len(word) else np.zeros(n_texts)
+    marks = share(mark[last] & (mark[np.maximum(last - 1, 0)] | (last == begin))) if len(word) else np.zeros(n_texts)
+    capitals, symbols = of_text(capital) / chars, of_text(symbol) / words_
+
+    a, b, of = _runs(data != 10, starts)
+    n_lines = of_text(data == 10) + 1
+    line_earlier, _ = _seen_before(of, hash_of(a, b))
+    full = np.bincount(of, minlength=n_texts)
+    distinct_lines = full - np.bincount(of[line_earlier], minlength=n_texts) + (n_lines > full)
+
+    some, long_ = n >= 5, n >= 20
+    bad = lambda test: np.where(test, 0, -1)
+    between = lambda x, low, high: (x >= low) & (x <= high)
+    return np.stack([
+        bad(n < 5), bad(some & (length < 25)),
+        bad(some & (capitals > 0.4)), bad(some & (big > 0.6)),
+        bad(some & (symbols > 0.15)), bad(some & (marks > 0.2)),
+        bad((n >= 40) & (distinct < 0.2)), bad(some & (again > 0.15)),
+        bad((n_lines >= 4) & (distinct_lines < 0.5 * n_lines)),
+        np.where(long_ & between(lower, 0.7, 1) & (symbols < 0.05) & (again < 0.05), 1, bad(some & (lower < 0.4))),
+        np.where(long_ & between(ends, 0.01, 0.4) & (distinct > 0.3) & (capitals < 0.15) & (marks < 0.1), 1, -1),
+    ], axis=1).astype(np.int8)
+
+
+def pattern(cast: np.ndarray) -> np.ndarray:
+    """Each row of votes as one number: its digits in base 3."""
+    return (cast.astype(np.int64) + 1) @ _POWERS
+
+
+def pattern_votes(number: np.ndarray) -> np.ndarray:
+    return (number[:, None] // _POWERS % 3 - 1).astype(np.int8)
 
 
 def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: int = 200):
@@ -80,12 +131,8 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     cast = patterns >= 0
     good = patterns == 1
     accuracy, prior = np.full(patterns.shape[1], 0.8), 0.7
-    posterior = np.full(len(patterns), prior)
     for _ in range(rounds):
-        up = np.where(good, np.log(accuracy), np.log(1 - accuracy))
-        down = np.where(good, np.log(1 - accuracy), np.log(accuracy))
-        gap = np.log(1 - prior) - np.log(prior) + np.where(cast, down - up, 0).sum(axis=1)
-        posterior = 1 / (1 + np.exp(np.clip(gap, -50, 50)))
+        posterior = posterior_of(patterns, accuracy, prior)
         right = np.where(good, posterior[:, None], 1 - posterior[:, None])
         weight = cast * counts[:, None]
         new = np.clip(((weight * right).sum(axis=0) + 16) / (weight.sum(axis=0) + 20), 0.51, 0.999)
@@ -96,6 +143,15 @@ def expectation_maximisation(patterns: np.ndarray, counts: np.ndarray, rounds: i
     return posterior, accuracy, prior
 
 
+def posterior_of(patterns: np.ndarray, accuracy: np.ndarray, prior: float) -> np.ndarray:
+    """The probability of good for each row of votes, seen or not."""
+    good = patterns == 1
+    up = np.where(good, np.log(accuracy), np.log(1 - accuracy))
+    down = np.where(good, np.log(1 - accuracy), np.log(accuracy))
+    gap = np.log(1 - prior) - np.log(prior) + np.where(patterns >= 0, down - up, 0).sum(axis=1)
+    return 1 / (1 + np.exp(np.clip(gap, -50, 50)))
+
+
 def _shape_table() -> np.ndarray:
     """byte -> one of 48 classes: letters by case, digits, not ASCII, spaces,
     and the ASCII marks one by one."""
@@ -166,20 +222,32 @@ def train(rows: list[tuple[np.ndarray, np.ndarray, float]]) -> Scorer:
 
 
 def fit(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN):
-    """(scorer, {votes: posterior}, accuracies), None without documents."""
+    """(scorer, posterior by vote pattern, accuracies), None without
+    documents. The posteriors are those of all ``3 ** LABELLERS`` patterns."""
     text = F.col(f"`{text_col}`").cast("string")
-    seen = docs.select(votes(text).alias("v")).groupBy("v").agg(F.count("*").alias("n")).collect()  # 3 ** 11 at most
+
+    def cast(batches):
+        import pyarrow as pa
+        held = np.zeros(3 ** LABELLERS, np.int64)
+        for batch in batches:
+            for data, starts in text_slices(batch.column("t")):
+                held += np.bincount(pattern(votes(data, starts)), minlength=len(held))
+        seen = np.flatnonzero(held)
+        yield pa.record_batch([pa.array(seen), pa.array(held[seen])], names=["v", "n"])
+
+    seen = (docs.select(text.alias("t")).mapInArrow(cast, "v long, n long").groupBy("v").agg(F.sum("n").alias("n"))
+            .orderBy("v").collect())  # 3 ** 11 at most
     if not seen:
         return None
-    patterns, counts = np.array([r["v"] for r in seen]), np.array([r["n"] for r in seen], float)
-    posterior, accuracy, _ = expectation_maximisation(patterns, counts)
-    known = {tuple(r["v"]): float(p) for r, p in zip(seen, posterior)}
+    patterns, counts = pattern_votes(np.array([r["v"] for r in seen])), np.array([r["n"] for r in seen], float)
+    _, accuracy, prior = expectation_maximisation(patterns, counts)
+    known = posterior_of(pattern_votes(np.arange(3 ** LABELLERS)), accuracy, prior)
     letters, shapes = letter_table(), _shape_table()
 
     def compact(batches):
         import pyarrow as pa
         for batch in batches:
-            f_out, x_out = [], []
+            v_out, f_out, x_out = [], [], []
             for data, starts in text_slices(batch.column("t")):
                 t, f, x = features(data, starts, letters, shapes)
                 u, at = np.unique(t * FEATURES + f, return_inverse=True)
@@ -188,14 +256,14 @@ def fit(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN):
                 for a, b in zip(cut, cut[1:]):
                     f_out.append((u[a:b] % FEATURES).astype(np.int32).tobytes())
                     x_out.append(x[a:b].tobytes())
-            yield pa.record_batch([batch.column("v"), pa.array(f_out, pa.binary()), pa.array(x_out, pa.binary())],
+                v_out += pattern(votes(data, starts)).tolist()
+            yield pa.record_batch([pa.array(v_out, pa.int64()), pa.array(f_out, pa.binary()), pa.array(x_out, pa.binary())],
                                   names=["v", "f", "x"])
 
     chosen = (docs.select(F.xxhash64(text).alias("h")).where("h is not null").distinct().orderBy("h").limit(max_train))
     sample = (docs.select(text.alias("t"), F.xxhash64(text).alias("h")).join(F.broadcast(chosen), "h")
-              .dropDuplicates(["h"]).select("t", votes(F.col("t")).alias("v"))
-              .mapInArrow(compact, "v array<tinyint>, f binary, x binary").collect())
-    rows = sorted(((bytes(r["f"]), bytes(r["x"]), known[tuple(r["v"])]) for r in sample))
+              .dropDuplicates(["h"]).select("t").mapInArrow(compact, "v long, f binary, x binary").collect())
+    rows = sorted(((bytes(r["f"]), bytes(r["x"]), float(known[r["v"]])) for r in sample))
     scorer = train([(np.frombuffer(f, np.int32), np.frombuffer(x, np.float32), y) for f, x, y in rows])
     return scorer, known, accuracy
 
@@ -203,24 +271,28 @@ def fit(docs: DataFrame, text_col: str = "text", max_train: int = MAX_TRAIN):
 def classify(docs: DataFrame, model, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
     """``docs`` with ``posterior`` (of the labellers' votes), ``score`` (of
     the linear scorer) and ``keep`` (score at ``threshold`` or over)."""
-    text = F.col(f"`{text_col}`").cast("string")
     if model is None:
         return (docs.withColumn("posterior", F.lit(None).cast("double")).withColumn("score", F.lit(None).cast("double"))
                 .withColumn("keep", F.lit(None).cast("boolean")))
     scorer, known, _ = model
-    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps(scorer))
+    shared = docs.sparkSession.sparkContext.broadcast(cloudpickle.dumps((scorer, known)))
     letters, shapes = letter_table(), _shape_table()
+    shape = T.StructType([T.StructField("posterior", T.DoubleType()), T.StructField("score", T.DoubleType())])
+    held: list = []  # unpacked once a task
 
-    @F.arrow_udf(T.DoubleType())
+    @F.arrow_udf(shape)
     def run(texts):
         import pyarrow as pa
-        net = pickle.loads(shared.value)
-        out = [net.score(*features(data, starts, letters, shapes), len(starts) - 1)
-               for data, starts in text_slices(texts)]
-        return pa.array(np.concatenate(out).astype(float) if out else np.zeros(0))
-
-    # at most 3 ** 11 patterns: a literal map keyed by the votes as digits
-    by = F.create_map(*[F.lit(x) for v, p in known.items() for x in ("".join(str(k + 1) for k in v), p)])
-    digits = F.array_join(F.transform(votes(text), lambda v: (v + 1).cast("string")), "")
-    return (docs.withColumn("posterior", F.element_at(by, digits)).withColumn("score", run(text))
-            .withColumn("keep", F.col("score") >= threshold))
+        if not held:
+            held.extend(pickle.loads(shared.value))
+        scores, posteriors = [], []
+        for data, starts in text_slices(texts):
+            scores.append(held[0].score(*features(data, starts, letters, shapes), len(starts) - 1))
+            posteriors.append(held[1][pattern(votes(data, starts))])
+        columns = [pa.array(np.concatenate(x).astype(float) if x else np.zeros(0)) for x in (posteriors, scores)]
+        return pa.StructArray.from_arrays(columns, names=["posterior", "score"])
+
+    parts = fresh(docs, "parts")
+    out = docs.withColumn(parts, run(F.col(f"`{text_col}`").cast("string")))
+    return out.withColumns({c: F.col(parts)[c] for c in ("posterior", "score")}).withColumn(
+        "keep", F.col("score") >= threshold).drop(parts)

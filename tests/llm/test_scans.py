@@ -266,11 +266,68 @@ def test_quality_labels(spark):
     assert sum(good) >= 0.98 * len(good) and sum(bad) <= 0.1 * len(bad)
 
 
+def plain_votes(text):
+    """The labellers read from their definition, one text at a time."""
+    text = text or ""
+    w, lines = re.findall(r"[^\x20\x09-\x0D]+", text), text.split("\n")
+    n = len(w)
+    upper = lambda c: "A" <= c <= "Z" or "\u00c0" <= c <= "\u00de" and c != "\u00d7"
+    lower = lambda c: "a" <= c <= "z" or "\u00df" <= c <= "\u00ff" and c != "\u00f7"
+    mark = lambda c: "!" <= c <= "~" and not c.isalnum()
+    share = lambda test: sum(map(test, w)) / max(n, 1)
+    capitals, symbols = sum(map(upper, text)) / max(len(text), 1), sum(c in "#$%&*|<>{}[]\\^~=_@!+" for c in text) / max(n, 1)
+    distinct, again = len(set(w)) / max(n, 1), sum(a == b for a, b in zip(w, w[1:])) / max(n, 1)
+    small, big = share(lambda x: not any(map(upper, x))), share(lambda x: not any(map(lower, x)) and len(x) > 1)
+    ends, marks = share(lambda x: x[-1] in ".!?"), share(lambda x: all(map(mark, x[-2:])))
+    some, bad = n >= 5, lambda test: 0 if test else -1
+    return [bad(n < 5), bad(some and len(text) < 25), bad(some and capitals > 0.4), bad(some and big > 0.6),
+            bad(some and symbols > 0.15), bad(some and marks > 0.2), bad(n >= 40 and distinct < 0.2), bad(some and again > 0.15),
+            bad(len(lines) >= 4 and len(set(lines)) < 0.5 * len(lines)),
+            1 if n >= 20 and 0.7 <= small <= 1 and symbols < 0.05 and again < 0.05 else bad(some and small < 0.4),
+            1 if n >= 20 and 0.01 <= ends <= 0.4 and distinct > 0.3 and capitals < 0.15 and marks < 0.1 else -1]
+
+
+def plain_score(scorer, text):
+    """A feature dictionary and a dot product."""
+    import math
+    from tessera.llm import quality as q
+    raw, letters, shapes = (text or "").encode(), q.letter_table(), q._shape_table()
+    hashes, _ = q.words(np.frombuffer(raw, np.uint8), np.array([0, len(raw)]), letters)
+    found, n = {}, len(hashes)
+    for h in hashes.tolist():
+        key = h >> (64 - q.WORD_BITS)
+        found[key] = found.get(key, 0) + 1 / n
+    c = [int(shapes[b]) for b in raw]
+    for x in zip(c, c[1:], c[2:]):
+        key = (1 << q.WORD_BITS) + x[0] * 48 * 48 + x[1] * 48 + x[2]
+        found[key] = found.get(key, 0) + 3 / (len(raw) - 2)
+    found[(1 << q.WORD_BITS) + q.SHAPES + min(int(10 * len(set(hashes.tolist())) / max(n, 1)) + (n > 0), q.SHARES - 1)] = 1
+    value = scorer.bias + sum(float(scorer.weights[k]) * x for k, x in found.items())
+    return 1 / (1 + math.exp(-max(-30, min(30, value))))
+
+
 def test_quality_cases(spark):
     from tessera.llm import quality
-    docs = frame(spark, [(1, None), (1, ""), (None, "Some words stand here."), (2, "A" * 60_000), (2, "x\n" * 20_000)])
-    got = quality.classify(docs, quality.fit(docs)).collect()
-    assert len(got) == 5 and all(0 <= r["score"] <= 1 for r in got)
+    rng = random.Random(14)
+    pool = ["plain", "Words", "STAND", "\u00c9T\u00c9", "here.", "!!", "#$%", "x", "again", "again", "\u00e9t\u00e9!", "\n", "\n\n", "7"]
+    texts = ["".join(rng.choice(pool[:5] if k % 3 else pool) + rng.choice([" ", " ", "\n"]) for _ in range(rng.randint(0, 60))) for k in range(200)]
+    rows = [(1, None), (1, ""), (None, "Some words stand here."), (2, "A" * 60_000), (2, "x\n" * 20_000), (3, texts[1]), (3, texts[1])]
+    rows += list(enumerate(texts))
+    docs = frame(spark, rows).repartition(4)
+    scorer, known, accuracy = model = quality.fit(docs)
+    got = quality.classify(docs, model).collect()
+    assert len(got) == len(rows) and all(r["Base"] == "x" for r in got)
+    seen = {}
+    for r in got:
+        cast = np.array([plain_votes(r["text"])])
+        assert r["posterior"] == known[quality.pattern(cast)[0]]
+        assert seen.setdefault(r["text"], r["score"]) == r["score"] and r["keep"] == (r["score"] >= 0.5)
+        if r["text"] is None or len(r["text"]) < 1000:
+            assert abs(r["score"] - plain_score(scorer, r["text"])) < 1e-9
+    assert seen[None] == seen[""]
+    # a pattern that fit never saw has a posterior too
+    other = quality.classify(frame(spark, [(1, "$$ $$ $$ $$ ## ## ##")]), quality.fit(frame(spark, [(1, "one")]))).first()
+    assert 0 <= other["posterior"] <= 1
     assert quality.fit(docs.limit(0)) is None and quality.classify(docs.limit(0), None).count() == 0
 
 
