@@ -86,7 +86,7 @@ def _blocks(data: np.ndarray, starts: np.ndarray, window: int):
     """(first window, windows, offset of the gram in the first window, gram's
     name, text's name) of the blocks of some texts laid end to end."""
     n = len(data)
-    power, inverse = _powers(1 << max(21, n.bit_length()))
+    power, inverse = _powers(n)
     total = np.concatenate((np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * power[:n])))
     name = mixed((total[GRAM:] - total[:-GRAM]) * inverse[:n - GRAM + 1])
     bits = np.uint64(max(20, n.bit_length()))
@@ -241,23 +241,20 @@ def _compare(batches: Iterator) -> Iterator:
             yield r, before[len(before) - r:], after[:CELL - 1 - r]
 
     def found(run: list[tuple]):
-        seen: dict[tuple, int] = {}
-        for before, after, kind, _, _, _ in run:
-            for key in windows(before, after):
-                seen[key] = seen.get(key, 0) + (2 if kind == PARTNER else 1)
-        for before, after, kind, k1, k2, at in run:
-            if kind != OPEN:
-                continue
-            from_ = None
-            for r, b, a in windows(before, after):
-                hit = seen[r, b, a] > 1
-                if hit and from_ is None:
-                    from_ = r
-                elif not hit and from_ is not None:
-                    yield k1, k2, at - r + 1, r - from_, None, None, None
-                    from_ = None
-            if from_ is not None:
-                yield k1, k2, at - len(before), len(before) + 1 - from_, None, None, None
+        hit = np.zeros((CELL, len(run)), bool)
+        for r in range(CELL):  # one place of the window at a time, so that few names are held
+            seen: dict[bytes, int] = {}
+            names = [b[len(b) - r:] + a[:CELL - 1 - r] if CELL - 1 - len(a) <= r <= len(b) else None
+                     for b, a, *_ in run]
+            for name, row in zip(names, run):
+                if name is not None:
+                    seen[name] = seen.get(name, 0) + (2 if row[2] == PARTNER else 1)
+            hit[r] = [name is not None and row[2] == OPEN and seen[name] > 1 for name, row in zip(names, run)]
+        edge = np.diff(np.concatenate((np.zeros((1, len(run)), np.int8), hit, np.zeros((1, len(run)), np.int8))), axis=0)
+        up, down = np.nonzero(edge.T > 0), np.nonzero(edge.T < 0)  # each row's spans, in order
+        for i, from_, to in zip(up[0].tolist(), up[1].tolist(), down[1].tolist()):
+            _, _, _, k1, k2, at = run[i]
+            yield k1, k2, at - to + 1, to - from_, None, None, None
 
     def passed_on(run: list[tuple], name: tuple[int, int]):
         head = b"".join(x.to_bytes(8, "little", signed=True) for x in name)
