@@ -5,8 +5,9 @@ Fit is ``explode -> groupBy(token) min(first position) -> dense rank`` with the
 rank from ``with_row_index`` (range sort + partition offsets), so the
 vocabulary never passes through one task. Encode truncates with ``slice``
 *before* exploding, looks ids up with an equi-join (broadcast only when the
-vocabulary's row count — known from fitting — is under a limit), and
-re-assembles each row with an ordered ``collect_list``.
+vocabulary's row count — known from fitting — is under a limit; beyond it only
+frequent words are), and re-assembles each row, by a number of its own, with
+an ordered ``collect_list``.
 """
 
 from __future__ import annotations
@@ -20,10 +21,13 @@ from tessera.constants import (END, FIRST_FREE_ID, NGRAM_END_CHAR, NGRAM_N,
                                NGRAM_START_CHAR, PAD, SPECIAL_TOKENS, START, UNK)
 from tessera.functions.text import drop_tokens, split_ws
 from tessera.operators.ids import with_row_index
+from tessera.session import cut_lineage
 
 # Vocabularies up to this many rows are broadcast to the lookup joins
 # (~100 bytes a row -> ~200 MB at the limit); larger ones are shuffle-joined.
 BROADCAST_MAX_ROWS = 2_000_000
+#: a value is hot when it makes more than this part of all values
+HOT_SHARE = 1000
 
 
 @dataclass
@@ -122,26 +126,43 @@ def wrap_ids(ids: Column, max_len: int | None) -> Column:
     return F.concat(out, F.array_repeat(F.lit(PAD), pad))
 
 
-def _placed(rows: DataFrame, vocab: Vocab, key_cols: list[str]) -> DataFrame:
-    """With a broadcast vocabulary, rows are dealt by their key *before* the
-    explode: the tokens then stay where they are, and the regrouping needs no
-    shuffle of exploded rows. A shuffle-joined vocabulary deals by token."""
-    return rows.repartition(*key_cols) if vocab.size <= BROADCAST_MAX_ROWS else rows
+def _exploded(df: DataFrame, values: Column, vocab: Vocab, cols: list[str], name: str) -> DataFrame:
+    """One row for each position of ``values``, under a number that each row
+    of ``df`` has for itself (equal keys stay apart). With a broadcast
+    vocabulary, rows are dealt by that number *before* the explode: values
+    then stay where they are, and the regrouping shuffles nothing. Otherwise
+    the rows are written down first, since they are read more than once."""
+    rows = df.select(*cols, values.alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    rows = rows.repartition("__row") if vocab.size <= BROADCAST_MAX_ROWS else cut_lineage(rows)
+    return rows.select("__row", *cols, F.posexplode_outer("__t").alias("__pos", name))
+
+
+def _matched(ex: DataFrame, on: str, vocab: Vocab) -> DataFrame:
+    """Left join with the vocabulary. Beyond the broadcast limit the values
+    that make more than a ``1 / HOT_SHARE`` of all (so at most ``HOT_SHARE``
+    of them) are counted and looked up by broadcast, and only the others are
+    shuffled: no value fills a task."""
+    if vocab.size <= BROADCAST_MAX_ROWS:
+        return ex.join(vocab.lookup(), on, "left")
+    counts = cut_lineage(ex.where(F.col(on).isNotNull()).groupBy(on).agg(F.count(F.lit(1)).alias("n")))
+    total = counts.agg(F.sum("n")).first()[0] or 0
+    hot = counts.where(F.col("n") * HOT_SHARE > total).select(on)
+    known = hot.join(vocab.table, on, "left").withColumn("__hot", F.lit(True))
+    marked = ex.join(F.broadcast(known), on, "left")
+    cold = marked.where(F.col("__hot").isNull()).select(ex.columns).join(vocab.table, on, "left")
+    return marked.where("__hot").drop("__hot").unionByName(cold)
 
 
 def lookup_ids(df: DataFrame, tokens: Column, vocab: Vocab, key_cols: list[str],
                out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """Map a token array per row to ids (unknown -> [UNK]), order kept.
-    Rows are identified by ``key_cols``; ``carry`` columns ride along."""
-    carry = carry or []
-    rows = _placed(df.select(*key_cols, *carry, tokens.alias("__t")), vocab, key_cols)
-    ex = rows.select(*key_cols, *carry, F.posexplode_outer("__t").alias("__pos", "token"))
-    j = ex.join(vocab.lookup(), on="token", how="left")
+    ``key_cols`` and ``carry`` columns ride along; every row stays a row."""
+    cols = [*key_cols, *(carry or [])]
+    j = _matched(_exploded(df, tokens, vocab, cols, "token"), "token", vocab)
     item = F.when(F.col("__pos").isNotNull(),
                   F.struct(F.col("__pos"), F.coalesce(F.col("id"), F.lit(UNK)).alias("id")))
-    g = j.groupBy(*key_cols, *carry).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return g.select(*key_cols, *carry,
-                    F.transform("__s", lambda x: x["id"]).alias(out_col))
+    g = j.groupBy("__row", *cols).agg(F.array_sort(F.collect_list(item)).alias("__s"))
+    return g.select(*cols, F.transform("__s", lambda x: x["id"]).alias(out_col))
 
 
 def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", key_cols: list[str] | None = None,
@@ -164,19 +185,17 @@ def ids_to_tokens(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str]
                   carry: list[str] | None = None) -> DataFrame:
     """Id -> token, order kept; an id missing from the vocabulary
     raises, as a dictionary lookup would."""
-    carry = carry or []
-    rows = _placed(df.select(*key_cols, *carry, F.col(ids_col).alias("__t")), vocab, key_cols)
-    ex = rows.select(*key_cols, *carry, F.posexplode_outer("__t").alias("__pos", "id"))
-    j = ex.join(vocab.lookup(), on="id", how="left")
+    cols = [*key_cols, *(carry or [])]
+    j = _matched(_exploded(df, F.col(ids_col).cast("array<bigint>"), vocab, cols, "id"), "id", vocab)
     tok = F.when(F.col("id").isNotNull() & F.col("token").isNull(),
                  F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string")))) \
            .otherwise(F.col("token"))
     item = F.when(F.col("__pos").isNotNull(), F.struct(F.col("__pos"), tok.alias("t")))
-    g = j.groupBy(*key_cols, *carry).agg(F.array_sort(F.collect_list(item)).alias("__s"))
+    g = j.groupBy("__row", *cols).agg(F.array_sort(F.collect_list(item)).alias("__s"))
     toks = F.transform("__s", lambda x: x["t"])
     if remove_special:
         toks = drop_tokens(toks)
-    return g.select(*key_cols, *carry, toks.alias(out_col))
+    return g.select(*cols, toks.alias(out_col))
 
 
 def decode_words(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str],

@@ -13,6 +13,8 @@ from tessera.operators import bpe
 from tessera.plans import sqlparts as q
 from tessera.plans.corpus_queries import ids_string
 from tessera.plans.registry import query, table
+from tessera.session import scratch_dir
+from tessera.sources import corpus as src
 
 _MODELS: dict = {}
 
@@ -89,3 +91,14 @@ def bpe_specials(spark, sf):
     return enc.select(key[0].cast("bigint").alias("conv_id"), key[1].cast("bigint").alias("turn"),
                       F.get("ids", F.lit(0)).cast("int").alias("first_id"),
                       F.element_at("ids", -1).cast("int").alias("last_id"), F.size(inner).alias("inner_marks"))
+
+
+@query("bpe_json")
+def bpe_json(spark, sf):
+    """The model through the library's one JSON file (byte-compared with
+    the library's own file in tests)."""
+    path = scratch_dir(spark, "bpe") + ".json"
+    src.save_bpe_json(model(spark, sf), path)
+    back = src.read_bpe_json(spark, path)
+    return back.merges.select(F.col("rank").cast("bigint"), F.col("left").cast("bigint"),
+                              F.col("right").cast("bigint"), F.col("merged").cast("bigint"), "token")

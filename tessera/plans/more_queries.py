@@ -114,6 +114,17 @@ def json_vocab(spark, sf):
     return src.read_json_vocab(spark, f"{path}/vocab.json").table.select("token", "id")
 
 
+@query("vocab_object", f"""
+WITH dw AS (SELECT doc_id, {q.words('text')} AS w FROM documents),
+  dt AS (SELECT doc_id AS ord1, generate_subscripts(w, 1) AS ord2, unnest(w) AS token FROM dw)
+{q.first_occurrence_vocab('dt')}""")
+def vocab_object(spark, sf):
+    """S8 + S9: the vocabulary as one ``{token: id}`` file, and read again."""
+    path = scratch_dir(spark, "object") + ".json"
+    src.save_vocab_object(vc.fit_vocab(table(spark, sf, "documents")), path)
+    return src.read_json_vocab(spark, path).table.select("token", "id")
+
+
 @query("ngram_vocab_roundtrip", f"""
 WITH dw AS (SELECT doc_id, {q.words('text')} AS w FROM documents),
   dg AS (SELECT doc_id, flatten(list_transform(w, lambda x: list_transform(

@@ -154,19 +154,161 @@ def save_vocab(vocab, directory: str) -> None:
 
 
 def read_json_vocab(spark: SparkSession, path: str, kind: str = "word", cased: bool = True):
-    """A vocabulary from JSON: lines ``{"token": ..., "id": ...}``, or one
-    ``{token: id}`` object a file, as other tools write it."""
+    """A vocabulary from JSON files: each one ``{token: id}`` object, on
+    one line or many, or lines ``{"token": ..., "id": ...}``. A file is read
+    as a whole (none is larger than the vocabulary); anything else raises."""
     from tessera.operators.vocab import Vocab
-    rows = spark.read.text(path, wholetext=False).where(F.trim("value") != "")
-    line = F.from_json("value", "token string, id bigint")
-    entries = F.from_json("value", "map<string, bigint>")
-    table = rows.select(F.when(line["token"].isNotNull() & line["id"].isNotNull(), F.array(line))
-                        .otherwise(F.transform(F.map_entries(entries), lambda e: F.struct(
-                            e["key"].alias("token"), e["value"].alias("id")))).alias("e")) \
-        .select(F.explode("e").alias("e")).select("e.token", "e.id")
+
+    def entries(text: str):
+        def line(x):
+            if not (isinstance(x, dict) and x.keys() == {"token", "id"} and isinstance(x["token"], str) and type(x["id"]) is int):
+                raise ValueError(f"neither a vocabulary object nor a token's line: {str(x)[:80]}")
+            return x["token"], x["id"]
+        try:
+            whole = json.loads(text)
+        except json.JSONDecodeError:
+            return [line(json.loads(x)) for x in text.split("\n") if x.strip()]
+        if isinstance(whole, dict) and all(type(i) is int for i in whole.values()):
+            return list(whole.items())
+        return [line(whole)]
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            for text in batch.column("value").to_pylist():
+                found = entries(text) if text.strip() else []
+                yield pa.record_batch([pa.array([t for t, _ in found], pa.string()), pa.array([i for _, i in found], pa.int64())],
+                                      names=["token", "id"])
+
+    table = spark.read.text(path, wholetext=True).mapInArrow(run, "token string, id bigint")
     return Vocab(table=table, size=table.count(), kind=kind, cased=cased)
 
 
+def _single_file(lines, path: str) -> None:
+    """A table (at, value) as the lines of one file, written by one task in
+    the order of ``at`` and put in place under ``path``."""
+    spark, folder = lines.sparkSession, f"{path}.parts"
+    lines.repartition(1).sortWithinPartitions("at").select("value").write.mode("overwrite").text(folder)
+    jvm, conf = spark.sparkContext._jvm, spark.sparkContext._jsc.hadoopConfiguration()
+    target, parts = jvm.org.apache.hadoop.fs.Path(path), jvm.org.apache.hadoop.fs.Path(folder)
+    fs = target.getFileSystem(conf)
+    part = next(f.getPath() for f in fs.listStatus(parts) if f.getPath().getName().startswith("part-"))
+    fs.delete(target, False)
+    if not fs.rename(part, target):
+        raise OSError(f"could not write {path}")
+    fs.delete(parts, True)
+
+
+def _quoted(column):
+    """Strings as JSON strings."""
+    from pyspark.sql import types as T
+
+    @F.arrow_udf(T.StringType())
+    def run(values):
+        import pyarrow as pa
+        return pa.array([json.dumps(x, ensure_ascii=False) for x in values.to_pylist()], pa.string())
+
+    return run(column)
+
+
+def save_vocab_object(vocab, path: str) -> None:
+    """The vocabulary as one JSON file with one ``{token: id}`` object,
+    in the order of the ids."""
+    spark, last = vocab.table.sparkSession, vocab.table.agg(F.max("id")).first()[0]
+    at = lambda part, i: F.struct(F.lit(part).alias("part"), i.cast("long").alias("i"))
+    mark = lambda part, text: spark.range(1).select(at(part, F.col("id")).alias("at"), F.lit(text).alias("value"))
+    lines = vocab.table.select(at(1, F.col("id")).alias("at"), F.concat(
+        _quoted("token"), F.lit(": "), F.col("id").cast("string"), F.when(F.col("id") < last, ",").otherwise("")).alias("value"))
+    _single_file(mark(0, "{").unionByName(lines).unionByName(mark(2, "}")), path)
+
+
+#: fixed parts of the tokenizer file (format of the public ``tokenizers`` library)
+_JSON_HEAD = """{
+  "version": "1.0",
+  "truncation": null,
+  "padding": null,
+  "added_tokens": [
+%s
+  ],
+  "normalizer": null,
+  "pre_tokenizer": {
+    "type": "Whitespace"
+  },
+  "post_processor": null,
+  "decoder": null,
+  "model": {
+    "type": "BPE",
+    "dropout": null,
+    "unk_token": "[UNK]",
+    "continuing_subword_prefix": null,
+    "end_of_word_suffix": null,
+    "fuse_unk": false,
+    "byte_fallback": false,
+    "ignore_merges": false,
+    "vocab": {"""
+_JSON_ADDED = """    {
+      "id": %d,
+      "content": %s,
+      "single_word": false,
+      "lstrip": false,
+      "rstrip": false,
+      "normalized": false,
+      "special": true
+    }"""
+
+
+def save_bpe_json(model, path: str) -> None:
+    """The model as the one JSON file that the ``tokenizers`` library
+    writes and reads, byte for byte: vocabulary by id, merges by rank."""
+    from tessera.constants import SPECIAL_TOKENS
+    spark = model.vocab.sparkSession
+    at = lambda part, i, k=0: F.struct(F.lit(part).alias("part"), i.cast("long").alias("i"), F.lit(k).alias("k"))
+    fixed = lambda part, text: spark.range(1).select(at(part, F.col("id")).alias("at"), F.lit(text).alias("value"))
+    added = ",\n".join(_JSON_ADDED % (i, json.dumps(t)) for t, i in sorted(SPECIAL_TOKENS.items(), key=lambda x: x[1]))
+    last_id = model.vocab.agg(F.max("id")).first()[0]
+    vocab = model.vocab.select(at(1, F.col("id")).alias("at"), F.concat(
+        F.lit("      "), _quoted("token"), F.lit(": "), F.col("id").cast("string"),
+        F.when(F.col("id") < last_id, ",").otherwise("")).alias("value"))
+    names = model.vocab.select("id", "token")
+    merges = (model.merges.select("rank", "left", "right")
+              .join(names.select(F.col("id").alias("left"), F.col("token").alias("a")), "left")
+              .join(names.select(F.col("id").alias("right"), F.col("token").alias("b")), "right"))
+    n = len(model.merge_list)
+    merge_lines = merges.select(at(3, F.col("rank")).alias("at"), F.concat(
+        F.lit("      [\n        "), _quoted("a"), F.lit(",\n        "), _quoted("b"), F.lit("\n      ]"),
+        F.when(F.col("rank") < n - 1, ",").otherwise("")).alias("value"))
+    tail = "    ]\n  }\n}" if n else "  }\n}"
+    parts = [fixed(0, _JSON_HEAD % added), vocab, fixed(2, '    },\n    "merges": [' if n else '    },\n    "merges": []'),
+             merge_lines, fixed(4, tail)]
+    lines = parts[0]
+    for p in parts[1:]:
+        lines = lines.unionByName(p)
+    _single_file(lines, path)
+
+
+def read_bpe_json(spark: SparkSession, path: str):
+    """A BPE model from the library's JSON file (bounded by the
+    vocabulary's size). Raises on a file whose parts this engine does not
+    follow (another model, pre-tokenizer, normaliser or special ids)."""
+    from tessera.constants import SPECIAL_TOKENS
+    from tessera.operators.bpe import BpeModel
+    spec = json.loads(spark.read.text(path, wholetext=True).first().value)
+    model, vocab = spec["model"], spec["model"]["vocab"]
+    odd = [k for k in ("dropout", "continuing_subword_prefix", "end_of_word_suffix", "fuse_unk", "byte_fallback", "ignore_merges")
+           if model.get(k)]
+    if (model.get("type", "BPE") != "BPE" or odd or spec.get("normalizer") or (spec.get("pre_tokenizer") or {}).get("type") != "Whitespace"
+            or any(vocab.get(t) != i for t, i in SPECIAL_TOKENS.items())):
+        raise ValueError(f"{path}: not a byte-pair model with the fixed special ids and the Whitespace pre-tokenizer")
+    pairs = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    merges = [(vocab[a], vocab[b], vocab[a + b]) for a, b in pairs]
+    made = {m for _, _, m in merges}
+    table = spark.createDataFrame(list(vocab.items()), "token string, id int")
+    rows = [(k, l, r, m, a + b) for k, ((l, r, m), (a, b)) in enumerate(zip(merges, pairs))]
+    return BpeModel(vocab=table, merges=spark.createDataFrame(rows, "rank int, left int, right int, merged int, token string"),
+                    size=len(vocab), merge_list=merges,
+                    alphabet={t: i for t, i in vocab.items() if i not in made and t not in SPECIAL_TOKENS})
+
+
 def load_vocab(spark: SparkSession, directory: str):
     """Restores the table and *all* parameters."""
     from tessera.operators.vocab import Vocab

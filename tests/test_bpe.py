@@ -138,3 +138,24 @@ def test_merge_symbols_long_words():
                 symbols.append(3 + k)
         word = [rng.choice((0, 0, 1, 2)) for _ in range(rng.randint(20, 90))]
         assert bpe.merge_symbols(word, ranks) == plain(word, ranks)
+
+
+def test_bpe_json_file(spark, tmp_path):
+    """The file is the library's own, byte for byte, and both read the other's."""
+    import pytest
+    from tessera.sources import corpus as src
+    rows = ["ab ab cd cd ba! zz \"q\" \\ \x01x \x7f", "abab cdcd zz \u00e9 \u65e5\u672c \U0001f388"]
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    m = bpe.train(df, "text", vocab_size=30)
+    tk = library(rows, 30)
+    src.save_bpe_json(m, f"{tmp_path}/ours.json")
+    tk.save(f"{tmp_path}/theirs.json")
+    ours, theirs = ((tmp_path / n).read_bytes() for n in ("ours.json", "theirs.json"))
+    assert ours.rstrip(b"\n") == theirs.rstrip(b"\n")
+    assert Tokenizer.from_file(f"{tmp_path}/ours.json").encode(rows[0]).ids == tk.encode(rows[0]).ids
+    back = src.read_bpe_json(spark, f"{tmp_path}/theirs.json")
+    assert (back.size, back.merge_list, back.alphabet) == (m.size, m.merge_list, m.alphabet)
+    assert sorted(map(tuple, back.vocab.collect())) == sorted(map(tuple, m.vocab.collect()))
+    (tmp_path / "bad.json").write_text(theirs.decode().replace('"Whitespace"', '"Metaspace"'))
+    with pytest.raises(ValueError):
+        src.read_bpe_json(spark, f"{tmp_path}/bad.json")

@@ -67,3 +67,58 @@ def test_vocab_plan_has_no_single_partition(spark):
     v = vc.fit_vocab(df, "text", ["doc_id"])
     plan = v.table._jdf.queryExecution().executedPlan().toString()
     assert "SinglePartition" not in plan
+
+
+def test_repeated_keys_stay_rows(spark):
+    """Rows with equal or null keys are not merged; null and empty texts stay."""
+    _, v = _vocab(spark, ["a b c d e f"])
+    df = spark.createDataFrame([(1, "a b c"), (1, "d e f"), (1, "d e f"), (None, "f"), (2, None), (3, "")], "doc_id long, text string")
+    want = [(0, ["f"]), (1, ["a", "b", "c"]), (1, ["d", "e", "f"]), (1, ["d", "e", "f"]), (2, []), (3, [])]
+    for kind, n in (("word", 3), ("ngram", 2)):
+        v = vc.fit_vocab(df, "text", ["doc_id"], kind=kind, n=n)
+        enc = vc.encode(df, v, "text", ["doc_id"], max_len=None)
+        if kind == "word":
+            got = vc.decode_words(enc, "ids", v, ["doc_id"], remove_special=True)
+            assert sorted((r.doc_id or 0, r.tokens) for r in got.collect()) == want
+        else:
+            got = vc.decode_ngrams(enc, "ids", v, ["doc_id"], remove_special=True)
+            assert sorted((r.doc_id or 0, r.text.split()) for r in got.collect()) == want
+
+
+def test_lookup_beyond_the_broadcast_limit(spark, monkeypatch):
+    """Hot words are looked up by broadcast, so a word in every row fills no task; same rows either way."""
+    rng = __import__("random").Random(3)
+    rows = [(k % 40, " ".join(["hot"] * 30 + [f"w{rng.randrange(900)}" for _ in range(6)])) for k in range(200)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    v = vc.fit_vocab(df, "text", ["doc_id", "text"])
+    collect = lambda: sorted(map(repr, vc.encode(df, v, "text", ["doc_id"], max_len=20).collect()))
+    want = collect()
+    monkeypatch.setattr(vc, "BROADCAST_MAX_ROWS", 10)
+    assert collect() == want
+    enc = vc.encode(df, v, "text", ["doc_id"], max_len=None)
+    assert sorted(" ".join(r.tokens) for r in vc.decode_words(enc, "ids", v, ["doc_id"], remove_special=True).collect()) == sorted(t for _, t in rows)
+    ex = vc._exploded(df, vc.split_ws(F.col("text")), v, ["doc_id"], "token")
+    plan = vc._matched(ex, "token", v)
+    cold = plan._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join LeftOuter" in cold and "hint=(strategy=broadcast)" in cold.replace("rightHint", "hint") or "broadcast" in cold
+    # the shuffled side holds no hot word
+    hot = ex.groupBy("token").count().where(F.col("count") * vc.HOT_SHARE > ex.count()).count()
+    assert 1 <= hot <= vc.HOT_SHARE
+
+
+def test_json_vocabulary_forms(spark, tmp_path):
+    import json
+
+    import pytest
+    from tessera.sources import corpus as src
+    want = {"a": 5, "token": 6, "id": 7, "b\n\"x": 8, "\u65e5": 9}
+    forms = {"one": json.dumps(want), "indented": json.dumps(want, indent=4, ensure_ascii=False),
+             "lines": "\n".join(json.dumps({"token": t, "id": i}) for t, i in want.items()) + "\n"}
+    for name, text in forms.items():
+        (tmp_path / f"{name}.json").write_text(text, encoding="utf-8")
+        v = src.read_json_vocab(spark, str(tmp_path / f"{name}.json"))
+        assert {r.token: r.id for r in v.table.collect()} == want and v.size == 5
+    for bad in ('["a", 5]', '{"a": "x"}', '{"token": "a"}\n{"token": "b"}', "plain words"):
+        (tmp_path / "bad.json").write_text(bad)
+        with pytest.raises(Exception):
+            src.read_json_vocab(spark, str(tmp_path / "bad.json"))
