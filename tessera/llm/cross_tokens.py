@@ -205,14 +205,13 @@ class Aligner:
         for parts in cut:
             ids = [number[p] for p in parts]
             if not ids or (bad and not bad.isdisjoint(ids)):
-                rows.append({"sums": (0, 0, 0, 0), "groups": "", "used": b"", "times": b""})
+                rows.append({"sums": (0, 0, 0, 0), "groups": "", "used": b""})
                 continue
             groups = ";".join([label[i] for i in ids])
             used, n = np.unique(np.array(ids, np.int32), return_counts=True)
             times[used] += n
-            rows.append({"sums": tuple((sums[used] * n[:, None]).sum(axis=0).tolist()), "used": used.tobytes(),
-                         "groups": hashlib.sha256(groups.encode()).hexdigest() if digest else groups,
-                         "times": n.astype(np.int32).tobytes()})
+            rows.append({"sums": tuple((sums[used] * n[:, None]).sum(axis=0).tolist()), "used": _pack(used, n),
+                         "groups": hashlib.sha256(groups.encode()).hexdigest() if digest else groups})
         links = np.frombuffer(b"".join([e[4] for e in entries]), np.int64)
         weight = np.repeat(times, sizes)
         plain = links < 0
@@ -224,6 +223,22 @@ class Aligner:
                       "n": np.bincount(at, weight[~plain], minlength=len(pairs)).astype(np.int64)}, vector
 
 
+def _pack(used: np.ndarray, times: np.ndarray) -> bytes:
+    """Ascending numbers and how often each is used, compressed as steps."""
+    import zstandard
+    both = np.concatenate((np.diff(used, prepend=0), times)).astype("<i4")
+    return zstandard.compress(both.view(np.uint8).reshape(-1, 4).T.tobytes(), 1)  # high bytes, mostly zero, together
+
+
+def _unpack(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    import zstandard
+    if not data:
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    raw = np.frombuffer(zstandard.decompress(data), np.uint8).reshape(4, -1)
+    both = np.ascontiguousarray(raw.T).view("<i4")[:, 0].astype(np.int64)
+    return np.cumsum(both[:len(both) // 2]), both[len(both) // 2:]
+
+
 def _aligner(shared, key: str) -> Aligner:
     cache = worker_cache("cross_tokens")
     if key not in cache:
@@ -250,7 +265,7 @@ class CrossTokens:
         kept = [f for f in docs.schema.fields if f.name.lower() not in taken]
         long, binary, longs = T.LongType(), T.BinaryType(), T.ArrayType(T.LongType())
         own = [("kind", T.IntegerType()), ("block", long), ("n_a", long), ("n_b", long), ("n_groups", long), ("n_links", long),
-               ("groups", T.StringType()), ("used", binary), ("times", binary), ("sizes", binary), ("refs", binary),
+               ("groups", T.StringType()), ("used", binary), ("sizes", binary), ("refs", binary),
                ("pairs", longs), ("n", longs)]
         schema = T.StructType([T.StructField(n, t) for n, t in own] + [T.StructField(f"c{k}", f.dataType) for k, f in enumerate(kept)])
 
@@ -272,7 +287,7 @@ class CrossTokens:
                 vector[:] += counted
                 yield table(len(rows), {"kind": [0] * len(rows), "block": [block] * len(rows),
                                         **{c: [r["sums"][k] for r in rows] for k, c in enumerate(MEASURES[:4])},
-                                        **{c: [r[c] for r in rows] for c in ("groups", "used", "times")},
+                                        **{c: [r[c] for r in rows] for c in ("groups", "used")},
                                         **{f"c{k}": part.column(k + 1) for k in range(len(kept))}})
                 yield table(1, {"kind": [1], "block": [block], **{c: [x] for c, x in tables.items()}})
 
@@ -335,8 +350,7 @@ class CrossTokens:
             upto = lambda x: np.diff(np.concatenate(([0], np.cumsum(x)))[border])
             sums, hits = upto(sums), upto(hits)
             n_best, count_sum = [], []
-            for u, n in zip(texts["used"].to_pylist(), texts["times"].to_pylist()):
-                u, n = np.frombuffer(u, np.int32), np.frombuffer(n, np.int32).astype(np.int64)
+            for u, n in map(_unpack, texts["used"].to_pylist()):
                 n_best.append(int((hits[u] * n).sum()))
                 count_sum.append(int((sums[u] * n).sum()))
             columns = {"n_best": pa.chunked_array([pa.array(n_best, pa.int64())]), "count_sum": pa.chunked_array([pa.array(count_sum, pa.int64())])}
