@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.constants import END, PAD, START
-from tessera.functions.keyed import u32
+from tessera.functions.keyed import permuted
 from tessera.functions.noise import add_noise
 from tessera.operators.ids import with_row_index, with_running_total
 
@@ -122,19 +122,14 @@ def training_rows(encoded: DataFrame, ids_col: str, row_col: str, label_col: str
 
 
 # ------------------------------------------------------------------ C10-C12
-def order_key(row_col: str, seed=0, epoch=0) -> Column:
-    """Keyed random order (reshuffled per epoch)."""
-    return u32(seed, epoch, "order", F.col(row_col), 0)
-
-
 def batches(df: DataFrame, row_col: str, batch_size: int = 32, shuffle: bool = True,
             seed=0, epoch=0) -> DataFrame:
     """Global position in a shuffled (train) or sequential (test)
     order, ``batch_id = floor(position / batch_size)``; the last batch may
-    be short. Positions come from a range sort + partition offsets."""
-    if shuffle:
-        keyed = df.withColumn("__ok", order_key(row_col, seed, epoch))
-        idx = with_row_index(keyed, ["__ok", row_col], col="position").drop("__ok")
-    else:
-        idx = with_row_index(df, [row_col], col="position")
+    be short. Rows are numbered once, in the order of ``row_col`` (range sort
+    + partition offsets); a shuffled order is a keyed permutation of these
+    numbers, another one each epoch, without a sort by any key."""
+    idx, n = with_row_index(df, [row_col], col="position", return_count=True)
+    if shuffle and n:
+        idx = idx.withColumn("position", permuted(F.col("position"), n, seed, epoch, "order"))
     return idx.withColumn("batch_id", F.floor(F.col("position") / batch_size).cast("bigint"))

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from tessera.functions.keyed import sql_permuted
 from tessera.functions.noise import add_noise
 from tessera.operators import shape as sh
 from tessera.operators import vocab as vc
@@ -165,15 +166,9 @@ def training_rows(spark, sf):
                        ids_string(F.col("trg")).alias("trg"), "label")
 
 
-def _order_sql() -> str:
-    from tessera.functions.keyed import sql_u32
-    return sql_u32(0, 0, "order", "doc_id", "0")
-
-
 @query("batches_shuffled", f"""
-SELECT doc_id, CAST(row_number() OVER (ORDER BY {_order_sql()}, doc_id) - 1 AS BIGINT) AS position,
-       CAST((row_number() OVER (ORDER BY {_order_sql()}, doc_id) - 1) // 32 AS BIGINT) AS batch_id
-FROM labels""")
+WITH RECURSIVE {sql_permuted('SELECT doc_id AS row, row_number() OVER (ORDER BY doc_id) - 1 AS idx FROM labels', 0, 0, 'order')}
+SELECT row AS doc_id, position, CAST(position // 32 AS BIGINT) AS batch_id FROM placed""")
 def batches_shuffled(spark, sf):
     lab = table(spark, sf, "labels").select("doc_id")
     return sh.batches(lab, "doc_id", 32, shuffle=True).select("doc_id", "position", "batch_id")

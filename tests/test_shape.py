@@ -88,3 +88,31 @@ def test_batches_shuffled_is_permutation(spark):
     out = sh.batches(df, "row_id", 32, shuffle=True).collect()
     assert sorted(r.position for r in out) == list(range(70))
     assert [r.row_id for r in sorted(out, key=lambda r: r.position)] != list(range(70))
+
+
+def test_permutation_is_a_bijection(spark):
+    """Every size from 1 to 400 and some larger ones, by epoch; null stays null."""
+    from tessera.functions.keyed import half_bits, permuted
+    sizes = [*range(1, 40), 63, 64, 65, 256, 257, 1000, 1024, 1025, 2000]
+    top = max(sizes)
+    df = spark.range(top).coalesce(1).select("id", *[permuted(F.when(F.col("id") < n, F.col("id")), n, 3, e, "order").alias(f"p{n}_{e}")
+                                                     for n in sizes for e in (0, 1)])
+    rows = df.collect()
+    for n in sizes:
+        for e in (0, 1):
+            got = [r[f"p{n}_{e}"] for r in rows]
+            assert sorted(got[:n]) == list(range(n)) and got[n:] == [None] * (top - n)
+    assert [r["p1000_0"] for r in rows[:1000]] != [r["p1000_1"] for r in rows[:1000]]
+    assert [half_bits(n) for n in (1, 4, 5, 16, 17, 4 ** 20)] == [1, 1, 2, 2, 3, 20]
+
+
+def test_shuffled_batches_plan(spark):
+    """Rows are sorted by their id once, by no drawn key."""
+    from tessera.operators import shape as sh
+    df = spark.range(500).withColumnRenamed("id", "doc_id")
+    out = sh.batches(df, "doc_id", 32, shuffle=True, epoch=2)
+    rows = out.collect()
+    assert sorted(r.position for r in rows) == list(range(500)) and all(r.batch_id == r.position // 32 for r in rows)
+    assert "Exchange" not in out._jdf.queryExecution().executedPlan().toString()
+    assert [r.position for r in sorted(rows, key=lambda r: r.doc_id)] != list(range(500))
+    assert sh.batches(df.limit(0), "doc_id", shuffle=True).count() == 0
