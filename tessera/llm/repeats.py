@@ -20,8 +20,10 @@ row for about 65 windows ("block").
    compared by the few bytes on both sides of it.
 3. Each document's repeated windows are united and cut out.
 
-Names are 64-bit hashes (128-bit for cells and documents). Rows of one gram
-stream through a task in sorted order. Grams with over a thousandth of the
+Names are 64-bit hashes (128-bit for cells and documents). Equal blocks of
+one batch are combined before anything is shuffled, so the rows of one gram
+that meet in a task are its different texts and one row a batch for each of
+their copies. Grams with over a thousandth of the
 rows are found on a sample of documents and dealt out by the text of their
 blocks; the windows of a cell that more than ``RUN_ROWS`` texts share are
 passed on and counted by partial aggregation. Both change where the work is
@@ -107,68 +109,97 @@ def _blocks(data: np.ndarray, starts: np.ndarray, window: int):
     return first, last - first + 1, gram - first, name[gram], whole, text[first]
 
 
-_BLOCK = "gram long, whole long, n int, off int, k1 long, k2 long, start int"
+_BLOCK = "gram long, whole long, n int, off int, k1 long, k2 long, start int, kind int"
+_NAMES = ["gram", "whole", "n", "off", "k1", "k2", "start", "kind"]
+#: kinds of a block: there once in its batch; repeated; there once, as far as
+#: known; one that stands for several equal ones
+SINGLE, REPEATED, OPEN, PARTNER = 0, 1, 2, 3
+
+
+def _combined(c: list[np.ndarray]) -> list[np.ndarray]:
+    """The blocks of a batch: equal ones are REPEATED, and one PARTNER more
+    stands for them, so that a passage of very many copies sends a row for
+    each batch to the task of its gram. REPEATED blocks need no comparison
+    and are dealt by their document instead."""
+    gram, whole, n, off = c[:4]
+    key = mixed(gram ^ mixed(whole ^ mixed((n.astype(np.uint64) << np.uint64(32)) | off.astype(np.uint64))))
+    order = np.argsort(key, kind="stable")
+    same = key[order][1:] == key[order][:-1]
+    again = np.zeros(len(key), bool)
+    again[order[1:]] = same
+    several = again.copy()
+    several[order[:-1]] |= same
+    kind = np.where(several, REPEATED, SINGLE).astype(np.int32)
+    stands = np.flatnonzero(several & ~again)
+    c = [np.concatenate((x, x[stands])) for x in c]
+    kind = np.concatenate((kind, np.full(len(stands), PARTNER, np.int32)))
+    c[0] = np.where(kind == REPEATED, c[4].view(np.uint64), c[0])
+    return [*c, kind]
 
 
 def blocks(rows: DataFrame, window: int) -> DataFrame:
-    """Blocks of rows (k1, k2, t)."""
+    """Blocks of rows (k1, k2, t), equal ones of a batch combined."""
     def run(batches):
         import pyarrow as pa
         for batch in batches:
             texts = [x.as_py() or b"" for x in batch.column("t")]
             k1, k2 = batch.column("k1").to_numpy(), batch.column("k2").to_numpy()
+            parts = []
             for data, starts, which, base in _segments(texts, window):
                 first, n, off, gram, whole, part = _blocks(data, starts, window)
                 at = first - starts[part] + base[part]
-                yield pa.record_batch([
-                    pa.array(gram.view(np.int64)), pa.array(whole.view(np.int64)), pa.array(n.astype(np.int32)),
-                    pa.array(off.astype(np.int32)), pa.array(k1[which[part]]), pa.array(k2[which[part]]),
-                    pa.array(at.astype(np.int32))], names=["gram", "whole", "n", "off", "k1", "k2", "start"])
+                parts.append((gram, whole, n.astype(np.int32), off.astype(np.int32), k1[which[part]], k2[which[part]],
+                              at.astype(np.int32)))
+            if not parts:
+                continue
+            c = _combined([np.concatenate(x) for x in zip(*parts)])
+            c[0], c[1] = c[0].view(np.int64), c[1].view(np.int64)
+            yield pa.record_batch([pa.array(x) for x in c], names=_NAMES)
 
     return rows.select("k1", "k2", F.encode("t", "UTF-8").alias("t")).mapInArrow(run, _BLOCK)
 
 
-#: kinds of a judged block
-REPEATED, OPEN, PARTNER = 1, 2, 3
-
-
 def _judge(batches: Iterator, hot: np.ndarray) -> Iterator:
     """Sorted blocks -> those that repeat as a whole, and one of each of the
     different texts around a gram: OPEN if it is there once, else PARTNER."""
     import pyarrow as pa
-    names = ["gram", "whole", "n", "off", "k1", "k2", "start"]
 
     def runs(c: list[np.ndarray]):
-        if not len(c[0]):
-            return None
         gram_new = np.concatenate(([True], c[0][1:] != c[0][:-1]))
         text_new = gram_new.copy()
         for x in c[1:4]:
             text_new[1:] |= x[1:] != x[:-1]
         text_of = np.cumsum(text_new) - 1
         gram_of = np.cumsum(gram_new)[text_new] - 1  # of each text
-        copies = np.bincount(text_of)
+        copies = np.bincount(text_of, np.where(c[7] == PARTNER, 2, 1))
         several = (np.bincount(gram_of)[gram_of] > 1) | np.isin(c[0][text_new], hot)
-        whole = np.flatnonzero(copies[text_of] > 1)
+        whole = np.flatnonzero((copies[text_of] > 1) & (c[7] == SINGLE))
         rep = np.flatnonzero(text_new)[several]
         pick = np.concatenate((whole, rep))
         kind = np.concatenate((np.full(len(whole), REPEATED, np.int32),
                                np.where(copies[several] > 1, PARTNER, OPEN).astype(np.int32)))
-        return pa.record_batch([*[pa.array(x[pick]) for x in c], pa.array(kind)], names=[*names, "kind"])
+        return record([*[x[pick] for x in c[:7]], kind])
+
+    def record(c):
+        return pa.record_batch([pa.array(x) for x in c], names=_NAMES)
 
     held = None
     for batch in batches:
-        c = [batch.column(k).to_numpy() for k in range(len(names))]
+        c = [batch.column(k).to_numpy() for k in range(len(_NAMES))]
+        known = c[7] == REPEATED
+        if known.any():
+            yield record([x[known] for x in c])
+            c = [x[~known] for x in c]
         if held is not None:
             c = [np.concatenate(x) for x in zip(held, c)]
         if not len(c[0]):
             continue
         cut = len(c[0]) - int(np.argmax(np.append(c[0][::-1] != c[0][-1], True)))
-        if (out := runs([x[:cut] for x in c])) is not None:
-            yield out
+        if cut:
+            yield runs([x[:cut] for x in c])
         held = [x[cut:] for x in c]
-    if held is not None and (out := runs(held)) is not None:
-        yield out
+    if held is not None and len(held[0]):
+        yield runs(held)
 
 
 def _packed(text: Column) -> Column:
@@ -309,7 +340,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     k1, k2 = F.xxhash64(ident, text), F.xxhash64(F.lit(1), ident, text)
     rows = docs.select(k1.alias("k1"), k2.alias("k2"), text.alias("t"))
     # frequent grams, from a sample; exactness does not depend on it
-    some = blocks(rows.where(F.pmod("k1", F.lit(HOT_SAMPLE)) == 0), window).groupBy("gram").agg(F.count("*").alias("n"))
+    some = blocks(rows.where(F.pmod("k1", F.lit(HOT_SAMPLE)) == 0), window).where(F.col("kind") != REPEATED).groupBy("gram").agg(F.count("*").alias("n"))
     some = checkpointed(some)
     least = max(HOT_LEAST, (some.agg(F.sum("n")).first()[0] or 0) // HOT_SHARE)
     hot = np.array(sorted(r["gram"] for r in some.where(F.col("n") > least).select("gram").collect()), np.int64)
@@ -318,7 +349,7 @@ def remove_repeats(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     judged = checkpointed(
         blocks(rows, window).withColumn("salt", salt).repartition("gram", "salt")
         .sortWithinPartitions("gram", "whole", "n", "off").drop("salt")
-        .mapInArrow(lambda it: _judge(it, hot), _BLOCK + ", kind int"))
+        .mapInArrow(lambda it: _judge(it, hot), _BLOCK))
     z, ka, kb = fresh(docs, "z"), fresh(docs, "ka"), fresh(docs, "kb")
     kept_cols = [c for c in docs.columns if c.lower() != text_col.lower()]
     carried = docs.select("*", k1.alias(ka), k2.alias(kb), _packed(text).alias(z)).drop(text_col)
