@@ -1,4 +1,4 @@
-"""Training-data operators: ten DataFrame operators and their queries.
+"""Training-data operators: thirteen DataFrame operators and their queries.
 
 Nothing outside this folder imports it. Every operator takes a DataFrame and
 the names of its id and text columns, keeps the columns it is given (a given
