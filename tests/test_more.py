@@ -43,6 +43,15 @@ def test_generate_grid_and_absorbing_end(spark):
     assert {r.sentence for r in gen if r.target == 1} == {"c d"}
 
 
+def test_generate_walk_equals_joins(spark):
+    """A model held by tasks and one beyond that bound draw the same words."""
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(k % 9)), k % 2) for k in range(40)]
+    m = au.bigram_model(spark.createDataFrame(rows, "k long, text string, cls int"), "text", "cls")
+    walked = sorted(map(tuple, au.generated_sentences(au.generate(m, 3, 8, 6)).collect()))
+    joined = sorted(map(tuple, au.generated_sentences(au.generate(m, 3, 8, 6, max_rows=0)).collect()))
+    assert walked == joined and len(walked) == 24 and {s for t, _, s in walked if t == 2} == {""}
+
+
 def test_csv_and_vocab_roundtrip(spark):
     df = spark.createDataFrame([(0, 'he said "hi",\nthen left ', 1.0)], "doc_id long, sentence string, target double")
     path = scratch_dir(spark, "t-csv")
