@@ -111,6 +111,16 @@ def _pair_counts(words: DataFrame) -> DataFrame:
     return words.mapInArrow(run, "l long, r long, c long").groupBy("l", "r").agg(F.sum("c").alias("c"))
 
 
+def _top_pairs(words: DataFrame, n: int) -> np.ndarray:
+    """The first ``n`` pairs by (count descending, l, r), as rows (count, l,
+    r). ``toArrow`` cuts each task's best pairs to ``n`` in a task: the rows
+    that come to the driver are ``n``, not ``n`` of every task, as with
+    ``collect``."""
+    top = _pair_counts(words).where("c > 0").orderBy(F.desc("c"), "l", "r").limit(n).select("c", "l", "r").toArrow()
+    rows = np.stack([top[c].to_numpy().astype(np.int64) for c in ("c", "l", "r")], axis=1) if len(top) else np.zeros((0, 3), np.int64)
+    return rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 0]))]
+
+
 def _runs(words: DataFrame, pairs: np.ndarray) -> DataFrame:
     """(run, cnt): maximal runs of symbols whose adjacent pairs are all in
     ``pairs`` (sorted numbers), as 32-bit integers, equal ones added up."""
@@ -261,12 +271,12 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
     merges: list[tuple[int, int, int]] = []
     n_pairs = 512
     while len(id2tok) < vocab_size:
-        top = _pair_counts(words).where("c > 0").orderBy(F.desc("c"), "l", "r").limit(MAX_PAIRS + 1).collect()
-        if not top:
+        top = _top_pairs(words, MAX_PAIRS + 1)
+        if not len(top):
             break
         while True:
             n_pairs = max(1, min(n_pairs, MAX_PAIRS, len(top)))
-            chosen = np.sort(np.array([r.l << 32 | r.r for r in top[:n_pairs]], np.int64))
+            chosen = np.sort(top[:n_pairs, 1] << 32 | top[:n_pairs, 2])
             rows = _runs(words, chosen).limit(max_runs + 1).toArrow()
             if len(rows) <= max_runs or n_pairs == 1:
                 break
@@ -274,7 +284,7 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
         if len(rows) > max_runs:  # one pair, in very many runs of its own symbol
             rows = _runs(words, chosen).toArrow()
         runs = [(np.frombuffer(b, "<i4").tolist(), n) for b, n in zip(rows["run"].to_pylist(), rows["cnt"].to_pylist())]
-        stop = (-top[n_pairs].c, top[n_pairs].l, top[n_pairs].r) if n_pairs < len(top) else None
+        stop = (-int(top[n_pairs, 0]), int(top[n_pairs, 1]), int(top[n_pairs, 2])) if n_pairs < len(top) else None
         found = _merge_runs(runs, stop, id2tok, tok2id, vocab_size - len(id2tok))
         merges += found
         if len(id2tok) < vocab_size:

@@ -159,3 +159,16 @@ def test_bpe_json_file(spark, tmp_path):
     (tmp_path / "bad.json").write_text(theirs.decode().replace('"Whitespace"', '"Metaspace"'))
     with pytest.raises(ValueError):
         src.read_bpe_json(spark, f"{tmp_path}/bad.json")
+
+
+def test_training_brings_ranked_pairs_once(spark, monkeypatch):
+    """A round's best pairs reach the driver as they are, not once a task:
+    only the alphabet is collected; ties go to the smaller pair."""
+    rows = [(c, [a, b, a]) for a in range(5, 15) for b in range(5, 15) for c in (1, 2)]
+    words = spark.createDataFrame(rows, "cnt long, syms array<int>").repartition(8)
+    every = sorted((-r.c, r.l, r.r) for r in bpe._pair_counts(words).collect())
+    assert [(-c, l, r) for c, l, r in bpe._top_pairs(words, 30).tolist()] == every[:30]
+    calls, real = [], type(words).collect
+    monkeypatch.setattr(type(words), "collect", lambda self: calls.append(1) or real(self))
+    docs = spark.createDataFrame([("ab abc bcd abab cde",), ("abcd cd ab",)], "text string")
+    assert bpe.train(docs, "text", vocab_size=40).size > 10 and len(calls) == 1
