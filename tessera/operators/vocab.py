@@ -1,13 +1,13 @@
 """Word and character n-gram vocabularies: fit (first-occurrence ids),
 encode to fixed-length id arrays, decode.
 
-Fit is ``explode -> groupBy(token) min(first position) -> dense rank`` with the
+Fit is ``explode -> groupBy(token) min(first place) -> dense rank`` with the
 rank from ``with_row_index`` (range sort + partition offsets), so the
-vocabulary never passes through one task. Encode truncates with ``slice``
-*before* exploding, looks ids up with an equi-join (broadcast only when the
-vocabulary's row count — known from fitting — is under a limit; beyond it only
-frequent words are), and re-assembles each row, by a number of its own, with
-an ordered ``collect_list``.
+vocabulary never passes through one task. Encode and decode look values up
+where the row is when the vocabulary's row count (known from fitting) is under
+a limit: it is broadcast and rows are neither exploded nor shuffled. Beyond
+it, rows are dealt in blocks, each block's different values are joined with
+the vocabulary once, and meet their block's rows in a cogroup.
 """
 
 from __future__ import annotations
@@ -16,6 +16,7 @@ from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tessera.constants import (END, FIRST_FREE_ID, NGRAM_END_CHAR, NGRAM_N,
                                NGRAM_START_CHAR, PAD, SPECIAL_TOKENS, START, UNK)
@@ -26,6 +27,8 @@ from tessera.session import cut_lineage
 # Vocabularies up to this many rows are broadcast to the lookup joins
 # (~100 bytes a row -> ~200 MB at the limit); larger ones are shuffle-joined.
 BROADCAST_MAX_ROWS = 2_000_000
+#: rows of a block that share one dictionary beyond that limit (about)
+BLOCK_ROWS = 16_384
 #: a value is hot when it makes more than this part of all values
 HOT_SHARE = 1000
 
@@ -87,6 +90,12 @@ def tokens_of(text: Column, kind: str, cased: bool = True, n: int = NGRAM_N,
 
 
 # ------------------------------------------------------------------- K2 / K8
+def _place(row: Column, pos: Column) -> Column:
+    """(row, position) as one number in the same order; a null row is first."""
+    known = F.coalesce(row.cast("decimal(19,0)"), F.lit(str(-(1 << 63) - 1)).cast("decimal(19,0)"))
+    return known * F.lit(1 << 31).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
+
+
 def fit_vocab(df: DataFrame, text_col: str = "text", order_cols: list[str] | None = None,
               kind: str = "word", cased: bool = True, n: int = NGRAM_N,
               start_char: str = NGRAM_START_CHAR, end_char: str = NGRAM_END_CHAR) -> Vocab:
@@ -97,11 +106,17 @@ def fit_vocab(df: DataFrame, text_col: str = "text", order_cols: list[str] | Non
     toks = df.select(*order_cols, F.posexplode(tokens_of(
         F.col(text_col), kind, cased, n, start_char, end_char)).alias("__pos", "token"))
     toks = toks.filter(~F.col("token").isin(list(SPECIAL_TOKENS)))
-    first = (toks.groupBy("token")
-                 .agg(F.min(F.struct(*[F.col(c) for c in order_cols], F.col("__pos"))).alias("f"))
-                 .select("token", *[F.col(f"f.{c}").alias(f"__o{i}") for i, c in
-                                    enumerate(order_cols)], F.col("f.__pos").alias("__opos")))
-    okeys = [f"__o{i}" for i in range(len(order_cols))] + ["__opos"]
+    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, T.IntegralType):
+        # one number a place: its minimum is kept by a hash aggregate, where
+        # the minimum of a struct sorts all tokens
+        first = toks.groupBy("token").agg(F.min(_place(F.col(order_cols[0]), F.col("__pos"))).alias("__o0"))
+        okeys = ["__o0"]
+    else:
+        first = (toks.groupBy("token")
+                     .agg(F.min(F.struct(*[F.col(c) for c in order_cols], F.col("__pos"))).alias("f"))
+                     .select("token", *[F.col(f"f.{c}").alias(f"__o{i}") for i, c in
+                                        enumerate(order_cols)], F.col("f.__pos").alias("__opos")))
+        okeys = [f"__o{i}" for i in range(len(order_cols))] + ["__opos"]
     ranked, count = with_row_index(first, okeys, col="id", start=FIRST_FREE_ID,
                                    return_count=True)
     words = ranked.select("token", F.col("id").cast("bigint").alias("id"))
@@ -128,12 +143,8 @@ def wrap_ids(ids: Column, max_len: int | None) -> Column:
 
 def _exploded(df: DataFrame, values: Column, vocab: Vocab, cols: list[str], name: str) -> DataFrame:
     """One row for each position of ``values``, under a number that each row
-    of ``df`` has for itself (equal keys stay apart). With a broadcast
-    vocabulary, rows are dealt by that number *before* the explode: values
-    then stay where they are, and the regrouping shuffles nothing. Otherwise
-    the rows are written down first, since they are read more than once."""
+    of ``df`` has for itself (equal keys stay apart)."""
     rows = df.select(*cols, values.alias("__t"), F.monotonically_increasing_id().alias("__row"))
-    rows = rows.repartition("__row") if vocab.size <= BROADCAST_MAX_ROWS else cut_lineage(rows)
     return rows.select("__row", *cols, F.posexplode_outer("__t").alias("__pos", name))
 
 
@@ -153,16 +164,67 @@ def _matched(ex: DataFrame, on: str, vocab: Vocab) -> DataFrame:
     return marked.where("__hot").drop("__hot").unionByName(cold)
 
 
+def _one(column):
+    """A column of an Arrow table as one array."""
+    import pyarrow as pa
+    return pa.concat_arrays(column.chunks) if column.num_chunks else pa.array([], column.type)
+
+
+def _replaced(rows, keys, found, default, strict: bool):
+    """Arrow lists with each of ``keys`` replaced by its entry of ``found``;
+    a null list is empty. Others become ``default`` or, if ``strict``, raise."""
+    import pyarrow as pa
+    import pyarrow.compute as pc
+    flat = rows.flatten()
+    at = pc.index_in(flat, value_set=keys)
+    if strict:
+        lost = flat.filter(pc.and_(pc.is_null(at), pc.is_valid(flat)))
+        if len(lost):
+            raise ValueError(f"unknown id {lost[0]}")
+    got = found.take(at)
+    if default is not None:
+        got = pc.fill_null(got, pa.scalar(default, got.type))
+    ends = pc.cumulative_sum(pc.fill_null(pc.list_value_length(rows), 0))
+    starts = pa.concat_arrays([pa.array([0], pa.int32()), ends.cast(pa.int32())])
+    return pa.ListArray.from_arrays(starts, got)
+
+
+def _looked_up(df: DataFrame, values: Column, vocab: Vocab, cols: list[str], on: str, to: str, out_col: str,
+               default=None, strict: bool = False) -> DataFrame:
+    """``cols`` and the array ``values`` (of ``on``) with each value's ``to``."""
+    out_type, spark = vocab.table.schema[to].dataType, df.sparkSession
+    rows, names = df.select(*cols, values.alias("__t")), [*cols, out_col]
+    schema = T.StructType([*rows.select(*cols).schema.fields, T.StructField(out_col, T.ArrayType(out_type))])
+    if vocab.size <= BROADCAST_MAX_ROWS:
+        entries = vocab.table.where(F.col(on).isNotNull()).select(on, to).toArrow()
+        shared = spark.sparkContext.broadcast((_one(entries[on]), _one(entries[to])))
+
+        def find(batches):
+            import pyarrow as pa
+            for batch in batches:
+                got = _replaced(batch.column("__t"), *shared.value, default, strict)
+                yield pa.record_batch([*(batch.column(c) for c in cols), got], names=names)
+
+        return rows.mapInArrow(find, schema)
+    blocks = max(1, -(-df.count() // BLOCK_ROWS))
+    # by the row's own content, so that every reading deals rows alike
+    rows = rows.withColumn("__block", F.pmod(F.xxhash64(*cols, "__t"), F.lit(blocks)))
+    needs = rows.select("__block", F.explode("__t").alias(on)).distinct()
+    known = needs.join(vocab.table.select(on, to), on).select(F.col("__block").alias("__of"), on, to)
+
+    def meet(left, right):
+        import pyarrow as pa
+        got = _replaced(_one(left["__t"]), _one(right[on]), _one(right[to]), default, strict)
+        return pa.table([*(left[c] for c in cols), got], names=names)
+
+    return rows.groupBy("__block").cogroup(known.groupBy("__of")).applyInArrow(meet, schema)
+
+
 def lookup_ids(df: DataFrame, tokens: Column, vocab: Vocab, key_cols: list[str],
                out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """Map a token array per row to ids (unknown -> [UNK]), order kept.
     ``key_cols`` and ``carry`` columns ride along; every row stays a row."""
-    cols = [*key_cols, *(carry or [])]
-    j = _matched(_exploded(df, tokens, vocab, cols, "token"), "token", vocab)
-    item = F.when(F.col("__pos").isNotNull(),
-                  F.struct(F.col("__pos"), F.coalesce(F.col("id"), F.lit(UNK)).alias("id")))
-    g = j.groupBy("__row", *cols).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    return g.select(*cols, F.transform("__s", lambda x: x["id"]).alias(out_col))
+    return _looked_up(df, tokens, vocab, [*key_cols, *(carry or [])], "token", "id", out_col, default=UNK)
 
 
 def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", key_cols: list[str] | None = None,
@@ -186,16 +248,10 @@ def ids_to_tokens(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str]
     """Id -> token, order kept; an id missing from the vocabulary
     raises, as a dictionary lookup would."""
     cols = [*key_cols, *(carry or [])]
-    j = _matched(_exploded(df, F.col(ids_col).cast("array<bigint>"), vocab, cols, "id"), "id", vocab)
-    tok = F.when(F.col("id").isNotNull() & F.col("token").isNull(),
-                 F.raise_error(F.concat(F.lit("unknown id "), F.col("id").cast("string")))) \
-           .otherwise(F.col("token"))
-    item = F.when(F.col("__pos").isNotNull(), F.struct(F.col("__pos"), tok.alias("t")))
-    g = j.groupBy("__row", *cols).agg(F.array_sort(F.collect_list(item)).alias("__s"))
-    toks = F.transform("__s", lambda x: x["t"])
-    if remove_special:
-        toks = drop_tokens(toks)
-    return g.select(*cols, toks.alias(out_col))
+    df = cut_lineage(df) if vocab.size > BROADCAST_MAX_ROWS else df  # read more than once
+    got = _looked_up(df, F.col(ids_col).cast("array<bigint>"), vocab, cols, "id", "token", "__toks", strict=True)
+    toks = drop_tokens(F.col("__toks")) if remove_special else F.col("__toks")
+    return got.select(*cols, toks.alias(out_col))
 
 
 def decode_words(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str],

@@ -122,3 +122,34 @@ def test_json_vocabulary_forms(spark, tmp_path):
         (tmp_path / "bad.json").write_text(bad)
         with pytest.raises(Exception):
             src.read_json_vocab(spark, str(tmp_path / "bad.json"))
+
+
+def test_fit_keeps_places_by_a_hash_aggregate(spark, monkeypatch):
+    """The first place of a token is one number, so no sort of all tokens;
+    null and negative rows come in their order."""
+    df = spark.createDataFrame([(3, "d a"), (-(2 ** 62), "b c"), (None, "a b"), (-1, "e c")], "doc_id long, text string")
+    kept = []
+    monkeypatch.setattr(vc, "with_row_index", lambda f, *a, **k: kept.append(f) or with_row_index(f, *a, **k))
+    from tessera.operators.ids import with_row_index
+    v = vc.fit_vocab(df, "text", ["doc_id"])
+    assert "SortAggregate" not in kept[0]._jdf.queryExecution().executedPlan().toString()
+    assert {r.token: r.id for r in v.table.where("id >= 5").collect()} == {"a": 5, "b": 6, "c": 7, "e": 8, "d": 9}
+
+
+def test_lookup_does_not_explode(spark, monkeypatch):
+    """Rows stay where they are with a broadcast vocabulary; beyond it no
+    position is shuffled, only a block's different values."""
+    df, v = _vocab(spark, ["x y z x", "y q"])
+    enc = vc.encode(df, v, "text", ["doc_id"], max_len=None)
+    plan = enc._jdf.queryExecution().executedPlan().toString()
+    assert "Generate" not in plan and "Exchange hashpartitioning" not in plan and "MapInArrow" in plan
+    want = sorted((r.doc_id, r.ids) for r in enc.collect())
+    monkeypatch.setattr(vc, "BROADCAST_MAX_ROWS", 1)
+    monkeypatch.setattr(vc, "BLOCK_ROWS", 1)
+    far = vc.encode(df, v, "text", ["doc_id"], max_len=None)
+    assert "FlatMapCoGroupsInArrow" in far._jdf.queryExecution().executedPlan().toString()
+    assert sorted((r.doc_id, r.ids) for r in far.collect()) == want
+    import pytest
+    odd = spark.createDataFrame([(1, [5, 99])], "doc_id long, ids array<long>")
+    with pytest.raises(Exception, match="unknown id 99"):
+        vc.decode_words(odd, "ids", v, ["doc_id"]).collect()
