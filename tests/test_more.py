@@ -1,4 +1,5 @@
 import os
+import re
 
 from pyspark.sql import functions as F
 
@@ -137,3 +138,24 @@ def test_encode_needs_no_shuffle_after_the_explode(spark):
     plan = vc.encode(docs, vc.fit_vocab(docs), max_len=8)._jdf.queryExecution().executedPlan().toString()
     above = plan[:plan.index("Generate")]
     assert "Exchange hashpartitioning" not in above
+
+
+def test_generate_steps_leave_the_model_where_it_is(spark, monkeypatch):
+    """Beyond the arrays' bound the model is dealt once: a step's join shuffles
+    the requests alone, and no block of places has more than BLOCK rows."""
+    rows = [(k, " ".join(f"w{(k * 7 + j * j) % 23}" for j in range(k % 9)), 0) for k in range(60)]
+    m = au.bigram_model(spark.createDataFrame(rows, "k long, text string, cls int"), "text", "cls")
+    guide, words = au.guide_table(m, 1)
+    assert guide.groupBy("block").count().agg({"count": "max"}).first()[0] <= au.BLOCK
+    assert {t for _, t in guide.dtypes} == {"bigint"}
+    plans, cut = [], au.cut_lineage
+    monkeypatch.setattr(au, "cut_lineage", lambda df: plans.append(df._jdf.queryExecution().executedPlan().toString()) or cut(df))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = au.generate(m, 1, 5, 9, max_rows=0).collect()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    steps = [p for p in plans if "InMemoryTableScan" in p and "drawn" in p]
+    assert steps and len(got) == 5 and {len(r.tokens) for r in got} == {8}
+    for p in steps:  # the requests are dealt for each step's join, the guide is not
+        assert "ENSURE_REQUIREMENTS" in p and not re.search(r"hashpartitioning\(b#\d+L?, \d+\), ENSURE", p)
