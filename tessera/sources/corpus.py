@@ -153,12 +153,62 @@ def save_vocab(vocab, directory: str) -> None:
     vocab.table.select("token", "id").write.mode("overwrite").json(f"{directory}/vocab.json")
 
 
+#: characters of a line that can be one entry
+_ENTRY_CHARS = 1 << 20
+
+
+def _vocab_lines(spark: SparkSession, path: str):
+    """(token, id) of vocabulary files whose every line is a brace, one
+    ``"token": id`` of an object, or one line of JSON lines; None if a file has
+    another form or names a token of an object twice."""
+    def kind_of(text: str):
+        t = text.strip()
+        if t in ("{", "}"):
+            return t, None, None
+        if t and len(t) <= _ENTRY_CHARS:
+            try:
+                if t[0] == "{":
+                    x = json.loads(t)
+                    if x.keys() == {"token", "id"} and isinstance(x["token"], str) and type(x["id"]) is int:
+                        return "line", x["token"], x["id"]
+                elif t[0] == '"':
+                    x = list(json.loads("{" + t.removesuffix(",") + "}").items())
+                    if len(x) == 1 and type(x[0][1]) is int:
+                        return "," if t[-1] == "," else "last", *x[0]
+            except json.JSONDecodeError:
+                pass
+        return "other", None, None
+
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            kinds, tokens, ids = zip(*map(kind_of, batch.column("value").to_pylist())) if batch.num_rows else ((), (), ())
+            yield pa.record_batch([batch.column("file"), pa.array(kinds, pa.string()), pa.array(tokens, pa.string()),
+                                   pa.array(ids, pa.int64())], names=["file", "kind", "token", "id"])
+
+    lines = spark.read.text(path).select(F.input_file_name().alias("file"), "value").where(F.trim("value") != "")
+    found = lines.mapInArrow(run, "file string, kind string, token string, id bigint")
+    n = {k: F.sum((F.col("kind") == k).cast("long")) for k in ("{", "}", ",", "last", "line")}
+    whole = (n["{"] == 1) & (n["}"] == 1) & (n["last"] <= 1) & ((n["last"] == 1) | (n[","] == 0)) \
+        & (n[","] + n["last"] + 2 == F.count(F.lit(1)))
+    odd = found.groupBy("file").agg((whole | (n["line"] == F.count(F.lit(1)))).alias("ok")).where(~F.col("ok"))
+    if not odd.isEmpty():
+        return None
+    twice = found.where(F.col("kind").isin(",", "last")).groupBy("file", "token").count().where("count > 1")
+    return found.where(F.col("token").isNotNull()).select("token", "id") if twice.isEmpty() else None
+
+
 def read_json_vocab(spark: SparkSession, path: str, kind: str = "word", cased: bool = True):
     """A vocabulary from JSON files: each one ``{token: id}`` object, on
-    one line or many, or lines ``{"token": ..., "id": ...}``. A file is read
-    as a whole (none is larger than the vocabulary); anything else raises."""
+    one line or many, or lines ``{"token": ..., "id": ...}``. Files with one
+    entry a line, as they are written here, are read by lines in many tasks,
+    others as a whole; anything else raises."""
     from tessera.operators.vocab import Vocab
 
+    by_line = _vocab_lines(spark, path)
+    if by_line is not None:
+        return Vocab(table=by_line, size=by_line.count(), kind=kind, cased=cased)
+
     def entries(text: str):
         def line(x):
             if not (isinstance(x, dict) and x.keys() == {"token", "id"} and isinstance(x["token"], str) and type(x["id"]) is int):

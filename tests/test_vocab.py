@@ -153,3 +153,29 @@ def test_lookup_does_not_explode(spark, monkeypatch):
     odd = spark.createDataFrame([(1, [5, 99])], "doc_id long, ids array<long>")
     with pytest.raises(Exception, match="unknown id 99"):
         vc.decode_words(odd, "ids", v, ["doc_id"]).collect()
+
+
+def test_vocabulary_object_is_read_by_lines(spark, tmp_path):
+    """A file with one entry a line is read by lines, in as many tasks as it
+    has splits; other forms, and tokens named twice, as a whole."""
+    import json
+
+    from tessera.sources import corpus as src
+    df = spark.createDataFrame([(k, f'w{k} "q{k}\\ , {{ }}') for k in range(300)], "doc_id long, text string")
+    v = vc.fit_vocab(df, "text", ["doc_id"])
+    path = str(tmp_path / "object.json")
+    src.save_vocab_object(v, path)
+    want = {r.token: r.id for r in v.table.collect()}
+    assert src._vocab_lines(spark, path) is not None
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "1000")
+    try:
+        back = src.read_json_vocab(spark, path)
+        assert back.table.rdd.getNumPartitions() > 3
+        assert {r.token: r.id for r in back.table.collect()} == want and back.size == v.size
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    (tmp_path / "one.json").write_text(json.dumps(want))
+    (tmp_path / "twice.json").write_text('{\n"a": 5,\n"a": 6\n}')
+    (tmp_path / "comma.json").write_text('{\n"a": 5\n"b": 6\n}')
+    assert all(src._vocab_lines(spark, str(tmp_path / f"{n}.json")) is None for n in ("one", "twice", "comma"))
+    assert [tuple(r) for r in src.read_json_vocab(spark, str(tmp_path / "twice.json")).table.collect()] == [("a", 6)]
