@@ -3,10 +3,10 @@ encode to fixed-length id arrays, decode.
 
 Fit is ``explode -> groupBy(token) min(first place) -> dense rank`` with the
 rank from ``with_row_index`` (range sort + partition offsets), so the
-vocabulary never passes through one task. Encode and decode look values up
-where the row is when the vocabulary's row count (known from fitting) is under
-a limit: it is broadcast and rows are neither exploded nor shuffled. Beyond
-it, rows are dealt in blocks, each block's different values are joined with
+vocabulary never passes through one task. When the vocabulary's row count
+(known from fitting) is under a limit it is broadcast: decode looks ids up
+where the row is, encode deals rows before it explodes them. Beyond the limit
+rows are dealt in blocks, each block's different values are joined with
 the vocabulary once, and meet their block's rows in a cogroup.
 """
 
@@ -143,8 +143,11 @@ def wrap_ids(ids: Column, max_len: int | None) -> Column:
 
 def _exploded(df: DataFrame, values: Column, vocab: Vocab, cols: list[str], name: str) -> DataFrame:
     """One row for each position of ``values``, under a number that each row
-    of ``df`` has for itself (equal keys stay apart)."""
+    of ``df`` has for itself (equal keys stay apart). With a broadcast
+    vocabulary, rows are dealt by that number *before* the explode, and the
+    regrouping shuffles nothing."""
     rows = df.select(*cols, values.alias("__t"), F.monotonically_increasing_id().alias("__row"))
+    rows = rows.repartition("__row") if vocab.size <= BROADCAST_MAX_ROWS else rows
     return rows.select("__row", *cols, F.posexplode_outer("__t").alias("__pos", name))
 
 
@@ -224,7 +227,14 @@ def lookup_ids(df: DataFrame, tokens: Column, vocab: Vocab, key_cols: list[str],
                out_col: str = "ids", carry: list[str] | None = None) -> DataFrame:
     """Map a token array per row to ids (unknown -> [UNK]), order kept.
     ``key_cols`` and ``carry`` columns ride along; every row stays a row."""
-    return _looked_up(df, tokens, vocab, [*key_cols, *(carry or [])], "token", "id", out_col, default=UNK)
+    cols = [*key_cols, *(carry or [])]
+    if vocab.size > BROADCAST_MAX_ROWS:
+        return _looked_up(df, tokens, vocab, cols, "token", "id", out_col, default=UNK)
+    j = _matched(_exploded(df, tokens, vocab, cols, "token"), "token", vocab)
+    item = F.when(F.col("__pos").isNotNull(),
+                  F.struct(F.col("__pos"), F.coalesce(F.col("id"), F.lit(UNK)).alias("id")))
+    g = j.groupBy("__row", *cols).agg(F.array_sort(F.collect_list(item)).alias("__s"))
+    return g.select(*cols, F.transform("__s", lambda x: x["id"]).alias(out_col))
 
 
 def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", key_cols: list[str] | None = None,
