@@ -211,6 +211,28 @@ def test_toxicity_cases(spark):
     assert toxicity.score(docs.limit(0), model).count() == 0
 
 
+def test_toxicity_learns_from_all_rows(spark):
+    """A word of toxic documents beyond the first 1,200 by the hash of their
+    ids is learned; replicas' weights do not depend on how rows arrive."""
+    from pyspark.sql import functions as F
+    from tessera.llm import toxicity
+    rng = random.Random(3)
+    ids = [r["id"] for r in spark.range(2400).orderBy(F.xxhash64("id")).collect()]
+    toxic = {k: n for n, k in enumerate(k for k in ids if k % 3)}  # 1,600 of them
+
+    def text(k):
+        words = [rng.choice(["plain", "words", "stand", "here", "today"]) + str(rng.randint(0, 9)) for _ in range(12)]
+        return " ".join(words + (["vile" if toxic[k] < 1200 else "grim"] if k in toxic else []))
+
+    rows = [(k, text(k)) for k in range(2400)]
+    labels = spark.createDataFrame([(k, int(k in toxic)) for k in range(2400)], "doc_id long, toxic int")
+    model = toxicity.fit(frame(spark, rows), labels, replica_docs=800)
+    again = toxicity.fit(frame(spark, rows[::-1]).repartition(3), labels, replica_docs=800)
+    assert again.packed() == model.packed()
+    asked = frame(spark, [(1, "plain1 words2 grim"), (2, "plain1 words2 vile"), (3, "plain1 words2 here3")])
+    assert [r["predicted"] for r in toxicity.score(asked, model).orderBy("doc_id").collect()] == [1, 1, 0]
+
+
 def plain_net(model, text):
     """The net word by word, read from its definition."""
     import math
