@@ -36,7 +36,9 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 #: ids it holds for them, and the longest stretch (in bytes) that it keeps
 MEMO_STRETCHES, MEMO_IDS, MEMO_BYTES = 500_000, 2_000_000, 48
 #: bytes of texts whose unknown stretches are learnt together
-GROUP = 1 << 22
+GROUP = 1 << 20
+#: pieces that are encoded together (their tables take some 700 bytes each)
+PIECES = 1 << 15
 #: token pairs whose compatibility a worker keeps
 MEMO_PAIRS = 100_000
 
@@ -281,12 +283,13 @@ class PieceBatch:
             if len(p) > self.LONGEST:
                 ids = PieceTable(self.vocabulary, p).ids()
                 out[k] = struct.pack(f"<{len(ids)}I", *ids)
-        if short:
-            length = np.array([len(pieces[k]) for k in short])
-            data = np.zeros((len(short), int(length.max())), np.uint8)
+        for at in range(0, len(short), PIECES):
+            part = short[at:at + PIECES]
+            length = np.array([len(pieces[k]) for k in part])
+            data = np.zeros((len(part), int(length.max())), np.uint8)
             data[np.arange(data.shape[1]) < length[:, None]] = np.frombuffer(
-                b"".join([pieces[k] for k in short]), np.uint8)
-            for k, ids in zip(short, self._ids(self._last(data, length), length)):
+                b"".join([pieces[k] for k in part]), np.uint8)
+            for k, ids in zip(part, self._ids(self._last(data, length), length)):
                 out[k] = ids
         return out
 
@@ -384,21 +387,30 @@ class _Memo:
             open_, slot = open_[~hit], (slot[~hit] + 1) & mask
         return out
 
+    def _room(self, name: str, used: int, more: int) -> None:
+        """Lengthens an array by half when ``more`` entries don't fit, so it
+        is seldom copied."""
+        old = getattr(self, name)
+        if used + more > len(old):
+            new = np.zeros(max(used + more, len(old) + len(old) // 2), old.dtype)
+            new[:used] = old[:used]
+            setattr(self, name, new)
+
     def add(self, first: np.ndarray, second: np.ndarray, rows: list[bytes], listed: np.ndarray) -> np.ndarray:
         """New entries; those not ``listed`` can't be found later."""
         size = np.array([len(r) // 4 for r in rows], np.int32)
         total, own = int(size.sum()), np.arange(self.n, self.n + len(rows))
-        if self.used + total > len(self.pool):
-            self.pool = np.concatenate((self.pool, np.zeros(max(len(self.pool) // 2, self.used + total - len(self.pool)), "<u4")))
+        self._room("pool", self.used, total)
         self.pool[self.used:self.used + total] = np.frombuffer(b"".join(rows), "<u4")
         at = self.used + np.cumsum(size) - size
         for name, more in (("first", first), ("second", second), ("start", at), ("size", size),
-                           ("met", np.ones(len(rows), np.int32)), ("listed", listed)):
-            setattr(self, name, np.concatenate((getattr(self, name), more.astype(getattr(self, name).dtype))))
+                           ("met", 1), ("listed", listed)):
+            self._room(name, self.n, len(rows))
+            getattr(self, name)[self.n:self.n + len(rows)] = more
         self.n, self.used = self.n + len(rows), self.used + total
         if 2 * self.n > len(self.slots):
             self.slots = np.zeros(1 << (4 * self.n).bit_length(), np.int32)
-            self._insert(np.flatnonzero(self.listed))
+            self._insert(np.flatnonzero(self.listed[:self.n]))
         else:
             self._insert(own[listed])
         return own
@@ -412,7 +424,7 @@ class _Memo:
     def shrink(self) -> None:
         if self.n <= MEMO_STRETCHES and self.used <= MEMO_IDS:
             return
-        order = np.flatnonzero(self.listed & (self.met > 1))
+        order = np.flatnonzero(self.listed[:self.n] & (self.met[:self.n] > 1))
         order = order[np.argsort(-self.met[order], kind="stable")][:MEMO_STRETCHES // 2]
         keep = order[np.cumsum(self.size[order]) <= MEMO_IDS // 2]
         old, (ids, _) = self, self.gather(keep)
@@ -421,7 +433,7 @@ class _Memo:
         raw, stop = ids.tobytes(), (4 * np.cumsum(size)).tolist()
         rows = [raw[a:b] for a, b in zip([0, *stop], stop)]
         self.add(first, second, rows, np.ones(len(rows), bool))
-        self.met = met
+        self.met[:self.n] = met
 
 
 def _white() -> tuple[np.ndarray, dict[bytes, list[tuple[int, int]]]]:
@@ -488,7 +500,11 @@ class Encoder:
         return self.split(stretch)
 
     def _learn(self, stretches: list[str]) -> list[bytes]:
-        """The ids of stretches, in their order."""
+        """The ids of stretches, in their order; some at a time, as the
+        pieces of all would take many times the stretches' bytes."""
+        return [ids for at in range(0, len(stretches), 2 * PIECES) for ids in self._learn_some(stretches[at:at + 2 * PIECES])]
+
+    def _learn_some(self, stretches: list[str]) -> list[bytes]:
         found = list(map(self._pieces, stretches))
         new = list(set(chain.from_iterable(found)))
         ranks = self.vocabulary.ranks
@@ -537,7 +553,7 @@ class Encoder:
             rank[order] = np.arange(len(order))
             same = rank[same]
             entry[unknown] = memo.add(first[chosen], second[chosen], self._learn(texts), size[chosen] <= MEMO_BYTES)[same]
-        memo.met += np.bincount(entry, minlength=memo.n).astype(np.int32)
+        np.add.at(memo.met, entry, 1)
         ids, count = memo.gather(entry)
         raw, upto, out = ids.tobytes(), np.concatenate(([0], np.cumsum(count))), []
         for (data, starts), (begin, *_), at in zip(slices, parts, base.tolist()):

@@ -157,3 +157,20 @@ def test_repeats(spark, monkeypatch):
     got = repeats.remove_repeats(frame(spark, rows)).select(*look).collect()
     assert sorted(map(repr, map(tuple, got))) == want
     assert repeats.remove_repeats(frame(spark, [])).count() == 0
+
+
+def test_byte_bpe_tables_are_bounded(monkeypatch):
+    """However many unknown pieces a group of texts has, few share a table."""
+    import public_tokenizers
+    from tessera.llm import byte_bpe as bb
+
+    ranks = bb.read_ranks(None, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"))
+    texts = [" ".join(f"zq{k * 7919:x}vw" for k in range(a, a + 300)) + "." for a in range(0, 6000, 300)]
+    expected = [bb.Encoder(bb.Vocabulary(ranks), public_tokenizers.PATTERN).encode(t) for t in texts]
+    sizes, last = [], bb.PieceBatch._last
+    monkeypatch.setattr(bb, "PIECES", 64, raising=False)
+    monkeypatch.setattr(bb.PieceBatch, "_last", lambda self, data, length: sizes.append(len(data)) or last(self, data, length))
+    import pyarrow as pa
+    e = bb.Encoder(bb.Vocabulary(ranks), public_tokenizers.PATTERN)
+    assert e.encode_texts(pa.array(texts)) == expected
+    assert max(sizes) <= 64
