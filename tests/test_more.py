@@ -159,3 +159,37 @@ def test_generate_steps_leave_the_model_where_it_is(spark, monkeypatch):
     assert steps and len(got) == 5 and {len(r.tokens) for r in got} == {8}
     for p in steps:  # the requests are dealt for each step's join, the guide is not
         assert "ENSURE_REQUIREMENTS" in p and not re.search(r"hashpartitioning\(b#\d+L?, \d+\), ENSURE", p)
+
+
+def _augment_rows(spark):
+    words = "a b A c b a C d e E a".split()
+    rows = [(k, " ".join(words[(k * 7 + j * j) % len(words)] for j in range(k % 23)), float(k % 2)) for k in range(60)]
+    return rows, spark.createDataFrame(rows + [(3, "a b c a", 1.0), (None, "a c b", 0.0), (90, None, 0.0)], "k long, text string, target double")
+
+
+def test_insertion_leaves_texts_whole(spark):
+    """Texts are not regrouped from their words; pairs travel as numbers once."""
+    rows, df = _augment_rows(spark)
+    model = au.gap_model(df, "text", names=False)
+    assert model._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 1
+    once = spark.createDataFrame(rows, "k long, text string, target double")
+    out = au.contextual_insert(once, "k", "text", model, carry=["target"])
+    assert "slot" not in out._jdf.queryExecution().optimizedPlan().toString()
+    names = au.gap_model(df, "text")
+    regrouped = au._insert_repeated(df, "k", "text", names, ["target"], 0, 0, au.AUG_P, au.AUG_MIN, au.AUG_MAX, "sentence")
+    got = au.contextual_insert(df, "k", "text", model, carry=["target"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, regrouped.collect()))
+    assert set(map(str, out.where("k <> 3").collect())) <= set(map(str, got.collect()))
+
+
+def test_synonym_replacement_leaves_texts_whole(spark):
+    rows, df = _augment_rows(spark)
+    groups = au.variant_groups(df, "text")
+    once = spark.createDataFrame(rows, "k long, text string, target double")
+    out = au.synonym_replace(once, "k", "text", groups, carry=["target"])
+    assert "slot" not in out._jdf.queryExecution().optimizedPlan().toString()
+    regrouped = au._synonym_replace_repeated(df, "k", "text", groups, au.fold_key, ["target"], 0, 0,
+                                             au.AUG_P, au.AUG_MIN, au.AUG_MAX, "sentence")
+    got = au.synonym_replace(df, "k", "text", groups, carry=["target"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, regrouped.collect()))
+    assert set(map(str, out.where("k <> 3").collect())) <= set(map(str, got.collect()))
