@@ -164,7 +164,7 @@ def test_generate_steps_leave_the_model_where_it_is(spark, monkeypatch):
 def _augment_rows(spark):
     words = "a b A c b a C d e E a".split()
     rows = [(k, " ".join(words[(k * 7 + j * j) % len(words)] for j in range(k % 23)), float(k % 2)) for k in range(60)]
-    return rows, spark.createDataFrame(rows + [(3, "a b c a", 1.0), (None, "a c b", 0.0), (90, None, 0.0)], "k long, text string, target double")
+    return rows, spark.createDataFrame(rows + [rows[3], (None, "a c b", 0.0), (90, None, 0.0)], "k long, text string, target double")
 
 
 def test_insertion_leaves_texts_whole(spark):
