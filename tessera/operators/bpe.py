@@ -20,8 +20,18 @@ never the corpus, never one task — in few rounds that accept many merges each:
 4. the accepted merges are applied to all words, which are written to the
    shared checkpoint folder.
 
-A merge that spells an existing token makes old pairs more frequent; it ends
-a round and is then applied alone. Ids: the five specials, then the alphabet
+Words shrink as training goes on. With room for ``R`` tokens beside the
+alphabet, no pair less frequent than the ``R``-th most frequent word (the
+floor) is ever merged: before that all those words are one token each, and
+the room is used up. So step 4 also cuts the words where a pair under the
+floor stands, drops single symbols and adds up equal pieces; by the argument
+of step 3 a pair that arises at such a place later is under the floor too.
+What a round reads then follows the tokens still to learn, not the words.
+
+A merge that spells an existing token would make old pairs more frequent; it
+would end a round and be applied alone. It does not come up: as long as no
+merge crosses the edges of a token's place, what happens inside follows from
+its characters alone, so a token arises from one pair only. Ids: the five specials, then the alphabet
 in code-point order, then merges in order.
 
 Encoding cuts special-token strings out first, pre-tokenises the rest
@@ -34,6 +44,7 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
@@ -47,9 +58,11 @@ from tessera.session import cut_lineage
 DEFAULT_VOCAB_SIZE = 500_000
 WORDS_PER_TASK = 20_000
 #: different runs of a round, and pairs of a round, that come to the driver
-MAX_RUNS, MAX_PAIRS = 60_000, 1 << 16
+MAX_RUNS, MAX_PAIRS = 160_000, 1 << 17
+#: pairs down to the floor that come to the driver; with more, a round does not cut
+MAX_ALIVE = 1 << 20
 #: pieces whose ids an encoding task keeps, and the longest of them
-MEMO_PIECES, MEMO_CHARS = 50_000, 40
+MEMO_PIECES, MEMO_CHARS = 200_000, 40
 
 
 @dataclass
@@ -94,6 +107,11 @@ def _codes(flat: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray
     return flat.astype(np.int64) << 32 | after, inside
 
 
+def _among(code: np.ndarray, wanted: np.ndarray) -> np.ndarray:
+    """Which of ``code`` are in ``wanted`` (sorted, not empty)."""
+    return wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code
+
+
 def _pair_counts(words: DataFrame) -> DataFrame:
     """(l, r, c): adjacent symbol pairs of all words, weighted by the words'
     counts; each batch of words is added up before it leaves its task."""
@@ -116,7 +134,17 @@ def _top_pairs(words: DataFrame, n: int) -> np.ndarray:
     r). ``toArrow`` cuts each task's best pairs to ``n`` in a task: the rows
     that come to the driver are ``n``, not ``n`` of every task, as with
     ``collect``."""
-    top = _pair_counts(words).where("c > 0").orderBy(F.desc("c"), "l", "r").limit(n).select("c", "l", "r").toArrow()
+    return _ranked(_pair_counts(words).where("c > 0").orderBy(F.desc("c"), "l", "r").limit(n).select("c", "l", "r").toArrow())
+
+
+def _alive_pairs(words: DataFrame, floor: int) -> np.ndarray | None:
+    """All pairs counted ``floor`` times or more, as ``_top_pairs`` gives
+    them; None if they are more than ``MAX_ALIVE``."""
+    top = _pair_counts(words).where(F.col("c") >= floor).select("c", "l", "r").limit(MAX_ALIVE + 1).toArrow()
+    return _ranked(top) if len(top) <= MAX_ALIVE else None
+
+
+def _ranked(top) -> np.ndarray:
     rows = np.stack([top[c].to_numpy().astype(np.int64) for c in ("c", "l", "r")], axis=1) if len(top) else np.zeros((0, 3), np.int64)
     return rows[np.lexsort((rows[:, 2], rows[:, 1], -rows[:, 0]))]
 
@@ -129,8 +157,7 @@ def _runs(words: DataFrame, pairs: np.ndarray) -> DataFrame:
         for batch in batches:
             flat, starts, cnt = _flat(batch)
             code, inside = _codes(flat, starts)
-            place = np.minimum(np.searchsorted(pairs, code), len(pairs) - 1)
-            linked = inside & (pairs[place] == code)
+            linked = inside & _among(code, pairs)
             before = np.append(False, linked[:-1])
             first = np.flatnonzero(linked & ~before)
             last = np.flatnonzero(before & ~linked)
@@ -210,34 +237,57 @@ def _merge_runs(runs: list[tuple[list[int], int]], stop: tuple | None, id2tok: l
     return merges
 
 
-def _applied(words: DataFrame, merges: list[tuple[int, int, int]]) -> DataFrame:
-    """The words after the merges; words of one symbol are done and go."""
-    table = words.sparkSession.sparkContext.broadcast({(l, r): (k, m) for k, (l, r, m) in enumerate(merges)})
+def _applied(words: DataFrame, merges: list[tuple[int, int, int]], alive: np.ndarray | None = None) -> DataFrame:
+    """The words after the merges; words of one symbol are done and go. With
+    ``alive`` (sorted numbers of pairs, those of ``merges`` among them) words
+    are cut where another pair stands."""
+    sc = words.sparkSession.sparkContext
+    table = sc.broadcast(({(l, r): (k, m) for k, (l, r, m) in enumerate(merges)}, alive))
     wanted = np.sort(np.array([l << 32 | r for l, r, _ in merges], np.int64))
 
     def run(batches):
         import pyarrow as pa
-        ranks = table.value
+        ranks, alive = table.value
         for batch in batches:
+            if not batch.num_rows:
+                continue
             flat, starts, cnt = _flat(batch)
             code, inside = _codes(flat, starts)
-            hit = inside & (wanted[np.minimum(np.searchsorted(wanted, code), len(wanted) - 1)] == code)
+            if alive is not None:
+                inside &= _among(code, alive)
+                cnt = np.repeat(cnt, np.diff(starts))
+                starts = np.append(np.flatnonzero(~np.append(False, inside[:-1])), len(flat))
+                cnt = cnt[starts[:-1]]
+            hit = inside & _among(code, wanted)
             # only words that hold a pair of the round's old symbols can change
             touched = np.flatnonzero(np.diff(np.concatenate(([0], np.cumsum(hit)))[starts]))
-            rows, keep = batch.column("syms"), np.diff(starts) >= 2
+            rows = pa.ListArray.from_arrays(pa.array(starts, pa.int32()), pa.array(flat, pa.int32()))
+            keep = np.diff(starts) >= 2
             new = {}
             for k in touched.tolist():
                 syms = merge_symbols(flat[starts[k]:starts[k + 1]].tolist(), ranks)
                 new[k], keep[k] = syms, len(syms) >= 2
             same = keep.copy()
             same[touched] = False
-            yield batch.filter(pa.array(same))
+            yield pa.record_batch([pa.array(cnt[same], pa.int64()), rows.filter(pa.array(same))], names=["cnt", "syms"])
             own = [k for k in new if keep[k]]
             yield pa.record_batch([pa.array(cnt[own], pa.int64()), pa.array([new[k] for k in own], rows.type)], names=["cnt", "syms"])
 
     return words.mapInArrow(run, "cnt long, syms array<int>")
 
 
+def _floor(wc: DataFrame, room: int) -> int:
+    """The count of the ``room``-th most frequent word of two or more
+    characters (1: there are fewer); the counts' histogram comes to the
+    driver."""
+    rows = wc.where(F.length("word") >= 2).groupBy("cnt").agg(F.count(F.lit(1)).alias("n")).toArrow()
+    for cnt, n in sorted(zip(rows["cnt"].to_pylist(), rows["n"].to_pylist()), reverse=True):
+        room -= n
+        if room <= 0:
+            return cnt
+    return 1
+
+
 def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB_SIZE,
           max_runs: int = MAX_RUNS) -> BpeModel:
     """Train a byte-pair vocabulary of at most ``vocab_size`` tokens
@@ -269,9 +319,12 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
                         .mapInArrow(symbols, "cnt long, syms array<int>"))
 
     merges: list[tuple[int, int, int]] = []
-    n_pairs = 512
+    floor = _floor(wc, vocab_size - len(id2tok))
+    n_pairs = 64
     while len(id2tok) < vocab_size:
-        top = _top_pairs(words, MAX_PAIRS + 1)
+        top = alive = _alive_pairs(words, floor) if floor > 1 else None
+        if alive is None:
+            top = _top_pairs(words, MAX_PAIRS + 1)
         if not len(top):
             break
         while True:
@@ -284,17 +337,29 @@ def train(df: DataFrame, text_col: str = "text", vocab_size: int = DEFAULT_VOCAB
         if len(rows) > max_runs:  # one pair, in very many runs of its own symbol
             rows = _runs(words, chosen).toArrow()
         runs = [(np.frombuffer(b, "<i4").tolist(), n) for b, n in zip(rows["run"].to_pylist(), rows["cnt"].to_pylist())]
-        stop = (-int(top[n_pairs, 0]), int(top[n_pairs, 1]), int(top[n_pairs, 2])) if n_pairs < len(top) else None
+        if n_pairs < len(top):
+            stop = (-int(top[n_pairs, 0]), int(top[n_pairs, 1]), int(top[n_pairs, 2]))
+        else:
+            stop = None if alive is None else (1 - floor, -1, -1)  # every pair from the floor on comes before
+        n_runs = len(runs)
         found = _merge_runs(runs, stop, id2tok, tok2id, vocab_size - len(id2tok))
         merges += found
         if len(id2tok) < vocab_size:
-            words = cut_lineage(_applied(words, found))
-        if len(runs) < max_runs // 3:
-            n_pairs *= 2
-    vocab = spark.createDataFrame([(t, i) for i, t in enumerate(id2tok)], "token string, id int")
-    mdf = spark.createDataFrame(
-        [(k, l, r, m, id2tok[m]) for k, (l, r, m) in enumerate(merges)] or [],
-        "rank int, left int, right int, merged int, token string")
+            if alive is None:
+                words = cut_lineage(_applied(words, found))
+            else:
+                pieces = _applied(words, found, np.sort(alive[:, 1] << 32 | alive[:, 2]))
+                words = cut_lineage(pieces.groupBy("syms").agg(F.sum("cnt").alias("cnt")).select("cnt", "syms").repartition(parts))
+        for part in (3, 12, 48):
+            if n_runs < max_runs // part:
+                n_pairs *= 2
+    import pyarrow as pa
+    vocab = spark.createDataFrame(pa.table([pa.array(id2tok, pa.string()), pa.array(range(len(id2tok)), pa.int32())],
+                                           names=["token", "id"]), "token string, id int")
+    columns = list(zip(*((k, *m, id2tok[m[2]]) for k, m in enumerate(merges)))) or [()] * 5
+    mdf = spark.createDataFrame(pa.table([pa.array(c, pa.string() if k == 4 else pa.int32()) for k, c in enumerate(columns)],
+                                         names=["rank", "left", "right", "merged", "token"]),
+                                "rank int, left int, right int, merged int, token string")
     return BpeModel(vocab=vocab, merges=mdf, size=len(id2tok), merge_list=merges,
                     alphabet=alphabet)
 
@@ -345,20 +410,25 @@ def _segmenter(model: BpeModel, spark):
     def seg(rows):
         import pyarrow as pa
         alphabet, ranks = shared.value
-        out = []
-        for pieces in rows:
-            ids: list[int] = []
-            for w in pieces.as_py() or ():
-                got = memo.get(w)
-                if got is None:
-                    got = [specials[w]] if w in specials else segment_word(w, alphabet, ranks)
-                    if len(w) <= MEMO_CHARS:
-                        if len(memo) >= MEMO_PIECES:
-                            memo.clear()
-                        memo[w] = got
-                ids += got
-            out.append(ids)
-        return pa.array(out, pa.list_(pa.int32()))
+        starts = rows.offsets.to_numpy()
+        pieces = rows.values.slice(starts[0], starts[-1] - starts[0]).dictionary_encode()
+        found = []  # ids of the batch's different pieces
+        for w in pieces.dictionary.to_pylist():
+            got = memo.get(w)
+            if got is None:
+                got = [specials[w]] if w in specials else segment_word(w, alphabet, ranks)
+                if len(w) <= MEMO_CHARS:
+                    if len(memo) >= MEMO_PIECES:
+                        memo.clear()
+                    memo[w] = got
+            found.append(got)
+        at = pieces.indices.to_numpy()
+        size = np.fromiter(map(len, found), np.int64, len(found))
+        flat = np.fromiter(chain.from_iterable(found), np.int32, size.sum())
+        first, n = (np.cumsum(size) - size)[at], size[at]
+        ends = np.append(0, np.cumsum(n))
+        ids = flat[np.arange(ends[-1]) + np.repeat(first - ends[:-1], n)]
+        return pa.ListArray.from_arrays(pa.array(ends[starts - starts[0]], pa.int32()), pa.array(ids, pa.int32()))
     return seg
 
 
@@ -392,16 +462,30 @@ def decode(df: DataFrame, model: BpeModel, ids_col: str = "ids",
     an id that is not in the vocabulary has no token. Rows stay rows; the
     tokens are broadcast (at most ``vocab_size``)."""
     key_cols = key_cols or ["doc_id"]
-    tokens = {r.id: r.token for r in model.vocab.collect()}
+    vocab = model.vocab.toArrow()
+    tokens = dict(zip(vocab["id"].to_pylist(), vocab["token"].to_pylist()))
     if skip_special:
         tokens = {i: t for i, t in tokens.items() if t not in SPECIAL_TOKENS}
-    shared = df.sparkSession.sparkContext.broadcast(tokens)
+    ids = sorted(tokens)
+    # the last number is above all ids, so that every search ends on one
+    shared = df.sparkSession.sparkContext.broadcast((np.array(ids + [1 << 40], np.int64), [tokens[i] for i in ids] + [""]))
+
+    held: dict = {}  # of one task
 
     @F.arrow_udf(T.StringType())
     def join(rows):
         import pyarrow as pa
-        token = shared.value.get
-        return pa.array([" ".join([t for t in map(token, ids.as_py() or ()) if t is not None]) for ids in rows], pa.string())
+        import pyarrow.compute as pc
+        if "tokens" not in held:
+            held["tokens"] = pa.array(shared.value[1], pa.string())
+        known, starts = shared.value[0], rows.offsets.to_numpy()
+        ids = rows.values.slice(starts[0], starts[-1] - starts[0])
+        raw = ids.fill_null(0).to_numpy()
+        place = np.searchsorted(known, raw)
+        there = (known[place] == raw) & ids.is_valid().to_numpy(zero_copy_only=False)
+        ends = np.append(0, np.cumsum(there))[starts - starts[0]]
+        words = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), held["tokens"].take(pa.array(place[there])))
+        return pc.binary_join(words, " ")
 
     return df.select(*key_cols, join(F.col(ids_col).cast("array<int>")).alias(out_col))
 

@@ -172,3 +172,28 @@ def test_training_brings_ranked_pairs_once(spark, monkeypatch):
     monkeypatch.setattr(type(words), "collect", lambda self: calls.append(1) or real(self))
     docs = spark.createDataFrame([("ab abc bcd abab cde",), ("abcd cd ab",)], "text string")
     assert bpe.train(docs, "text", vocab_size=40).size > 10 and len(calls) == 1
+
+
+def test_training_lets_rare_words_go(spark, monkeypatch):
+    """Pairs that the room rules out leave the rounds, and the vocabulary stays
+    the library's; also with runs of one letter."""
+    rng = random.Random(3)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    words = ["".join(rng.choice(letters) for _ in range(7)) for _ in range(1540)]
+    rows = [" ".join(words[:40] + [letters])] * 20 + [" ".join(words[k:k + 70]) for k in range(40, 1540, 70)]
+    sizes, real = [], bpe.cut_lineage
+
+    def kept(df):
+        sizes.append((out := real(df)).count())
+        return out
+
+    monkeypatch.setattr(bpe, "cut_lineage", kept)
+    m = bpe.train(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "text", vocab_size=107, max_runs=30)
+    assert {r.token: r.id for r in m.vocab.collect()} == library(rows, 107).get_vocab()
+    assert sizes[1] > 1500 and len(sizes) > 2 and max(sizes[2:]) < 400  # pieces that share a frequent word's pairs stay
+    rows = [" ".join("".join(rng.choice("aaab") for _ in range(rng.randint(1, 30))) for _ in range(40)) for _ in range(12)]
+    rows += [" ".join("a" * n for n in range(2, 40))] * 3
+    df = spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string")
+    assert bpe._floor(bpe.word_counts(df, "text"), 30 - 7) > 1
+    m = bpe.train(df, "text", vocab_size=30, max_runs=20)
+    assert {r.token: r.id for r in m.vocab.collect()} == library(rows, 30).get_vocab()
