@@ -31,8 +31,8 @@ What a round reads then follows the tokens still to learn, not the words.
 A merge that spells an existing token would make old pairs more frequent; it
 would end a round and be applied alone. It does not come up: as long as no
 merge crosses the edges of a token's place, what happens inside follows from
-its characters alone, so a token arises from one pair only. Ids: the five specials, then the alphabet
-in code-point order, then merges in order.
+its characters alone, so a token arises from one pair only. Ids: the five
+specials, then the alphabet in code-point order, then merges in order.
 
 Encoding cuts special-token strings out first, pre-tokenises the rest
 (``\\w+|[^\\w\\s]+``) and segments the pieces where the row is, with the
