@@ -7,13 +7,16 @@ vocabulary never passes through one task. When the vocabulary's row count
 (known from fitting) is under a limit it is broadcast: decode looks ids up
 where the row is, encode deals rows before it explodes them. Beyond the limit
 rows are dealt in blocks, each block's different values are joined with
-the vocabulary once, and meet their block's rows in a cogroup.
+the vocabulary once, and meet their block's rows in a cogroup. N-grams are
+cut and counted in arrays of code points (see ``grams``): no text is exploded
+into its grams.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass, field
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -21,6 +24,7 @@ from pyspark.sql import types as T
 from tessera.constants import (END, FIRST_FREE_ID, NGRAM_END_CHAR, NGRAM_N,
                                NGRAM_START_CHAR, PAD, SPECIAL_TOKENS, START, UNK)
 from tessera.functions.text import drop_tokens, split_ws
+from tessera.operators import grams
 from tessera.operators.ids import with_row_index
 from tessera.session import cut_lineage
 
@@ -96,6 +100,33 @@ def _place(row: Column, pos: Column) -> Column:
     return known * F.lit(1 << 31).cast("decimal(10,0)") + pos.cast("decimal(10,0)")
 
 
+def _first_grams(rows: DataFrame, n: int, start_char: str, end_char: str) -> DataFrame:
+    """(row, __pos, token): the different n-grams of parts of a task's texts,
+    each at its first place there."""
+    key = rows.columns[0]
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        for batch in batches:
+            batch = batch.take(pc.sort_indices(batch.column(key), null_placement="at_start"))
+            points, begins = grams.code_points(batch.column("__t"))
+            for a, b in grams.parts(np.diff(begins)):
+                some = begins[a:b + 1] - begins[a]
+                marked, places, held = grams.grams(points[begins[a]:begins[b]], some, n, start_char, end_char)
+                row = np.repeat(np.arange(b - a), held)
+                pos = np.arange(len(places)) - np.repeat(np.cumsum(held) - held, held)
+                keys = batch.column(key).slice(a, b - a)
+                rank = np.concatenate(([0], np.cumsum(np.diff(pc.rank(keys, null_placement="at_start", tiebreaker="dense").to_numpy().astype(np.int64)))))
+                # rows that share a key are one row here
+                order = rank[row] << 32 | pos if len(rank) > 1 and not np.diff(rank).all() else None
+                tokens, first, _ = grams.different(marked, places, n, order)
+                yield pa.record_batch([keys.take(pa.array(row[first])), pa.array(pos[first].astype(np.int32)), pa.array(tokens, pa.string())],
+                                      names=[key, "__pos", "token"])
+
+    return rows.mapInArrow(run, T.StructType([rows.schema[key], T.StructField("__pos", T.IntegerType()), T.StructField("token", T.StringType())]))
+
+
 def fit_vocab(df: DataFrame, text_col: str = "text", order_cols: list[str] | None = None,
               kind: str = "word", cased: bool = True, n: int = NGRAM_N,
               start_char: str = NGRAM_START_CHAR, end_char: str = NGRAM_END_CHAR) -> Vocab:
@@ -103,10 +134,14 @@ def fit_vocab(df: DataFrame, text_col: str = "text", order_cols: list[str] | Non
     under ``order_cols`` (row order) then position; special tokens keep
     their fixed ids."""
     order_cols = order_cols or ["doc_id"]
-    toks = df.select(*order_cols, F.posexplode(tokens_of(
-        F.col(text_col), kind, cased, n, start_char, end_char)).alias("__pos", "token"))
+    number = len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, T.IntegralType)
+    if kind == "ngram" and number:
+        toks = _first_grams(df.select(order_cols[0], _case(F.col(text_col), cased).alias("__t")), n, start_char, end_char)
+    else:
+        toks = df.select(*order_cols, F.posexplode(tokens_of(
+            F.col(text_col), kind, cased, n, start_char, end_char)).alias("__pos", "token"))
     toks = toks.filter(~F.col("token").isin(list(SPECIAL_TOKENS)))
-    if len(order_cols) == 1 and isinstance(df.schema[order_cols[0]].dataType, T.IntegralType):
+    if number:
         # one number a place: its minimum is kept by a hash aggregate, where
         # the minimum of a struct sorts all tokens
         first = toks.groupBy("token").agg(F.min(_place(F.col(order_cols[0]), F.col("__pos"))).alias("__o0"))
@@ -237,6 +272,37 @@ def lookup_ids(df: DataFrame, tokens: Column, vocab: Vocab, key_cols: list[str],
     return g.select(*cols, F.transform("__s", lambda x: x["id"]).alias(out_col))
 
 
+def _gram_ids(df: DataFrame, vocab: Vocab, text_col: str, cols: list[str], max_len: int | None) -> DataFrame:
+    """``cols`` and the ids ``__body`` of the n-grams that are kept."""
+    rows = df.select(*cols, _case(F.col(text_col), vocab.cased).alias("__t"))
+    entries = vocab.table.where(F.col("token").isNotNull()).select("token", "id").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((_one(entries["token"]), _one(entries["id"])))
+    most = None if max_len is None or max_len < 4 else max_len - 3
+    n, start_char, end_char = vocab.n, vocab.start_char, vocab.end_char
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        known, ids = shared.value
+        for batch in batches:
+            points, begins = grams.code_points(batch.column("__t"))
+            for a, b in grams.parts(np.diff(begins)):
+                some = begins[a:b + 1] - begins[a]
+                marked, places, held = grams.grams(points[begins[a]:begins[b]], some, n, start_char, end_char)
+                if most is not None:
+                    pos = np.arange(len(places)) - np.repeat(np.cumsum(held) - held, held)
+                    places, held = places[pos < most], np.minimum(held, most)
+                tokens, _, which = grams.different(marked, places, n)
+                found = ids.take(pc.index_in(pa.array(tokens, pa.string()), value_set=known))
+                found = pc.fill_null(found, pa.scalar(UNK, ids.type))
+                ends = np.concatenate(([0], np.cumsum(held))).astype(np.int32)
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in cols),
+                                       pa.ListArray.from_arrays(pa.array(ends), found.take(pa.array(which)))], names=[*cols, "__body"])
+
+    kind = T.ArrayType(vocab.table.schema["id"].dataType)
+    return rows.mapInArrow(run, T.StructType([*rows.select(*cols).schema.fields, T.StructField("__body", kind)]))
+
+
 def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", key_cols: list[str] | None = None,
            max_len: int | None = 512, out_col: str = "ids",
            carry: list[str] | None = None) -> DataFrame:
@@ -244,6 +310,9 @@ def encode(df: DataFrame, vocab: Vocab, text_col: str = "text", key_cols: list[s
     max_len >= 4, then START .. END and PAD up to max_len; None = no cut,
     no pad."""
     key_cols = key_cols or ["doc_id"]
+    if vocab.kind == "ngram" and vocab.size <= BROADCAST_MAX_ROWS:
+        body = _gram_ids(df, vocab, text_col, [*key_cols, *(carry or [])], max_len)
+        return body.select(*key_cols, *(carry or []), wrap_ids(F.col("__body"), max_len).alias(out_col))
     toks = tokens_of(F.col(text_col), vocab.kind, vocab.cased, vocab.n, vocab.start_char,
                      vocab.end_char)
     kept = F.slice(toks, 1, _kept(F.size(toks), max_len))
@@ -291,9 +360,50 @@ def rebuild_ngram_words(text: Column, n: int = NGRAM_N, start_char: str = NGRAM_
     return F.array_join(F.transform(split_ws(s), one), " ")
 
 
+def _gram_texts(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str], out_col: str, remove_special: bool) -> DataFrame:
+    """The same in arrays, with a broadcast vocabulary."""
+    rows = df.select(*key_cols, F.col(ids_col).cast("array<bigint>").alias("__t"))
+    known = vocab.table.where(F.col("id").isNotNull()).select(F.col("id").cast("bigint").alias("id"), "token").toArrow()
+    shared = df.sparkSession.sparkContext.broadcast((_one(known["id"]), _one(known["token"])))
+    n, start_char, end_char = vocab.n, vocab.start_char, vocab.end_char
+    drop = list(SPECIAL_TOKENS) if remove_special else []
+
+    def run(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+        keys, tokens = shared.value
+        tokens = pc.if_else(pc.is_in(tokens, value_set=pa.array(drop, pa.string())), "", tokens)
+        letters, begin = grams.code_points(tokens)
+        size = np.diff(begin)
+        by = np.argsort(keys.to_numpy(), kind="stable")
+        sorted_ = keys.to_numpy()[by]
+        for batch in batches:
+            column = batch.column("__t")
+            length = pc.fill_null(pc.list_value_length(column), 0).to_numpy().astype(np.int64)
+            for a, b in grams.parts(length, grams.PART_POINTS // 2):
+                flat = column.slice(a, b - a).flatten()
+                there = pc.is_valid(flat).to_numpy(zero_copy_only=False)
+                ids = pc.fill_null(flat, 0).to_numpy()
+                at = np.minimum(np.searchsorted(sorted_, ids), max(len(sorted_) - 1, 0))
+                lost = there & (sorted_[at] != ids if len(sorted_) else True)
+                if lost.any():
+                    raise ValueError(f"unknown id {ids[lost][0]}")
+                which = by[at] if len(sorted_) else at
+                held = np.where(there, size[which], 0) if len(sorted_) else np.zeros(len(ids), np.int64)
+                ends = np.concatenate(([0], np.cumsum(held)))
+                spot = np.arange(ends[-1]) + np.repeat(begin[which] - ends[:-1] if len(sorted_) else ends[:-1], held)
+                rows_ = ends[np.concatenate(([0], np.cumsum(length[a:b])))]
+                yield pa.record_batch([*(batch.column(c).slice(a, b - a) for c in key_cols), grams.to_texts(
+                    *grams.rebuilt(letters[spot], rows_, n, start_char, end_char))], names=[*key_cols, out_col])
+
+    return rows.mapInArrow(run, T.StructType([*rows.select(*key_cols).schema.fields, T.StructField(out_col, T.StringType())]))
+
+
 def decode_ngrams(df: DataFrame, ids_col: str, vocab: Vocab, key_cols: list[str],
                   out_col: str = "text", remove_special: bool = False) -> DataFrame:
     """N-gram ids -> sentence."""
+    if vocab.size <= BROADCAST_MAX_ROWS and len(vocab.start_char) == len(vocab.end_char) == 1:
+        return _gram_texts(df, ids_col, vocab, key_cols, out_col, remove_special)
     toks = ids_to_tokens(df, ids_col, vocab, key_cols, "__t", remove_special)
     return toks.select(*key_cols, rebuild_ngram_words(F.array_join("__t", ""), vocab.n,
                                                      vocab.start_char, vocab.end_char)
